@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspan.llm.host_quality import host_quality
 from quillspan.llm.ngram_join import ngram_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +20,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_quality(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_host_quality": op2_host_quality,
     "op6_ngram_jaccard": op6_ngram_jaccard,
 }
 
