@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm.host_quality import host_quality
 from quillspan.llm.ngram_join import ngram_components
+from quillspan.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
@@ -26,6 +32,7 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_host_quality": op2_host_quality,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
 }
 
