@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm.host_quality import host_quality
+from quillspan.llm.line_dedup import duplicate_lines
 from quillspan.llm.ngram_join import ngram_components
 from quillspan.llm.packing import pack
 
@@ -30,10 +31,15 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(_table(spark, sf_dir, "documents"), min_words=10).drop("row")
+
+
 QUERIES: dict[str, Query] = {
     "op2_host_quality": op2_host_quality,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
