@@ -11,6 +11,7 @@ from quillspan.llm.host_quality import host_quality
 from quillspan.llm.line_dedup import duplicate_lines
 from quillspan.llm.ngram_join import ngram_components
 from quillspan.llm.packing import pack
+from quillspan.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,11 +36,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_lines(_table(spark, sf_dir, "documents"), min_words=10).drop("row")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages")).drop("score")
+
+
 QUERIES: dict[str, Query] = {
     "op2_host_quality": op2_host_quality,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_line_dedup": op9_line_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {}
