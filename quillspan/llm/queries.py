@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspan.llm.chat_format import chat_digests, format_chats
 from quillspan.llm.decontaminate import contaminated
 from quillspan.llm.host_quality import host_quality
 from quillspan.llm.line_dedup import duplicate_lines
@@ -35,6 +36,13 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], turns.schema)
+    return chat_digests(format_chats(turns.unionByName(extra)))
+
+
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_format": op1_chat_format,
     "op2_host_quality": op2_host_quality,
     "op3_toxicity_chain": op3_toxicity_chain,
     "op4_best_fit_packing": op4_best_fit_packing,
