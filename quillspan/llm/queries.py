@@ -13,6 +13,7 @@ from quillspan.llm.host_quality import host_quality
 from quillspan.llm.line_dedup import duplicate_lines
 from quillspan.llm.ngram_join import ngram_components
 from quillspan.llm.packing import pack
+from quillspan.llm.pii import find_pii
 from quillspan.llm.toxicity import toxicity, train
 from quillspan.llm.url_filter import judge_urls
 
@@ -51,6 +52,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=5, num=1, den=2)
 
 
+def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_lines(_table(spark, sf_dir, "documents"), min_words=10).drop("row")
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_decontamination": op7_decontamination,
+    "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
 }
