@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspan.llm import quality_gam
 from quillspan.llm.chat_format import chat_digests, format_chats
 from quillspan.llm.decontaminate import contaminated
 from quillspan.llm.host_quality import host_quality
@@ -33,6 +34,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_gam.quality_scores(docs, quality_gam.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op2_host_quality": op2_host_quality,
     "op3_toxicity_chain": op3_toxicity_chain,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_gam": op5_quality_gam,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_decontamination": op7_decontamination,
     "op8_pii_bootstrap": op8_pii_bootstrap,
