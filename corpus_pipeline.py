@@ -1,16 +1,76 @@
-"""Corpus pipeline; its stages are added as their operators land."""
+"""Corpus pipeline: toxicity, line dedup, near-duplicate removal, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's result as Parquet into the
+shared folder and gives what it reads back to the next. All but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.llm.decontaminate import contaminated
+from quillspan.llm.line_dedup import drop_duplicate_lines
+from quillspan.llm.ngram_join import ngram_components
+from quillspan.llm.packing import pack
+from quillspan.llm.toxicity import train, without_toxic
+from quillspan.scratch import save
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Packing and the similarity on 5-word shingles that SQL cannot express at scale.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not find toxic; the chain learns from ``labels``."""
+    return without_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of ten words or more that copy earlier ones; documents with no line left go."""
+    return drop_duplicate_lines(docs, min_words=10)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document, by doc_id, of each group linked by similarity 0.8 on 5-word shingles.
+
+    A row whose doc_id is null stays only where its group has no other doc_id. Rows that repeat a doc_id leave one.
+    """
+    groups = ngram_components(docs, k=5, num=4, den=5)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than half of every benchmark item's tokens in common stretches of five or more."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=5, num=1, den=2).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their place in a sequence."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard", keep_one_of_each),
+    ("decontamination", decontaminate),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each to the written output of the one before."""
+    """The stages in a row over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = save(docs, f"stage-{name}")
     return docs
