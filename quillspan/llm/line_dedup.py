@@ -1,12 +1,14 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
-Two lines are copies if their words (A-Z and other letters lowered, cut at ASCII white space) are within one edit of
-each other: a word put in, left out or replaced. A line is dropped if an earlier line, by (doc_id, line), is a copy of
-it; the earliest stays. Lines of fewer than ``min_words`` words always stay.
+Two lines are copies if their words (what single spaces part, after white space at both ends is cut off) are within one
+edit of each other: a word put in, left out or replaced. A line is dropped if an earlier line, by (doc_id, line), is a
+copy of it; the earliest stays. Lines of fewer than ``min_words`` words always stay.
 
-Equal lines are brought together by hash first. Lines within one edit have their first or second half in common
-(halves of the shorter one's length), so only lines that share a half with another go on. Of these all variants with
-one word left out are emitted as hashed keys, and equal keys are joined:
+Equal lines are brought together by hash first. The deletion neighbourhood of a line is the set of its variants with
+one word left out; lines within one edit share a variant. A variant is emitted as a hashed key only where an equal one
+can exist: if a line of n words is cut into segments, an edit leaves all but one of them as they are, so two lines
+within one edit agree on the words before and after some segment. That is asked with two segments of all lines, then
+with eight of the lines that are left, and variants are emitted for positions in segments so found. Equal variants are joined:
 
 * same length, same position left out: the lines differ in that word alone, so a group's least line is a copy of all;
 * a line equal to a longer line's variant: there is one such line for a key, and each longer line joins it.
@@ -23,32 +25,52 @@ from pyspark.sql import functions as F
 
 from quillspan.scratch import save
 
-BLANK = "[ \\t-\\r]+"
+#: Bits of the filter that is broadcast to thin out lines before a join: 8 MB whatever the input.
+FILTER_BITS = 1 << 26
+#: Segments of the two rounds.
+COARSE, FINE = 2, 8
+BLANKS = " \t\n\x0b\x0c\r"
 
 
-def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), BLANK), lambda w: w != "")
-
-
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, row, line_no, h, g, w): lines long enough to judge; h and g are two hashes of their words w."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, line_no, line): all lines, without white space at both ends."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return one.withColumn("w", line_words(F.col("line"))).where(F.size("w") >= min_words).select("doc_id", "row", "line_no", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(7), "w").alias("g"), "w")
+    return one.withColumn("line", F.btrim("line", F.lit(BLANKS)))
+
+
+def _segment_keys(line: Column, n: Column, m: int) -> Column:
+    """Hashes of the words around each of m segments, for a line of n words seen as one of n and as one of n-1 words."""
+    keys = []
+    for less in (0, 1):
+        length = n - less
+        for i in range(m):
+            before = F.floor(length * i / m).cast("int")
+            after = (length - F.floor(length * (i + 1) / m)).cast("int")
+            keys.append(F.struct(F.lit(less).alias("less"), F.lit(i).alias("segment"), F.xxhash64(F.lit(m * i), length, F.call_function("substring_index", line, F.lit(" "), before), F.call_function("substring_index", line, F.lit(" "), -after)).alias("key")))
+    return F.array(*keys)
 
 
-def _halves(w: Column) -> Column:
-    """Hashes of the halves by which lines within one edit share a key: for its own length and for one less."""
-    n = F.size(w)
+def _shared(keyed: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by..., less, segment) whose key another line has too; ``keyed`` has (by..., keys)."""
+    keys = keyed.select(*by, F.explode("keys").alias("k")).select(*by, "k.*")
+    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return keys.join(several, "key", "left_semi").drop("key")
 
-    def pair(length: Column) -> list[Column]:
-        half = F.floor(length / 2).cast("int")
-        return [
-            F.xxhash64(F.lit("head"), length, F.slice(w, F.lit(1), half)),
-            F.xxhash64(F.lit("tail"), length, F.slice(w, n - (length - half) + 1, length - half)),
-        ]
 
-    return F.array(*pair(n), *pair(n - 1))
+def _bit(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(FILTER_BITS)) + 1
+
+
+def _maybe_in(rows: DataFrame, hashed: Column, some: DataFrame, some_hashed: Column) -> DataFrame:
+    """The rows whose hash may be among those of ``some``: a broadcast bitmap, which never loses a row."""
+    bits = some.select(_bit(some_hashed).alias("b"))
+    maps = bits.groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bitmap"))
+    numbered = rows.withColumn("_b", _bit(hashed)).withColumn("_p", F.bitmap_bit_position("_b")).withColumn("_bucket", F.bitmap_bucket_number("_b"))
+    joined = numbered.join(F.broadcast(maps), F.col("_bucket") == F.col("bucket"))  # at most FILTER_BITS / 32768 rows of 4 KB
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(F.col("_p") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("_p", F.lit(8)))), F.lit(2)) == 1
+    return joined.where(set_bit).drop("_b", "_p", "_bucket", "bucket", "bitmap")
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -70,38 +92,53 @@ def duplicate_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     text count once: their lines have the same place. A null doc_id comes before all others. Other columns are not
     read; an empty table gives no rows.
     """
-    lines = _lines(docs, min_words)
-    place = F.struct("doc_id", "line_no", "row")
-    classes = save(
-        lines.withColumn("halves", _halves(F.col("w"))).groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("halves").alias("halves")),
-        "line-classes",
+    words = F.size(F.split("line", " "))
+    place = ["doc_id", "row", "line_no"]
+    lines = save(
+        _lines(docs).withColumn("n", words).where(F.col("n") >= min_words)
+        .select(*place, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), _segment_keys(F.col("line"), F.col("n"), COARSE).getField("key").alias("keys")),
+        "lines",
+    )
+    least = F.struct("doc_id", "line_no", "row")
+    classes = save(lines.groupBy("h", "g").agg(F.min(least).alias("first"), F.max(least).alias("last"), F.first("keys").alias("keys")), "line-classes")
+
+    some = _shared(classes.select("h", "g", F.transform("keys", lambda k: F.struct(k.alias("key"))).alias("keys")), ["h", "g"]).distinct()
+    firsts = save(classes.join(some, ["h", "g"], "left_semi").select("h", "g", "first"), "line-firsts")
+    names = [F.col(f"first.{c}").alias(f"_{c}") for c in place]
+    thin = _maybe_in(_lines(docs), F.xxhash64(*place), firsts, F.xxhash64("first.doc_id", "first.row", "first.line_no"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
+    near = save(thin.join(firsts.select("h", "g", "first", *names), reduce(lambda a, b: a & b, on)).select("h", "g", "first", "line", words.alias("n")).dropDuplicates(["h", "g"]), "line-near")
+
+    around = _shared(near.select("h", "g", _segment_keys(F.col("line"), F.col("n"), FINE).alias("keys")), ["h", "g"])
+    length = F.col("n") - F.col("less")
+    spans = around.join(near, ["h", "g"]).select(
+        "h", "g", "first", "line", "n",
+        F.floor(length * F.col("segment") / FINE).cast("int").alias("a"),
+        (F.floor(length * (F.col("segment") + 1) / FINE) + F.col("less")).cast("int").alias("b"),
+    )
+    hashes = F.transform(F.split("line", " "), lambda x: F.xxhash64(x))
+    left_out = lambda w: F.transform(
+        F.filter(F.sequence("a", F.col("b") - 1), lambda i: F.col("a") < F.col("b")),
+        lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.col("n"))).alias("key")),
     )
-    halves = classes.select("h", "g", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    some = halves.join(shared, "half", "left_semi").select("h", "g").distinct()
-    firsts = classes.select("h", "g", "first").join(some, ["h", "g"], "left_semi").select("first.*", F.col("h").alias("ch"), F.col("g").alias("cg"))
-    on = [lines["doc_id"].eqNullSafe(firsts["doc_id"]), lines["row"] == firsts["row"], lines["line_no"] == firsts["line_no"]]
-    near = save(lines.join(firsts, reduce(lambda a, b: a & b, on)).select("ch", "cg", F.struct(lines["doc_id"], lines["line_no"], lines["row"]).alias("first"), "w").dropDuplicates(["ch", "cg"]), "line-near")
-    w, n = F.col("w"), F.size("w")
-    variants = near.select(
-        "ch", "cg", "first", n.alias("n"),
-        F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))))).alias("at", "key"),
+    variants = save(
+        spans.select("h", "g", "first", "n", F.explode(F.element_at(F.transform(F.array(hashes), left_out), 1)).alias("v")).select("h", "g", "first", "n", "v.*").distinct(),
+        "line-variants",
     )
-    least = variants.groupBy("key", "at", "n").agg(F.min("first").alias("kept"), F.count("*").alias("lines")).where("lines > 1").drop("lines")
-    replaced = variants.join(least, ["key", "at", "n"]).where("kept < first").select("ch", "cg", "kept", "first")
-    whole = near.select(F.xxhash64("w").alias("key"), (n + 1).alias("n"), F.col("ch").alias("sh"), F.col("cg").alias("sg"), F.col("first").alias("short"))
+    earliest = variants.groupBy("key", "at", "n").agg(F.min("first").alias("kept"), F.count("*").alias("lines")).where("lines > 1").drop("lines")
+    replaced = variants.join(earliest, ["key", "at", "n"]).where("kept < first").select("h", "g", "kept", "first")
+    whole = near.select(F.xxhash64(hashes, F.array().cast("array<bigint>")).alias("key"), (F.col("n") + 1).alias("n"), F.col("h").alias("sh"), F.col("g").alias("sg"), F.col("first").alias("short"))
     grown = variants.join(whole, ["key", "n"])
-    longer = grown.where("short < first").select("ch", "cg", F.col("short").alias("kept"), "first")
-    shorter = grown.where("first < short").select(F.col("sh").alias("ch"), F.col("sg").alias("cg"), F.col("first").alias("kept"), F.col("short").alias("first"))
+    longer = grown.where("short < first").select("h", "g", F.col("short").alias("kept"), "first")
+    shorter = grown.where("first < short").select(F.col("sh").alias("h"), F.col("sg").alias("g"), F.col("first").alias("kept"), F.col("short").alias("first"))
     pairs = replaced.unionByName(longer).unionByName(shorter).distinct()
-    words = near.select("first", "w")
-    checked = pairs.join(words, "first").join(words.select(F.col("first").alias("kept"), F.col("w").alias("kept_w")), "kept").where(within_one_edit(F.col("w"), F.col("kept_w")))
-    keepers = checked.groupBy("ch", "cg").agg(F.min("kept").alias("kept"))
-    same = [classes["h"] == keepers["ch"], classes["g"] == keepers["cg"]]
-    judged = save(classes.join(keepers, reduce(lambda a, b: a & b, same), "left").where("kept is not null or first < last").select("h", "g", "first", F.coalesce("kept", "first").alias("kept")), "line-judged")
+    text = near.select("first", F.split("line", " ").alias("w"))
+    checked = pairs.join(text, "first").join(text.select(F.col("first").alias("kept"), F.col("w").alias("kept_w")), "kept").where(within_one_edit(F.col("w"), F.col("kept_w")))
+    keepers = checked.groupBy("h", "g").agg(F.min("kept").alias("kept"))
+    judged = save(classes.join(keepers, ["h", "g"], "left").where("kept is not null or first < last").select("h", "g", "first", F.coalesce("kept", "first").alias("kept")), "line-judged")
     return (
-        lines.drop("w").join(judged, ["h", "g"]).where(~((F.col("kept") == F.col("first")) & (F.struct("doc_id", "line_no", "row") == F.col("first"))))
-        .select("doc_id", "row", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
+        lines.drop("keys").join(judged, ["h", "g"]).where(~((F.col("kept") == F.col("first")) & (F.struct("doc_id", "line_no", "row") == F.col("first"))))
+        .select(*place, F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
     )
 
 
