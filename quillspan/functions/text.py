@@ -8,6 +8,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillspan.functions import vocab
 
@@ -28,7 +29,7 @@ def collapse(c: Column, unicode: bool = True) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), blank, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC with all but printing characters and white space dropped; Arrow batches, as no built-in normalises."""
     def one(x: str | None) -> str:
@@ -130,7 +131,7 @@ def asr_normal(c: Column, compatible: bool = True) -> Column:
 def split_units(c: Column) -> Column:
     """Units between runs of five or more exclamation marks, control tokens blanked, empty ones dropped."""
     clean = F.regexp_replace(F.coalesce(c, F.lit("")), vocab.CONTROL_RE, " ")
-    return F.filter(F.transform(F.split(collapse(clean), vocab.IU_SEPARATOR_RE), collapse), lambda x: x != "")
+    return F.filter(F.transform(F.split(collapse(clean), vocab.IU_SEPARATOR_RE), lambda x: collapse(x)), lambda x: x != "")
 
 
 def text_from_words(c: Column) -> Column:
@@ -145,7 +146,7 @@ def safe_name(c: Column) -> Column:
 
 
 def csv_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def path_source(c: Column, unknown: str | None = "unknown") -> Column:

@@ -1 +1,3 @@
+"""Named queries over the test tables: importing this package fills the registry."""
 
+from quillspan.plans import ordered, ranking, relational, scalars  # noqa: F401
