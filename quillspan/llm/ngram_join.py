@@ -29,8 +29,10 @@ from quillspan.llm.components import connected_components
 from quillspan.llm.words import mix, mix_int, runs, shingle_set, texts, word_hashes
 from quillspan.scratch import save
 
-#: Rows of a tile of the product, and columns that are multiplied at once.
-TILE, COLUMNS = 1024, 2048
+#: Rows and n-grams of a tile of the product on average at most, and columns that are multiplied at once.
+TILE, TILE_GRAMS, COLUMNS = 2048, 2_000_000, 2048
+#: Rows from which a column is multiplied densely.
+DENSE_FROM = 24
 #: Sets that a task remembers to give each set's keys once.
 REMEMBERED = 500_000
 
@@ -156,41 +158,64 @@ def _again(k: int):
     return run
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many n-grams each left set shares with each right set: products of blocks of columns, summed up."""
-    n = len(left)
-    every = [*left, *right]
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many n-grams each left set shares with each right set (None: the left sets with each other).
+
+    Columns that one side alone holds are left out. A column of few rows adds its pairs one by one; columns of many
+    rows are multiplied as dense blocks. For ``right`` None, only entries off the diagonal are right.
+    """
+    n, every = len(left), [*left, *(right or ())]
+    width = len(right) if right is not None else n
     grams, rows = np.concatenate(every), np.repeat(np.arange(len(every)), [len(x) for x in every])
     order = np.argsort(grams, kind="stable")
     grams, rows = grams[order], rows[order]
-    column = np.concatenate([[0], np.cumsum(grams[1:] != grams[:-1])])
-    both = np.zeros(column[-1] + 1, np.int8)
-    np.bitwise_or.at(both, column, np.where(rows < n, 1, 2).astype(np.int8))
-    keep = both[column] == 3
-    column, rows = column[keep], rows[keep]
-    out = np.zeros((n, len(right)), np.float32)
-    if not len(column):
-        return out
-    column = np.concatenate([[0], np.cumsum(column[1:] != column[:-1])])
-    edges = np.searchsorted(column, np.arange(0, column[-1] + 1 + COLUMNS, COLUMNS))
-    for a, b in zip(edges, edges[1:], strict=False):
-        c, r = column[a:b] - column[a], rows[a:b]
-        x = np.zeros((len(every), int(c[-1]) + 1), np.float32)
-        x[r, c] = 1
-        out += x[:n] @ x[n:].T
-    return out
+    starts = np.nonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))[0]
+    ends = np.append(starts[1:], len(grams))
+    if right is None:
+        use = ends - starts > 1
+    else:  # rows ascend within a column
+        use = (rows[starts] < n) & (rows[ends - 1] >= n)
+    starts, ends = starts[use], ends[use]
+    size = ends - starts
+    out = np.zeros((n, width), np.float32)
+    codes = []
+    light = np.nonzero(size <= DENSE_FROM)[0]
+    for step in range(1, int(size[light].max(initial=1))):
+        light = light[size[light] > step]
+        within = size[light] - step
+        at = np.repeat(starts[light] - np.concatenate([[0], np.cumsum(within)[:-1]]), within) + np.arange(within.sum())
+        i, j = rows[at], rows[at + step]
+        if right is not None:
+            cross = (i < n) & (j >= n)
+            i, j = i[cross], j[cross] - n
+        codes.append(i * width + j)
+    if codes:
+        pairs, times = np.unique(np.concatenate(codes), return_counts=True)
+        out.ravel()[pairs] += times
+    heavy = np.nonzero(size > DENSE_FROM)[0]
+    for k in range(0, len(heavy), COLUMNS):
+        some = heavy[k : k + COLUMNS]
+        at = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(size[some])[:-1]]), size[some]) + np.arange(size[some].sum())
+        x = np.zeros((len(every), len(some)), np.float32)
+        x[rows[at], np.repeat(np.arange(len(some)), size[some])] = 1
+        if right is None:
+            out += np.triu(x @ x.T, 1)
+        else:
+            out += x[:n] @ x[n:].T
+    return out + out.T if right is None else out
 
 
 def links(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Which left and right sets link; no product where the sizes of all pairs rule a link out."""
-    a, b = np.array([len(x) for x in left])[:, None], np.array([len(x) for x in right])[None, :]
+    a, b = np.array([len(x) for x in left])[:, None].astype(np.int32), np.array([len(x) for x in right])[None, :].astype(np.int32)
     near = (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (np.minimum(a, b) > 0)
     if not near.any():
         return near
     some_a, some_b = np.nonzero(near.any(1))[0], np.nonzero(near.any(0))[0]
-    shared = np.zeros(near.shape)
-    shared[np.ix_(some_a, some_b)] = overlaps([left[i] for i in some_a], [right[i] for i in some_b])
-    return near & (den * shared >= num * (a + b - shared))
+    shared = overlaps([left[i] for i in some_a], None if right is left else [right[i] for i in some_b])
+    need = -(-num * (a[some_a] + b[:, some_b]) // (num + den))  # den * shared >= num * (a + b - shared)
+    near[np.ix_(some_a, some_b)] &= shared >= need
+    return near
 
 
 def _tile_links(num: int, den: int):
@@ -207,7 +232,8 @@ def _tile_links(num: int, den: int):
             right = left if i == j else np.nonzero(where == j)[0]
             if not len(left) or not len(right):
                 continue
-            on = links([sets[x] for x in left], [sets[x] for x in right], num, den)
+            rows = [sets[x] for x in left]
+            on = links(rows, rows if i == j else [sets[x] for x in right], num, den)
             x, y = np.nonzero(on)
             x, y = left[x], right[y]
             label = np.arange(len(nodes))
@@ -243,8 +269,9 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     sets = save(docs.mapInArrow(_sets(k, num, den), "doc_id long, node long, n_shingles long, keys array<long>"), "ngram-sets")
     keyed = sets.select("node", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "node")
     rough = connected_components(keyed.mapInArrow(_stars, "a long, b long"))
-    size = rough.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    stand = sets.select("node", "doc_id").join(rough.join(size, "root"), "node").groupBy("node", "root", "tiles").agg(F.min("doc_id").alias("id"))
+    stand = save(sets.join(rough, "node").groupBy("node", "root").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")), "ngram-stand")
+    size = stand.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"))
+    stand = stand.join(size, "root")
     grams = docs.join(stand, docs["doc_id"].eqNullSafe(stand["id"])).select("text", "node", "root", "tiles").mapInArrow(_again(k), "node long, root long, tiles int, grams array<long>")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
