@@ -9,8 +9,10 @@ cut into tiles. Within a tile the overlap counts are accumulated over blocks of
 rule them out are discarded, and the rest are kept if the count reaches the bound that follows from the two sizes.
 Nothing is sampled or capped, and no link between different sets is lost.
 
-A part may be empty in both sets. The number of parts leaves room for some empty ones; a set with more of them also
-gives its first n-grams in hash order, so many that any two similar sets share one (prefix filter).
+A part may be empty in both sets. With D the largest difference and p parts, sets that agree on no other part have
+p - D empty parts in common. So a set with e >= p - D empty parts also gives, for each of the first e - (p - D) + 1 of
+them, its first n-grams in hash order, so many that any two similar sets share one (prefix filter): the first of
+the common empty parts is among these for both sets.
 """
 
 from __future__ import annotations
@@ -62,20 +64,22 @@ def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a set of n-gram hashes; two different sets of similarity num/den or more share one."""
     n = len(s)
     tops, most, parts = _classes(num, den, 1 << max(10, (n * den // num).bit_length()))
-    h, out, thin = mix(s), [], False
+    h, out = mix(s), []
+    first = s[: n - (n * num + den - 1) // den + 1]
     spread = (h >> np.uint64(32)).astype(np.int64)
     low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.float64), spread.astype(np.float64)
     for c in range(bisect_left(tops, n), bisect_left(tops, n * den // num) + 1):
         if not most[c]:
             continue  # sets of this class that are similar are equal
-        p = parts[c]
+        p, own = parts[c], np.uint64(mix_int(c + 1))
         part = ((h & np.uint64(0x7FFFFFFF)).astype(np.int64) * p) >> 31
         sums = np.bincount(part, low, p).astype(np.uint64) + (np.bincount(part, high, p).astype(np.uint64) << np.uint64(32))
-        full = np.nonzero(np.bincount(part, minlength=p))[0]
-        thin |= p - len(full) > p - 1 - most[c]
-        out.append(mix(sums[full] ^ mix(full.astype(np.uint64) + np.uint64(mix_int(c + 1)))))
-    if thin:
-        out.append(mix(s[: n - (n * num + den - 1) // den + 1] ^ np.uint64(0x5851F42D4C957F2D)))
+        held = np.bincount(part, minlength=p) > 0
+        full, empty = np.nonzero(held)[0], np.nonzero(~held)[0]
+        out.append(mix(sums[full] ^ mix(full.astype(np.uint64) + own)))
+        spare = p - 1 - most[c]
+        for j in empty[: max(0, len(empty) - spare)].tolist():
+            out.append(mix(first ^ np.uint64(mix_int((c << 32) + j + 1))))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
