@@ -23,10 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.bitmap import maybe_in
 from quillspan.scratch import save
 
-#: Bits of the filter that is broadcast to thin out lines before a join: 8 MB whatever the input.
-FILTER_BITS = 1 << 26
 #: Segments of the two rounds.
 COARSE, FINE = 2, 8
 BLANKS = " \t\n\x0b\x0c\r"
@@ -58,21 +57,6 @@ def _shared(keyed: DataFrame, by: list[str]) -> DataFrame:
     return keys.join(several, "key", "left_semi").drop("key")
 
 
-def _bit(hashed: Column) -> Column:
-    return F.pmod(hashed, F.lit(FILTER_BITS)) + 1
-
-
-def _maybe_in(rows: DataFrame, hashed: Column, some: DataFrame, some_hashed: Column) -> DataFrame:
-    """The rows whose hash may be among those of ``some``: a broadcast bitmap, which never loses a row."""
-    bits = some.select(_bit(some_hashed).alias("b"))
-    maps = bits.groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bitmap"))
-    numbered = rows.withColumn("_b", _bit(hashed)).withColumn("_p", F.bitmap_bit_position("_b")).withColumn("_bucket", F.bitmap_bucket_number("_b"))
-    joined = numbered.join(F.broadcast(maps), F.col("_bucket") == F.col("bucket"))  # at most FILTER_BITS / 32768 rows of 4 KB
-    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(F.col("_p") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    set_bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("_p", F.lit(8)))), F.lit(2)) == 1
-    return joined.where(set_bit).drop("_b", "_p", "_bucket", "bucket", "bitmap")
-
-
 def within_one_edit(a: Column, b: Column) -> Column:
     """Whether two word arrays are at most one word put in, left out or replaced apart."""
 
@@ -105,7 +89,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     some = _shared(classes.select("h", "g", F.transform("keys", lambda k: F.struct(k.alias("key"))).alias("keys")), ["h", "g"]).distinct()
     firsts = save(classes.join(some, ["h", "g"], "left_semi").select("h", "g", "first"), "line-firsts")
     names = [F.col(f"first.{c}").alias(f"_{c}") for c in place]
-    thin = _maybe_in(_lines(docs), F.xxhash64(*place), firsts, F.xxhash64("first.doc_id", "first.row", "first.line_no"))
+    thin = maybe_in(_lines(docs), F.xxhash64(*place), firsts, F.xxhash64("first.doc_id", "first.row", "first.line_no"))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
     near = save(thin.join(firsts.select("h", "g", "first", *names), reduce(lambda a, b: a & b, on)).select("h", "g", "first", "line", words.alias("n")).dropDuplicates(["h", "g"]), "line-near")
 
@@ -148,14 +132,14 @@ def drop_duplicate_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     A row none of whose lines stays goes, unless its text had no line to drop. Rows that repeat both doc_id and text are
     treated alike. Needs the columns doc_id and text.
     """
-    drops = duplicate_lines(docs, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_drop"))
+    drops = duplicate_lines(docs, min_words).groupBy(F.col("doc_id").alias("__dropped_id"), F.col("row").alias("__dropped_row")).agg(F.collect_set("line_no").alias("__dropped_lines"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_row")), "left")
+    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__dropped_id")) & (F.xxhash64(text) == F.col("__dropped_row")), "left")
     lines = F.split(F.col("text"), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped_lines"))
     kept = F.transform(F.array(lines), lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n"))
-    new = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.element_at(kept, 1))
-    out = joined.withColumn("text", new).where(F.col("_drop").isNull() | F.col("text").rlike("[^ \\t-\\r]"))
+    new = F.when(F.col("__dropped_lines").isNull(), F.col("text")).otherwise(F.element_at(kept, 1))
+    out = joined.withColumn("text", new).where(F.col("__dropped_lines").isNull() | F.col("text").rlike("[^ \\t-\\r]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__dropped_lines").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

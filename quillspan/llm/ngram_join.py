@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.bitmap import maybe_in
 from quillspan.llm.components import connected_components
 from quillspan.llm.words import mix, mix_int, runs, shingle_set, texts, word_hashes
 from quillspan.scratch import save
@@ -276,7 +277,8 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     stand = save(sets.join(rough, "node").groupBy("node", "root").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")), "ngram-stand")
     size = stand.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"))
     stand = stand.join(size, "root")
-    grams = docs.join(stand, docs["doc_id"].eqNullSafe(stand["id"])).select("text", "node", "root", "tiles").mapInArrow(_again(k), "node long, root long, tiles int, grams array<long>")
+    some = maybe_in(docs, F.xxhash64("doc_id"), stand, F.xxhash64("id"))
+    grams = some.join(stand, some["doc_id"].eqNullSafe(stand["id"])).select("text", "node", "root", "tiles").mapInArrow(_again(k), "node long, root long, tiles int, grams array<long>")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     spread = (
