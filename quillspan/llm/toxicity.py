@@ -96,7 +96,7 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def fit_linear(sets: list[np.ndarray], before: np.ndarray, y: np.ndarray, size: int, l2: float = 2.0, rounds: int = 200) -> Linear:
     """L2-regularised logistic regression by accelerated full-batch descent; one class alone gives a constant."""
     n = len(y)
-    rate = (y.sum() + 0.5) / (n + 1)
+    rate = (y.sum() + 0.01) / (n + 1)  # without rows: a low one
     bias = float(np.log(rate / (1 - rate)))
     model = Linear(bias, np.zeros(size), np.zeros(before.shape[1]))
     if not n or y.min() == y.max():
