@@ -41,15 +41,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A row whose doc_id is null stays only where its group has no other doc_id. Rows that repeat a doc_id leave one.
     """
     groups = ngram_components(docs, k=5, num=4, den=5)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
     return kept.dropDuplicates(["doc_id"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold less than half of every benchmark item's tokens in common stretches of five or more."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=5, num=1, den=2).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=5, num=1, den=2).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
