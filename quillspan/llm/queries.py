@@ -13,6 +13,7 @@ from quillspan.llm.decontaminate import contaminated
 from quillspan.llm.host_quality import host_quality
 from quillspan.llm.line_dedup import duplicate_lines
 from quillspan.llm.ngram_join import ngram_components
+from quillspan.llm.oracles import ORACLES  # noqa: F401
 from quillspan.llm.packing import pack
 from quillspan.llm.pii import find_pii
 from quillspan.llm.toxicity import toxicity, train
@@ -82,5 +83,3 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
 }
-
-ORACLES: dict[str, str] = {}
