@@ -7,10 +7,13 @@ order of ``md5(seed|id)``: sizes and invariants are exact, and any engine with m
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.scratch import save
+
 
 def hash_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
@@ -36,10 +39,36 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], stamp: Column, seq: str)
     return top_per_group(df, keys, [stamp.desc(), F.col(seq).desc()]).drop("rn")
 
 
+def positions(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
+    """Rows with their position from 0 in the table's order; no task sees more than its range of rows.
+
+    Rows are dealt out by range and written with the number of their part, so that counting and numbering see the same
+    parts. A row's position is its number within its part after the rows of the parts before. End ``order`` with a unique key.
+    """
+    dealt = save(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "positions")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each part
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    placed = within.join(counts.select("_part", before.alias("_before")), "_part")
+    return placed.withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long")).drop("_part", "_rn", "_before")
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn", size: str | None = None) -> DataFrame:
+    """Rank from 1 within the group, as ``numbered`` gives, for groups that may be too large for one task.
+
+    The rank is the row's position in the order of (keys, order) less the group's first position. ``size``, if given, names a column of
+    the group's number of rows.
+    """
+    placed = positions(df, [*[F.col(k) for k in keys], *order], "_pos")
+    groups = placed.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.min("_pos").alias("_start"), F.count("*").alias(size or "_size"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return placed.join(groups, on).select(*df.columns, (F.col("_pos") - F.col("_start") + 1).alias(name), *([size] if size else []))
+
+
 def interleave(df: DataFrame, source: str, order: Sequence[Column], name: str = "pos") -> DataFrame:
     """Round robin over sources: the first of each, then the second of each, and so on; ``name`` counts from 1."""
-    turns = numbered(df, [source], order, "_turn")
-    return turns.withColumn(name, F.row_number().over(Window.orderBy("_turn", source))).drop("_turn")
+    turns = ranked(df, [source], order, "_turn")
+    return positions(turns, [F.col("_turn"), F.col(source)], name).withColumn(name, F.col(name) + 1).drop("_turn")
 
 
 def sample_per_group(df: DataFrame, keys: Sequence[str], key: str, k: int, seed: int) -> DataFrame:
@@ -56,18 +85,17 @@ def cap_per_source(df: DataFrame, source: str, key: str, most: int, seed: int, e
     """At most ``most`` rows of each source but the exempt ones; nothing is capped for ``most`` <= 0."""
     if most <= 0:
         return df
-    ranked = numbered(df, [source], [hash_order(seed, F.col(key)), F.col(key)])
-    return ranked.where((F.col("rn") <= most) | F.col(source).isin(*exempt)).drop("rn")
+    free = F.coalesce(F.col(source).isin(*exempt), F.lit(False)) if exempt else F.lit(False)
+    return df.where(free).unionByName(sample_per_group(df.where(~free), [source], key, most, seed))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, train: float, val: float, test: float, seed: int) -> DataFrame:
     """``split`` by label: half-even rounded sizes for train and val, the rest is test."""
     if abs(train + val + test - 1) > 1e-6:
         raise ValueError("fractions must sum to 1")
-    by = Window.partitionBy(label)
-    ranked = df.withColumn("rn", F.row_number().over(by.orderBy(hash_order(seed, F.col(key)), F.col(key)))).withColumn("n", F.count("*").over(by))
-    n_train, n_val = F.bround(F.col("n") * train, 0), F.bround(F.col("n") * val, 0)
-    return ranked.withColumn("split", F.when(F.col("rn") <= n_train, "train").when(F.col("rn") <= n_train + n_val, "val").otherwise("test")).drop("rn", "n")
+    rows = ranked(df, [label], [hash_order(seed, F.col(key)), F.col(key)], "_rn", "_n")
+    n_train, n_val = F.bround(F.col("_n") * train, 0), F.bround(F.col("_n") * val, 0)
+    return rows.withColumn("split", F.when(F.col("_rn") <= n_train, "train").when(F.col("_rn") <= n_train + n_val, "val").otherwise("test")).drop("_rn", "_n")
 
 
 def oversample(df: DataFrame, label: str, key: str, reference: str, fraction: float, most_repeat: int, seed: int) -> DataFrame:
@@ -82,8 +110,8 @@ def oversample(df: DataFrame, label: str, key: str, reference: str, fraction: fl
     draws = wanted.where("extra > 0").select(F.col(label).alias("_l"), "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("extra"))).alias("copy"))
     digest = F.conv(F.substring(hash_order(seed, F.concat_ws("|", "_l", "copy")), 1, 8), 16, 10).cast("long")
     draws = draws.select("_l", "copy", (F.pmod(digest, F.col("n")) + 1).alias("_rn"))
-    ranked = numbered(df, [label], [hash_order(seed, F.col(key)), F.col(key)])
-    extra = ranked.join(draws, (ranked[label] == draws["_l"]) & (ranked["rn"] == draws["_rn"])).select(*[ranked[c] for c in df.columns], "copy")
+    rows = ranked(df, [label], [hash_order(seed, F.col(key)), F.col(key)])
+    extra = rows.join(draws, (rows[label] == draws["_l"]) & (rows["rn"] == draws["_rn"])).select(*[rows[c] for c in df.columns], "copy")
     return df.withColumn("copy", F.lit(0).cast("long")).unionByName(extra)
 
 
@@ -92,16 +120,8 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def shard_numbers(df: DataFrame, order: Sequence[Column], rows: int, name: str = "shard") -> DataFrame:
-    """Consecutive shards of ``rows`` rows from 0.
-
-    Positions over the whole table come from per-bucket counts, so no single task sees all rows: rows are put in range
-    order into buckets, numbered within them, and shifted by the rows of the buckets before.
-    """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    before = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return within.join(offsets, "_part").withColumn(name, F.floor((F.col("_before") + F.col("_rn") - 1) / rows).cast("long")).drop("_part", "_rn", "_before")
+    """Consecutive shards of ``rows`` rows from 0."""
+    return positions(df, order, name).withColumn(name, F.floor(F.col(name) / rows).cast("long"))
 
 
 def late_fetch(wide: DataFrame, chosen: DataFrame, key: str, rank: str) -> DataFrame:
@@ -111,7 +131,13 @@ def late_fetch(wide: DataFrame, chosen: DataFrame, key: str, rank: str) -> DataF
 
 def order_statistic(df: DataFrame, value: str, share: float) -> DataFrame:
     """The value at index int((n-1) * share) of the sorted values, counted by distinct value and not collected."""
-    counts = df.groupBy(value).agg(F.count("*").alias("c"))
-    running = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    at = F.floor((F.col("n") - 1) * share)
-    return running.where((at < F.col("upto")) & (at >= F.col("upto") - F.col("c"))).select(F.col(value).alias("value"))
+    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
+    steps = positions(counts, [F.col(value)], "_at")
+    # cumulative counts by blocks of 10,000 distinct values, then within the one block that holds the index
+    blocks = steps.groupBy(F.floor(F.col("_at") / 10_000).alias("_block")).agg(F.sum("_c").alias("_rows"))
+    upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(upto), F.lit(0))).withColumn("_index", F.floor((F.sum("_rows").over(Window.partitionBy()) - 1) * F.lit(share)))
+    one = blocks.where("_index >= _before and _index < _before + _rows")
+    inside = steps.withColumn("_block", F.floor(F.col("_at") / 10_000)).join(one, "_block")
+    last = F.col("_before") + F.sum("_c").over(Window.orderBy("_at"))
+    return inside.withColumn("_last", last).where("_index < _last and _index >= _last - _c").select(F.col(value).alias("value"))
