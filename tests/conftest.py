@@ -10,7 +10,8 @@ import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"  # for the Python workers
+sys.path.insert(0, str(ROOT / "tests"))
+os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{ROOT}/tests{os.pathsep}{os.environ.get('PYTHONPATH', '')}"  # for the Python workers
 
 from quillspan.session import get_session  # noqa: E402
 
