@@ -26,11 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+#: Lets Spark drop a write's shuffle files when it is over; without it they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the table read back."""
+    """Write ``df`` as Parquet into the shared folder and return the table read back.
+
+    Nothing reads the write's shuffle files once the table is there, so they go with it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
