@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import ceil, exp, sqrt
 
 import numpy as np
@@ -36,6 +36,8 @@ from quillspan.scratch import save
 TILE, TILE_GRAMS, COLUMNS = 2048, 2_000_000, 2048
 #: Rows from which a column is multiplied densely.
 DENSE_FROM = 24
+#: Rounds in which the keys are dealt out, so that a part of them is in shuffle files at a time.
+ROUNDS = 4
 #: Sets that a task remembers to give each set's keys once.
 REMEMBERED = 500_000
 
@@ -272,8 +274,12 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = save(docs.mapInArrow(_sets(k, num, den), "doc_id long, node long, n_shingles long, keys array<long>"), "ngram-sets")
-    keyed = sets.select("node", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "node")
-    rough = connected_components(keyed.mapInArrow(_stars, "a long, b long"))
+    keys = sets.select("node", F.explode("keys").alias("key"))
+    edges = []
+    for r in range(ROUNDS):
+        dealt = keys.where(F.pmod("key", F.lit(ROUNDS)) == r).repartition("key").sortWithinPartitions("key", "node")
+        edges.append(save(dealt.mapInArrow(_stars, "a long, b long").distinct(), "ngram-edges"))
+    rough = connected_components(reduce(DataFrame.unionByName, edges))
     stand = save(sets.join(rough, "node").groupBy("node", "root").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")), "ngram-stand")
     size = stand.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"))
     stand = stand.join(size, "root")
