@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity, line dedup, near-duplicate removal, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's result as Parquet into the
-shared folder and gives what it reads back to the next. All but the last return the columns of ``docs``.
+shared folder and gives what it reads back to the next. All but the last return the columns of ``docs``, with their types,
+whatever other columns it has; an empty table gives an empty one. A null or empty text is not toxic, has no line to drop,
+is like no other document, holds no benchmark item, and is packed as one token.
 """
 
 from __future__ import annotations
@@ -21,17 +23,23 @@ from quillspan.scratch import save
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Packing and the similarity on 5-word shingles that SQL cannot express at scale.
+#: SQL cannot express the classifier, string tiling or packing; the stages are tested against planted and brute-force cases.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not find toxic; the chain learns from ``labels``."""
+    """Documents that the classifier chain does not find toxic; the chain learns from ``labels``.
+
+    Repeated rows are judged alike; without labelled rows nothing is dropped.
+    """
     return without_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of ten words or more that copy earlier ones; documents with no line left go."""
+    """Documents without the lines of ten words or more that copy earlier ones; documents with no line left go.
+
+    Earlier is by (doc_id, line); a null doc_id comes first. n_chars follows the text. Rows that repeat doc_id and text are treated alike.
+    """
     return drop_duplicate_lines(docs, min_words=10)
 
 
@@ -47,13 +55,16 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than half of every benchmark item's tokens in common stretches of five or more."""
+    """Documents that hold less than half of every benchmark item's tokens in common stretches of five or more.
+
+    Rows that share a doc_id go together. Without benchmark items nothing is dropped.
+    """
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=5, num=1, den=2).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their place in a sequence."""
+    """Pieces of at most 4096 tokens with their place in a sequence, for every row there is."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
 
 
