@@ -43,3 +43,14 @@ def test_planted_cases(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
+
+
+def test_stages_take_odd_and_empty_tables(spark, sf_dir):
+    from helpers import odd_docs
+
+    for table in (clashing(odd_docs(spark)), clashing(docs(spark, []))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, sf_dir)
+            assert out.columns == table.columns, name
+            assert out.where("doc_id in (1, 2)").count() == table.where("doc_id in (1, 2)").count(), name
+        assert corpus_pipeline.pack_sequences(spark, table, sf_dir).select("doc_id").distinct().count() == table.select("doc_id").distinct().count()
