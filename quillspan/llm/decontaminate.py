@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.words import mix, window_hashes, word_hashes
+from quillspan.llm.words import mix, small, window_hashes, word_hashes
 
 #: Tokens of test items that are broadcast at once (some 100 bytes each); more items are taken in blocks of this size.
 BLOCK_TOKENS = 200_000
@@ -144,7 +144,7 @@ class _Seeds:
 def _match(seeds, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = seeds.value
-        for batch in batches:
+        for batch in small(batches):
             rows, items, covered, sizes, counts, spans = [], [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 for item_id, size, found in s.tiles(word_hashes(tokens(text or ""))):
