@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.decontaminate import tokens
-from quillspan.llm.words import mix, shingle_set, word_hashes
+from quillspan.llm.words import mix, shingle_set, small, word_hashes
 from quillspan.scratch import save
 
 # Seed words of the categories before the label.
@@ -139,7 +139,7 @@ def fit_chain(vocabulary: list[bytes], sets: list[np.ndarray], labels: np.ndarra
 
 def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of each text, and two minima over its 3-word shingles' hashes, which near copies share."""
-    for batch in batches:
+    for batch in small(batches):
         runs = [tokens(t or "") for t in batch.column("text").to_pylist()]
         words = [sorted(features(t or "")) for t in batch.column("text").to_pylist()]
         shingles = [shingle_set(word_hashes(x), 3) for x in runs]
@@ -164,7 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Chain:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows of 12 bytes
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = rows.select(F.xxhash64("text").alias("fold_key"), "toxic", "text").mapInArrow(_row_words, "fold_key long, toxic int, m1 long, m2 long, words array<binary>")
-    sample = save(rows.dropDuplicates(["m1"]).dropDuplicates(["m2"]), "toxic-sample")
+    for m in ("m1", "m2"):  # of texts that share a minimum, the one with the least hash
+        rows = rows.groupBy(F.col(m).alias("of")).agg(F.min_by(F.struct("*"), F.struct("fold_key", "toxic")).alias("r")).select("r.*")
+    sample = save(rows, "toxic-sample")
     seeds = {c: F.array(*[F.lit(w.encode()) for w in SEEDS[c]]) for c in SEEDS}
     marked = sample.withColumns({c: ((F.col("toxic") == 1) & F.arrays_overlap("words", s)).cast("int") for c, s in seeds.items()})
     counts = marked.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CATEGORIES]).first()
@@ -181,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Chain:
     at = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [[at.value[w] for w in x if w in at.value] for x in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("fold_key"), *(batch.column(c) for c in CATEGORIES), pa.array(sets, pa.list_(pa.int32()))], ["fold_key", *CATEGORIES, "at"])
 
@@ -195,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Chain:
 def _score(chain, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = chain.value
-        for batch in batches:
+        for batch in small(batches):
             found = (features(t or "", c.heads) & c.known for t in batch.column("text").to_pylist())
             sets = [np.array(sorted(c.vocabulary[w] for w in f), np.int64) for f in found]
             p = c.predict(sets)
@@ -224,7 +226,7 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             text = batch.column(at).cast(pa.string())
             for scored in _score(model, threshold)(iter([pa.RecordBatch.from_arrays([text], ["text"])])):
                 yield batch.filter(pc.invert(scored.column("toxic")))
