@@ -46,12 +46,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document, by doc_id, of each group linked by similarity 0.8 on 5-word shingles.
 
-    A row whose doc_id is null stays only where its group has no other doc_id. Rows that repeat a doc_id leave one.
+    A row whose doc_id is null stays only where its group has no other doc_id. Of rows that repeat a doc_id the one with the least hash of its
+    text stays.
     """
     groups = ngram_components(docs, k=5, num=4, den=5)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("__row")
+    return kept.groupBy(F.col("doc_id").alias("__of")).agg(one).select("__row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
