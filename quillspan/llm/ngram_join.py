@@ -4,8 +4,8 @@ The product A·Aᵀ of the incidence matrix holds, for each pair of documents, h
 that can hold a linked pair are multiplied. Rows are first brought down to one per distinct set. Then the columns are
 split into parts by hash: sets of sizes a and b that reach similarity t = num/den differ in at most
 (a+b)(1-t)/(1+t) n-grams, so if there are more parts than that, they agree wholly on a part. Sets that agree on a part
-of the same number of parts fall into one group of rows; the groups' connected unions are the row blocks, large ones
-cut into tiles. Within a tile the overlap counts are accumulated over blocks of columns, pairs whose sizes alone
+of the same number of parts fall into one group of rows; the groups' connected unions are the row blocks. A large block
+is cut by size into overlapping spans, such that sets of sizes that can be similar share one, and a large span into tiles. Within a tile the overlap counts are accumulated over blocks of columns, pairs whose sizes alone
 rule them out are discarded, and the rest are kept if the count reaches the bound that follows from the two sizes.
 Nothing is sampled or capped, and no link between different sets is lost.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from math import ceil, exp, sqrt
+from math import exp, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +53,8 @@ def _classes(num: int, den: int, upto: int) -> tuple[list[int], list[int], list[
             hi += 1
         d = differ(hi)
         p = d + 1
-        for _ in range(8):
-            empty = p * exp(-lo / p)
-            p = d + 1 + (0 if empty < 0.1 else ceil(empty + 2 * sqrt(empty)))
+        while p < 2 * (d + 1) and p - d - 1 < (empty := p * exp(-0.9 * lo / p)) + 3 * sqrt(empty) and empty >= 0.1:
+            p += 1  # room for the empty parts that a set of the class, or a little smaller, will hardly exceed
         tops.append(hi)
         most.append(d)
         parts.append(p)
@@ -159,7 +158,7 @@ def _again(k: int):
                 ends = np.cumsum([0, *map(len, sets)])
                 grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 same = pa.array([i for i, (s, n) in enumerate(zip(sets, part.column("node").to_pylist(), strict=True)) if len(s) and set_id(s) == n % (1 << 64)], pa.int64())
-                out = pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("tiles"), grams], ["node", "root", "tiles", "grams"])
+                out = pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("spots"), grams], ["node", "root", "spots", "grams"])
                 yield out.take(same)
 
     return run
@@ -226,11 +225,11 @@ def links(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -
 
 
 def _tile_links(num: int, den: int):
-    """Rows sorted by (root, i, j) to a spanning forest of the links within each tile."""
+    """Rows sorted by (root, span, i, j) to a spanning forest of the links within each tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b = [], []
-        for tile in runs(batches, ["root", "i", "j"]):
+        for tile in runs(batches, ["root", "span", "i", "j"]):
             nodes, where = tile.column("node").to_numpy(), tile.column("tile").to_numpy()
             grams = tile.column("grams").combine_chunks()
             sets = [x.values.to_numpy() for x in grams]
@@ -281,16 +280,24 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
         edges.append(save(dealt.mapInArrow(_stars, "a long, b long").distinct(), "ngram-edges"))
     rough = connected_components(reduce(DataFrame.unionByName, edges))
     stand = save(sets.join(rough, "node").groupBy("node", "root").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")), "ngram-stand")
-    size = stand.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"))
-    stand = stand.join(size, "root")
-    some = maybe_in(docs, F.xxhash64("doc_id"), stand, F.xxhash64("id"))
-    grams = some.join(stand, some["doc_id"].eqNullSafe(stand["id"])).select("text", "node", "root", "tiles").mapInArrow(_again(k), "node long, root long, tiles int, grams array<long>")
+    small = (F.count("*") <= TILE) & (F.sum("n") <= TILE_GRAMS)
+    step = F.floor(F.log("n") / (1.01 * log(den / num))).cast("int")
+    spans = F.explode(F.when(F.col("small"), F.array(F.lit(-1))).otherwise(F.array(step, step + 1))).alias("span")
+    spread = stand.join(stand.groupBy("root").agg(small.alias("small")), "root").select("node", "root", "id", "n", spans)
+    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles")
+    sized = spread.groupBy("root", "span").agg(tiles, F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    spots = spread.join(sized, ["root", "span"]).groupBy("node", "root", "id").agg(F.collect_list(F.struct("span", "tiles")).alias("spots"))  # one or two
+    spots = save(spots, "ngram-spots")
+    some = maybe_in(docs, F.xxhash64("doc_id"), spots, F.xxhash64("id"))
+    again = some.join(spots, some["doc_id"].eqNullSafe(spots["id"])).select("text", "node", "root", "spots")
+    grams = again.mapInArrow(_again(k), "node long, root long, spots array<struct<span:int,tiles:int>>, grams array<long>")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    tiled = grams.dropDuplicates(["node"]).withColumn("s", F.explode("spots")).select("node", "root", "grams", "s.*")
     spread = (
-        grams.dropDuplicates(["node"]).withColumn("tile", tile).withColumn("other", other)
-        .select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "grams")
-        .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+        tiled.withColumn("tile", tile).withColumn("other", other)
+        .select("root", "span", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "grams")
+        .repartition("root", "span", "i", "j").sortWithinPartitions("root", "span", "i", "j", "node")
     )
     linked = connected_components(spread.mapInArrow(_tile_links(num, den), "a long, b long"))
     placed = sets.select("doc_id", "node", "n_shingles").join(linked, "node", "left").withColumn("class", F.coalesce("root", "node"))
