@@ -44,7 +44,17 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that ``save`` returned, once nothing will read it again."""
+    for path, spark in list(_written.items()):
+        if path == getattr(table, "_saved_at", None):
+            drop(spark, path)
+            del _written[path]
 
 
 def drop(spark: SparkSession, path: str) -> None:
