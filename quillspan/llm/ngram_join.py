@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillspan.llm.bitmap import maybe_in
 from quillspan.llm.components import connected_components
 from quillspan.llm.words import mix, mix_int, runs, shingle_set, texts, word_hashes
-from quillspan.scratch import save
+from quillspan.scratch import release, save
 
 #: Rows and n-grams of a tile of the product on average at most, and columns that are multiplied at once.
 TILE, TILE_GRAMS, COLUMNS = 2048, 2_000_000, 2048
@@ -230,8 +230,9 @@ def _tile_links(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b = [], []
         for tile in runs(batches, ["root", "span", "i", "j"]):
-            nodes, where = tile.column("node").to_numpy(), tile.column("tile").to_numpy()
-            grams = tile.column("grams").combine_chunks()
+            nodes, once = np.unique(tile.column("node").to_numpy(), return_index=True)  # a row may have come twice
+            where = tile.column("tile").to_numpy()[once]
+            grams = tile.column("grams").combine_chunks().take(pa.array(once))
             sets = [x.values.to_numpy() for x in grams]
             i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
             left = np.nonzero(where == i)[0]
@@ -278,6 +279,8 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     for r in range(ROUNDS):
         dealt = keys.where(F.pmod("key", F.lit(ROUNDS)) == r).repartition("key").sortWithinPartitions("key", "node")
         edges.append(save(dealt.mapInArrow(_stars, "a long, b long").distinct(), "ngram-edges"))
+    keyed, sets = sets, save(sets.drop("keys"), "ngram-nodes")
+    release(keyed)  # the keys are only needed for the edges
     rough = connected_components(reduce(DataFrame.unionByName, edges))
     stand = save(sets.join(rough, "node").groupBy("node", "root").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")), "ngram-stand")
     small = (F.count("*") <= TILE) & (F.sum("n") <= TILE_GRAMS)
@@ -293,7 +296,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     grams = again.mapInArrow(_again(k), "node long, root long, spots array<struct<span:int,tiles:int>>, grams array<long>")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiled = grams.dropDuplicates(["node"]).withColumn("s", F.explode("spots")).select("node", "root", "grams", "s.*")
+    tiled = grams.withColumn("s", F.explode("spots")).select("node", "root", "grams", "s.*")
     spread = (
         tiled.withColumn("tile", tile).withColumn("other", other)
         .select("root", "span", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "grams")
