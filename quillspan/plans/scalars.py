@@ -143,12 +143,17 @@ _PAIRS = r"""
  from (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as nxt from conversations) where nxt is not null)"""
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn's whole text with that of the next."""
     from pyspark.sql import Window
 
     ahead = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, d, "conversations").withColumn("nxt", ahead).where("nxt is not null").select("conv_id", "turn", F.col("text").alias("ref"), F.col("nxt").alias("pred"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
     ascii_only = lambda c: F.regexp_replace(F.left(c, F.lit(200)), "[^ -~]", "")
-    return table(spark, d, "conversations").withColumn("nxt", ahead).where("nxt is not null").select("conv_id", "turn", ascii_only("text").alias("ref"), ascii_only("nxt").alias("pred"))
+    return _turn_pairs(spark, d).select("conv_id", "turn", ascii_only("ref").alias("ref"), ascii_only("pred").alias("pred"))
 
 
 @query("char_error_rate", f"""
@@ -179,7 +184,7 @@ def word_error_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("token_lcs")
 def token_lcs(spark: SparkSession, d: str) -> DataFrame:
-    return _first_words(spark, d).select("conv_id", "turn", S.common_length(F.col("r"), F.col("p")).alias("lcs"))
+    return _turn_pairs(spark, d).select("conv_id", "turn", S.common_length(T.words(F.col("ref")), T.words(F.col("pred"))).alias("lcs"))
 
 
 @query("span_alignment")
