@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
-Two lines are copies if their words (what single spaces part, after white space at both ends is cut off) are within one
-edit of each other: a word put in, left out or replaced. A line is dropped if an earlier line, by (doc_id, line), is a
+Two lines are copies if their words (lower-cased, cut at ASCII white space) are within one edit of each other: a word put
+in, left out or replaced. A line is dropped if an earlier line, by (doc_id, line), is a
 copy of it; the earliest stays. Lines of fewer than ``min_words`` words always stay.
 
 Equal lines are brought together by hash first. The deletion neighbourhood of a line is the set of its variants with
@@ -28,14 +28,15 @@ from quillspan.scratch import save
 
 #: Segments of the two rounds.
 COARSE, FINE = 2, 8
-BLANKS = " \t\n\x0b\x0c\r"
+#: White space within a line that is not a single space.
+BLANKS = r" [ \t\x0B\f\r]+|[\t\x0B\f\r][ \t\x0B\f\r]*"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, line): all lines, without white space at both ends."""
+    """(doc_id, row, line_no, line): all lines, lower-cased, their words parted by single spaces."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return one.withColumn("line", F.btrim("line", F.lit(BLANKS)))
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(F.regexp_replace(F.lower(text), BLANKS, " "), "\n")).alias("line_no", "line"))
+    return one.withColumn("line", F.btrim("line"))
 
 
 def _segment_keys(line: Column, n: Column, m: int) -> Column:

@@ -52,6 +52,12 @@ def test_one_edit_each_way_and_chains(spark):
     assert plain(got) == [(2, 0, 1, 0), (3, 0, 1, 0), (4, 0, 1, 0), (5, 0, 4, 0), (8, 0, 1, 0)]
 
 
+def test_case_and_white_space_are_folded(spark):
+    rows = [(1, LINE, "s"), (2, LINE.replace("c d", "C D").replace("j", "J"), "s"), (3, LINE.replace(" ", "  "), "s"), (4, LINE.replace(" ", "\t"), "s"), (5, LINE.replace(" ", " \x0b\x0c").upper() + "\t\r\nÄ", "s"), (6, LINE.replace(" f", "\tZZ  "), "s"), (7, LINE.replace(" ", "\u00a0"), "s")]
+    got = duplicate_lines(docs(spark, rows), 10).drop("row")
+    assert plain(got) == [(2, 0, 1, 0), (3, 0, 1, 0), (4, 0, 1, 0), (5, 0, 1, 0), (6, 0, 1, 0)]
+
+
 def test_text_without_the_copies(spark):
     rows = [(1, f"head\n{LINE}\ntail", "s"), (2, f"{LINE}\nown words", "s"), (3, LINE, "s"), (4, None, "s"), (5, "", "s"), (6, "x\n\ny", "s")]
     got = {r.doc_id: (r.text, r.n_chars) for r in drop_duplicate_lines(docs(spark, rows)).collect()}
