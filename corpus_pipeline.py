@@ -36,11 +36,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of ten words or more that copy earlier ones; documents with no line left go.
+    """Documents without the lines that copy earlier ones, up to an edit from ten words on; documents with no line left go.
 
     Earlier is by (doc_id, line); a null doc_id comes first. n_chars follows the text. Rows that repeat doc_id and text are treated alike.
     """
-    return drop_duplicate_lines(docs, min_words=10)
+    return drop_duplicate_lines(docs, min_words=10, exact_words=1)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Two lines are copies if their words (lower-cased, cut at ASCII white space) are within one edit of each other: a word put
 in, left out or replaced. A line is dropped if an earlier line, by (doc_id, line), is a
-copy of it; the earliest stays. Lines of fewer than ``min_words`` words always stay.
+copy of it; the earliest stays. Lines of fewer than ``min_words`` words have equal lines as copies only, and none if they
+have fewer than ``exact_words``; blank lines always stay.
 
 Equal lines are brought together by hash first. The deletion neighbourhood of a line is the set of its variants with
 one word left out; lines within one edit share a variant. A variant is emitted as a hashed key only where an equal one
@@ -68,9 +69,12 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def duplicate_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_words: int = 10, exact_words: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text, ...) to the dropped lines (doc_id, row, line_no, kept_doc_id, kept_line_no).
 
+    Lines of ``min_words`` words or more are compared up to an edit, those of ``exact_words`` or more (None: the same) as
+    they are.
+
     line_no counts the \\n-split lines of the text from 0; ``row`` is a hash of the text, which tells rows of one doc_id
     apart. kept_* name the earliest line that the dropped one is a copy of (which may itself be a copy of an even
     earlier one that is two edits away). A null or empty text has no lines to judge. Rows that repeat both doc_id and
@@ -80,14 +84,14 @@ def duplicate_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     words = F.size(F.split("line", " "))
     place = ["doc_id", "row", "line_no"]
     lines = save(
-        _lines(docs).withColumn("n", words).where(F.col("n") >= min_words)
-        .select(*place, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), _segment_keys(F.col("line"), F.col("n"), COARSE).getField("key").alias("keys")),
+        _lines(docs).withColumn("n", words).where((F.col("n") >= (min_words if exact_words is None else min(exact_words, min_words))) & (F.col("line") != ""))
+        .select(*place, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), F.when(F.col("n") >= min_words, _segment_keys(F.col("line"), F.col("n"), COARSE).getField("key")).alias("keys")),
         "lines",
     )
     least = F.struct("doc_id", "line_no", "row")
     classes = save(lines.groupBy("h", "g").agg(F.min(least).alias("first"), F.max(least).alias("last"), F.first("keys").alias("keys")), "line-classes")
 
-    some = _shared(classes.select("h", "g", F.transform("keys", lambda k: F.struct(k.alias("key"))).alias("keys")), ["h", "g"]).distinct()
+    some = _shared(classes.where("keys is not null").select("h", "g", F.transform("keys", lambda k: F.struct(k.alias("key"))).alias("keys")), ["h", "g"]).distinct()
     firsts = save(classes.join(some, ["h", "g"], "left_semi").select("h", "g", "first"), "line-firsts")
     names = [F.col(f"first.{c}").alias(f"_{c}") for c in place]
     thin = maybe_in(_lines(docs), F.xxhash64(*place), firsts, F.xxhash64("first.doc_id", "first.row", "first.line_no"))
@@ -127,13 +131,13 @@ def duplicate_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     )
 
 
-def drop_duplicate_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, min_words: int = 10, exact_words: int | None = None) -> DataFrame:
     """``docs`` without the lines that are copies of earlier ones; n_chars follows the text, other columns stay.
 
     A row none of whose lines stays goes, unless its text had no line to drop. Rows that repeat both doc_id and text are
     treated alike. Needs the columns doc_id and text.
     """
-    drops = duplicate_lines(docs, min_words).groupBy(F.col("doc_id").alias("__dropped_id"), F.col("row").alias("__dropped_row")).agg(F.collect_set("line_no").alias("__dropped_lines"))
+    drops = duplicate_lines(docs, min_words, exact_words).groupBy(F.col("doc_id").alias("__dropped_id"), F.col("row").alias("__dropped_row")).agg(F.collect_set("line_no").alias("__dropped_lines"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__dropped_id")) & (F.xxhash64(text) == F.col("__dropped_row")), "left")
     lines = F.split(F.col("text"), "\n")

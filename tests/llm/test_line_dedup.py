@@ -58,6 +58,14 @@ def test_case_and_white_space_are_folded(spark):
     assert plain(got) == [(2, 0, 1, 0), (3, 0, 1, 0), (4, 0, 1, 0), (5, 0, 1, 0), (6, 0, 1, 0)]
 
 
+def test_exact_copies_of_short_lines(spark, tmp_path):
+    from quillspan.llm.queries import op9_line_dedup
+
+    rows = [(1, f"Licensed under CC\n\n{LINE}\nown", "s"), (2, "licensed  under CC \n\nLicensed under BY", "s"), (3, "\u6ca1\u6709\u7a7a\u683c", "s"), (4, f"\u6ca1\u6709\u7a7a\u683c\n{LINE} m", "s")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert plain(op9_line_dedup(spark, str(tmp_path))) == [(2, 0, 1, 0), (4, 0, 3, 0), (4, 1, 1, 2)]
+
+
 def test_text_without_the_copies(spark):
     rows = [(1, f"head\n{LINE}\ntail", "s"), (2, f"{LINE}\nown words", "s"), (3, LINE, "s"), (4, None, "s"), (5, "", "s"), (6, "x\n\ny", "s")]
     got = {r.doc_id: (r.text, r.n_chars) for r in drop_duplicate_lines(docs(spark, rows)).collect()}
