@@ -48,7 +48,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], turns.schema)
-    return chat_digests(format_chats(turns.unionByName(extra)))
+    return chat_digests(format_chats(turns.unionByName(extra), window=8))
 
 
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
