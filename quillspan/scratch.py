@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one of our own only where none is set (local tests)."""
+    """The cluster's checkpoint folder; a temporary one of our own only in local mode, where no other machine reads it."""
     if path := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return path.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quillspan-"))
     return _own[0]
@@ -44,11 +47,19 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     _written[path] = spark
+    for used in getattr(df, "_holds", ()):
+        release(used)
     table = spark.read.schema(df.schema).parquet(path)
     table._saved_at = path
     return table
 
 
+def holding(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, which alone still reads ``tables``: ``save(df)`` deletes them, as its own table stands for them then."""
+    df._holds = tables
+    return df
+
+
 def release(table: DataFrame) -> None:
     """Delete a table that ``save`` returned, once nothing will read it again."""
     for path, spark in list(_written.items()):
