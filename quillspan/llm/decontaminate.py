@@ -66,33 +66,41 @@ def tile(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     a, b = _KarpRabin(text).prepare(lift), _KarpRabin(item).prepare(lift)
     marked_a, marked_b, tiles = np.zeros(len(text), bool), np.zeros(len(item), bool), []
 
-    def common(n: int) -> list[tuple[int, int]]:
-        """Free stretches of n tokens that both sides hold, checked token by token."""
+    def starts(n: int) -> tuple[np.ndarray, ...]:
+        """Starts of the free stretches of n tokens that both sides hold, and their hashes."""
         sa, sb = _free(marked_a, n), _free(marked_b, n)
-        if not len(sa) or not len(sb):
-            return []
         ha, hb = a.at(sa, n, top), b.at(sb, n, top)
-        at = defaultdict(list)
-        for i in np.nonzero(np.isin(ha, hb))[0]:
-            at[ha[i]].append(int(sa[i]))
-        return [(i, int(j)) for h, j in zip(hb, sb, strict=True) for i in at.get(h, ()) if (text[i : i + n] == item[j : j + n]).all()]
+        in_a, in_b = np.isin(ha, hb), np.isin(hb, ha)
+        return sa[in_a], ha[in_a], sb[in_b], hb[in_b]
 
     high = len(item)
     while True:
-        low, found = least - 1, []
+        low, found = least - 1, None
         while low < high:  # the longest length with a common stretch: if n has one, n - 1 has
             n = (low + high + 1) // 2
-            if hit := common(n):
+            hit = starts(n)
+            if len(hit[0]):
                 low, found = n, hit
             else:
                 high = n - 1
-        if low < least:
+        if found is None:
             return tiles
-        for i, j in found:
-            if not marked_a[i : i + low].any() and not marked_b[j : j + low].any():
-                marked_a[i : i + low] = marked_b[j : j + low] = True
-                tiles.append((i, j, low))
-        high = low
+        sa, ha, sb, hb = found
+        order = np.argsort(ha, kind="stable")
+        hashes, at = np.unique(ha[order], return_index=True)
+        ends = np.append(at[1:], len(order))
+        group = np.searchsorted(hashes, hb)
+        for j, g in zip(sb.tolist(), group.tolist(), strict=True):
+            if marked_b[j] or marked_b[j + low - 1]:  # marks of this round are as long, so the ends tell
+                continue
+            while at[g] < ends[g]:  # a start passed over is marked, and stays so
+                i = int(sa[order[at[g]]])
+                if not marked_a[i] and not marked_a[i + low - 1] and (text[i : i + low] == item[j : j + low]).all():
+                    marked_a[i : i + low] = marked_b[j : j + low] = True
+                    tiles.append((i, j, low))
+                    break
+                at[g] += 1
+        high = low - 1
 
 
 class _Seeds:
@@ -157,23 +165,24 @@ def _match(seeds, num: int, den: int):
                         counts.append(len(found))
                         spans.append(",".join(f"{i}:{j}:{n}" for i, j, n in sorted(found)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (items, covered, sizes, counts)), pa.array(spans, pa.string())],
-                ["doc_id", "item_id", "covered", "item_tokens", "n_tiles", "tiles"],
+                [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "row")), *(pa.array(x, pa.int64()) for x in (items, covered, sizes, counts)), pa.array(spans, pa.string())],
+                ["doc_id", "row", "item_id", "covered", "item_tokens", "n_tiles", "tiles"],
             )
 
     return run
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, num: int = 1, den: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Pairs (doc_id, item_id, covered, item_tokens, n_tiles, tiles) with covered/item_tokens >= num/den.
+    """Pairs (doc_id, row, item_id, covered, item_tokens, n_tiles, tiles) with covered/item_tokens >= num/den.
 
-    ``docs`` (doc_id, text, ...), ``items`` (item_id, text, ...). ``tiles`` lists text:item:length in tokens. An item
+    ``docs`` (doc_id, text, ...), ``items`` (item_id, text, ...). ``row`` is a hash of the text. ``tiles`` lists text:item:length in tokens. An item
     shorter than ``least`` tokens is matched whole; one without tokens, or with a null text, matches nothing, and so
-    does a null document. A pair of repeated rows repeats. Empty tables give no rows. Other columns are not read. Items
+    does a null document. Long repetitive texts take time in proportion to their tokens and the item's lengths of tiles. A pair of repeated rows repeats. Empty tables give no rows. Other columns are not read. Items
     are the stated query set: they are broadcast in blocks of at most ``block_tokens`` tokens (or one item), each
     against all documents.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sc = docs.sparkSession.sparkContext
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -182,6 +191,6 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, num: int = 1
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         seeds = sc.broadcast(_Seeds([tuple(r) for r in part.collect()], least))
-        found = docs.mapInArrow(_match(seeds, num, den), "doc_id long, item_id long, covered long, item_tokens long, n_tiles long, tiles string")
+        found = docs.mapInArrow(_match(seeds, num, den), "doc_id long, row long, item_id long, covered long, item_tokens long, n_tiles long, tiles string")
         out = found if out is None else out.unionByName(found)
     return out

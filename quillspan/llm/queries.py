@@ -41,7 +41,7 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+    return ngram_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10).drop("row", "class")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=5, num=1, den=2)
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=5, num=1, den=2).drop("row")
 
 
 def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:

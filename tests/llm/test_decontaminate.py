@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from helpers import clashing, docs, odd_docs, plain
 
@@ -42,6 +43,13 @@ def test_tiles_equal_the_plain_algorithm():
         assert got == tiling(text, item, min(least, len(item)))
 
 
+def test_long_repetitive_text_is_tiled_in_seconds():
+    began = time.perf_counter()
+    seeds = D._Seeds([(7, "spam " * 900 + "ham")], 5)
+    got = [x for _, _, tiles in seeds.tiles(word_hashes(D.tokens("spam " * 100_000))) for x in tiles]
+    assert got == [(0, 0, 900)] and time.perf_counter() - began < 10
+
+
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
 
