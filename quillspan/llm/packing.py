@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -30,15 +29,33 @@ from quillspan.scratch import save
 
 #: A filling: ((length, times), ...), longest first.
 Filling = tuple[tuple[int, int], ...]
-#: Branch-and-bound nodes, fillings tried at a node, and the number of pieces up to which every choice is tried.
-NODES, WIDTH, EXACT = 20_000, 64, 64
+#: Fillings that the branch and bound looks at before it settles for the best plan so far.
+LOOKS = 50_000
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
-    """A lower bound: the tokens, and the pieces no two of which fit together."""
-    total = sum(n * c for n, c in counts.items())
-    half = sum(c for n, c in counts.items() if 2 * n > capacity)
-    return max(-(-total // capacity), half)
+    """A lower bound: the tokens; the pieces by how many of them fit into a bin; and large pieces with what room they leave.
+
+    A piece that is more than k of k + 1 parts of a bin counts for at least k/k bins, and so on for each k (a dual feasible
+    function); pieces of more than half a bin take one each, and smaller ones of at least ``low`` only fit where those leave room.
+    """
+    least = -(-sum(n * c for n, c in counts.items()) // capacity)
+    for k in range(1, 21):
+        share = 0  # in parts of k * (k + 1) * capacity
+        for n, c in counts.items():
+            parts, rest = divmod((k + 1) * n, capacity)
+            share += c * (parts * (k + 1) * capacity if rest else k * (k + 1) * n)
+        least = max(least, -(-share // (k * (k + 1) * capacity)))
+    table = np.zeros(capacity + 2, np.int64)
+    table[[n + 1 for n in counts]] = list(counts.values())
+    upto, tokens = np.cumsum(table), np.cumsum(table * (np.arange(capacity + 2) - 1))  # pieces, and their tokens, below a length
+    half = capacity // 2
+    low = np.arange(1, half + 1)
+    alone = upto[-1] - upto[capacity - low + 1]
+    large = upto[capacity - low + 1] - upto[half + 1]
+    room = large * capacity - (tokens[capacity - low + 1] - tokens[half + 1])
+    small = tokens[half + 1] - tokens[low]
+    return max(least, int((alone + large + np.maximum(0, -(-(small - room) // capacity))).max(initial=0)))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
@@ -73,118 +90,147 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [x for v in room.values() for x in v]
 
 
-def _fits(inner: list[int], outer: list[int]) -> bool:
-    """Whether the inner lengths can be packed into bins of the outer lengths."""
-    if not inner:
-        return True
-    first, rest = inner[0], inner[1:]
-    for i in range(len(outer)):
-        if outer[i] >= first and (i == 0 or outer[i] != outer[i - 1]):
-            if _fits(rest, sorted([*outer[:i], outer[i] - first, *outer[i + 1 :]], reverse=True)):
-                return True
-    return False
-
-
-def dominates(a: list[int], b: list[int]) -> bool:
-    """Whether filling a is never worse than b: b's pieces pack into a's (told for up to six pieces)."""
-    return len(b) <= 6 and len(a) <= len(b) and sum(a) >= sum(b) and a != b and _fits(b, a)
-
-
-def fillings(counts: dict[int, int], left: int, waste: int, width: int | None) -> list[list[int]]:
-    """Undominated fillings of the room ``left`` that waste at most ``waste``, least waste first.
+def dominated(filling: list[int], spare: int, counts: dict[int, int], kinds: int) -> bool:
+    """Whether one free piece could stand for some of the filling's pieces and leave the bin at least as full.
 
-    They are found by depth, longest pieces first; ``width`` bounds how many are looked at (None: all of them).
+    ``counts`` has the pieces that the filling was chosen from, itself included; their lengths are the bits of ``kinds``.
+    A free piece x that is as long as two or more chosen ones together, or longer than some by no more than the
+    ``spare`` room, makes a filling that is never worse: what is packed with x elsewhere can be packed with those pieces instead.
+    """
+    one = several = 0  # sums of one chosen piece, and of two or more, as bits
+    for n in filling:
+        several |= (several << n) | (one << n)
+        one |= 1 << n
+    for n in set(filling):
+        if counts[n] <= filling.count(n):
+            kinds &= ~(1 << n)
+    longer, wide = (one | several) << 1, 1  # sums and 1 to ``wide`` more
+    while wide < spare:
+        step = min(wide, spare - wide)
+        longer |= longer << step
+        wide += step
+    return bool(kinds & (several | longer if spare else several))
+
+
+def fillings(counts: dict[int, int], left: int, most_waste: int, looked: list[int]) -> Iterator[tuple[int, list[int]]]:
+    """Undominated fillings (waste, lengths) of the room ``left``, least waste first, then the longest pieces first.
+
+    They are made one at a time. For every waste the lengths that can still make up the rest are followed, told by the
+    sums that each tail of the lengths reaches, so that no branch ends without a filling. ``looked`` counts down with each filling
+    looked at, and with every 200 lengths of a bin to complete; at zero the enumeration ends.
     """
     lengths = sorted((n for n, c in counts.items() if c and n <= left), reverse=True)
-    least = lengths[-1] if lengths else 0
-    found: list[list[int]] = []
-    steps = [width * 64 if width else 1 << 60]
-
-    def deeper(at: int, room: int, chosen: list[int]) -> bool:
-        steps[0] -= 1
-        if steps[0] < 0 or width and len(found) >= width:
-            return False
-        if room < least or not lengths:
-            if room <= waste:
-                found.append(list(chosen))
-                return not (width and room == 0 and len(found) >= 4)
-            return True
-        fitted = False
-        for i in range(at, len(lengths)):
+    looked[0] -= len(lengths) // 200
+    full, kinds = (1 << (left + 1)) - 1, sum(1 << n for n in counts)
+    below = [-n for n in lengths]
+    reach = [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        n, c, bits, step = lengths[i], min(counts[lengths[i]], left // lengths[i]), reach[i + 1], 1
+        while c:  # so many times in powers of two
+            take = min(step, c)
+            bits |= (bits << n * take) & full
+            c -= take
+            step *= 2
+        reach[i] = bits
+
+    def exact(at: int, room: int) -> Iterator[list[int]]:
+        if not room:
+            yield []
+            return
+        for i in range(max(at, bisect_left(below, -room)), len(lengths)):
             n = lengths[i]
-            if n <= room and counts[n] > chosen.count(n):
-                fitted = True
-                chosen.append(n)
-                on = deeper(i, room - n, chosen)
-                chosen.pop()
-                if not on:
-                    return False
-        if not fitted and room <= waste and not any(n <= room and counts[n] > chosen.count(n) for n in lengths):
-            found.append(list(chosen))
-        return True
-
-    deeper(0, left, [])
-    found.sort(key=lambda f: -sum(f))
-    if not width:
-        found = [b for i, b in enumerate(found) if not any(j != i and dominates(a, b) and not (dominates(b, a) and j > i) for j, a in enumerate(found))]
-    return found
-
-
-def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[Filling, int]]:
-    """Fillings with how many bins use each, together holding the histogram's pieces exactly."""
+            if not reach[i] >> room & 1:
+                return
+            for times in range(min(counts[n], room // n), 0, -1):
+                if reach[i + 1] >> (room - n * times) & 1:
+                    for rest in exact(i + 1, room - n * times):
+                        yield [n] * times + rest
+
+    for waste in range(min(left, most_waste) + 1):
+        if reach[0] >> (left - waste) & 1:
+            for filling in exact(0, left - waste):
+                looked[0] -= 1
+                if looked[0] < 0:
+                    return
+                if not dominated(filling, waste, counts, kinds):
+                    yield waste, filling
+
+
+def plan(counts: dict[int, int], capacity: int, looks: int = LOOKS) -> list[tuple[Filling, int]]:
+    """Fillings with how many bins use each, together holding the histogram's pieces exactly.
+
+    The bin of the longest piece left is completed by its undominated fillings in turn, each for as many bins as it
+    goes, then for fewer. Fillings that came before at the same piece were tried with what follows already. Plans that turn off
+    the first choice nowhere come first, then those that do it once, twice, four times and so on, as a first choice high up may be the wrong one. The
+    search ends when the bound is met, when nothing is left to try, or after ``looks`` fillings; the best plan so far is returned.
+    """
     counts = {n: c for n, c in counts.items() if c}
     best = best_fit(counts, capacity)
     total, floor = sum(n * c for n, c in counts.items()), least_bins(counts, capacity)
     bins = sum(m for _, m in best)
-    exact = sum(counts.values()) <= EXACT
-    left, budget = dict(counts), [nodes]  # one table, changed and changed back, however deep the search is
+    if bins <= floor:
+        return best
+    left, looked = dict(counts), [looks]  # one table, changed and changed back
     path: list[tuple[Filling, int]] = []
 
-    def change(n: int, by: int) -> None:
-        left[n] = left.get(n, 0) + by
-        if not left[n]:
-            del left[n]
+    def change(use: dict[int, int], by: int) -> None:
+        for n, u in use.items():
+            left[n] = left.get(n, 0) + u * by
+            if not left[n]:
+                del left[n]
 
-    def search(wasted: int) -> bool:
-        """True when the search may end: the bound is met or the budget is spent."""
-        nonlocal best, bins
-        budget[0] -= 1
-        if budget[0] < 0:
-            return True
-        if not left:
-            best, bins = list(path), sum(m for _, m in path)
-            return bins <= floor
-        allowed = (bins - 1) * capacity - total - wasted
-        if allowed < 0:
-            return False
+    def choices(wasted: int, after: tuple) -> Iterator[tuple[int, dict[int, int], int, tuple]]:
+        """(waste, pieces, bins, place in the order) to go on with; the same piece is not completed as before again."""
         top = max(left)
-        change(top, -1)
-        choices = fillings(left, capacity - top, allowed, None if exact else WIDTH)
-        change(top, 1)
-        for f in choices:
-            allowed = (bins - 1) * capacity - total - wasted
+        change({top: 1}, -1)
+        around, room = dict(left), capacity - top
+        change({top: 1}, 1)
+        for waste, f in fillings(around, room, (bins - 1) * capacity - total - wasted, looked):
+            if waste > (bins - 1) * capacity - total - wasted:
+                return
+            place = (top, waste, tuple(-n for n in f))
+            if after and after[0] == top and place <= after:
+                continue
             use = Counter([top, *f])
-            waste = capacity - top - sum(f)
-            if waste > allowed:
-                break
-            times = 1 if exact else min(left[n] // u for n, u in use.items())
-            if waste and not exact:
-                times = max(1, min(times, allowed // waste))
-            path.append((tuple(sorted(use.items(), reverse=True)), times))
-            for n, u in use.items():
-                change(n, -u * times)
-            end = search(wasted + waste * times)
-            for n, u in use.items():
-                change(n, u * times)
-            path.pop()
-            if end:
-                return True
-        return False
-
-    if bins > floor:
-        deep, _ = sys.getrecursionlimit(), sys.setrecursionlimit(100_000)
-        search(0)
-        sys.setrecursionlimit(deep)
+            most = min(left[n] // u for n, u in use.items())
+            if waste:
+                most = min(most, ((bins - 1) * capacity - total - wasted) // waste)
+            for times in range(most, 0, -1):
+                if wasted + waste * times <= (bins - 1) * capacity - total:
+                    yield waste, use, times, place
+
+    def search(turns: int) -> bool:
+        """Whether the search went through all there is, with at most ``turns`` choices on a path that are not the first."""
+        nonlocal best, bins
+        stack = [[choices(0, ()), 0, turns, False]]  # open nodes (choices, waste so far, turns left, first choice made)
+        whole = True
+        while stack and looked[0] >= 0 and bins > floor:
+            node = stack[-1]
+            late = node[3]
+            whole &= not late or node[2] > 0
+            step = next(node[0], None) if not late or node[2] > 0 else None
+            if step is None:
+                stack.pop()
+            else:
+                waste, use, times, place = step
+                node[3] = True
+                change(use, -times)
+                path.append((tuple(sorted(use.items(), reverse=True)), times))
+                if left:
+                    stack.append([choices(node[1] + waste * times, place), node[1] + waste * times, node[2] - late, False])
+                    continue
+                best, bins = list(path), sum(m for _, m in path)
+            if path:
+                filling, times = path.pop()
+                change(dict(filling), times)
+        while path:
+            filling, times = path.pop()
+            change(dict(filling), times)
+        return whole
+
+    turns = 0
+    while not search(turns) and looked[0] >= 0 and bins > floor:
+        turns = max(1, 2 * turns)
     return best
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -52,13 +53,44 @@ def test_plan_is_optimal_on_small_cases(items):
     assert held == counts and sum(m for _, m in plan) == best(items, 50)
 
 
-def test_branch_and_bound_beats_best_fit():
-    counts = Counter(np.random.default_rng(1).integers(1300, 2100, 500).tolist())
-    assert sum(m for _, m in P.plan(counts, 4096)) < sum(m for _, m in P.best_fit(counts, 4096))
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(12, 50), min_size=12, max_size=20))
+def test_plan_is_optimal_around_large_pieces(items):
+    assert sum(m for _, m in P.plan(Counter(items), 50)) == best(items, 50)
 
 
-def test_dominance():
-    assert P.dominates([50], [30, 20]) and not P.dominates([30, 20], [50]) and not P.dominates([30], [20, 20])
+@pytest.mark.parametrize(("seed", "low", "high", "n"), [(1, 1300, 2100, 500), (2, 900, 1800, 400), (5, 1200, 1500, 400), (6, 700, 1400, 400)])
+def test_branch_and_bound_beats_best_fit(seed, low, high, n):
+    counts = Counter(np.random.default_rng(seed).integers(low, high, n).tolist())
+    found, fit = (sum(m for _, m in x) for x in (P.plan(counts, 4096), P.best_fit(counts, 4096)))
+    assert P.least_bins(counts, 4096) <= found < fit
+
+
+def undominated(counts, left, waste):
+    """All fillings, and whether some free piece improves a subset of their pieces, by trying all subsets."""
+    kinds, out = sorted(counts, reverse=True), []
+
+    def go(i, room, chosen):
+        if i == len(kinds):
+            if room <= waste:
+                free = {x for x in counts if counts[x] > chosen.count(x)}
+                sums = {(sum(c), k) for k in range(1, len(chosen) + 1) for c in combinations(chosen, k)}
+                if not any(s <= x <= s + room and (x > s or k > 1) for s, k in sums for x in free):
+                    out.append((room, chosen))
+            return
+        for times in range(min(counts[kinds[i]], room // kinds[i]), -1, -1):
+            go(i + 1, room - times * kinds[i], chosen + [kinds[i]] * times)
+
+    go(0, left, [])
+    return sorted(out)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=9), st.integers(1, 60), st.integers(0, 40))
+def test_fillings_are_the_undominated_ones(items, left, waste):
+    counts = Counter(items)
+    found = list(P.fillings(counts, left, waste, [10**9]))
+    assert sorted(found) == undominated(counts, left, waste) and [w for w, _ in found] == sorted(w for w, _ in found)
 
 
 def reference(text):
