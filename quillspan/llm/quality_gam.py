@@ -168,7 +168,7 @@ def _texts_features(texts: list[str | None]) -> np.ndarray:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
         x = _texts_features(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -176,12 +176,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Additive:
-    """Fit on at most ``most`` labelled rows, in hash order, whose doc_id is not held out. Null labels are left out."""
+    """Fit on at most ``most`` labelled rows, in hash order, whose doc_id is not held out. Null labels are left out.
+
+    Where several rows of ``docs`` have one doc_id, the text with the least hash is used, so that the bound holds; whole texts are read.
+    """
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows of 12 bytes
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.orderBy("doc_id").select("quality", "text").mapInArrow(_measured, "quality int, x array<double>").toArrow()
+    rows = rows.select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    once = rows.groupBy("doc_id").agg(F.min("hash").alias("hash"))  # of a repeated doc_id one hash is shuffled for each task
+    rows = rows.join(F.broadcast(once), ["doc_id", "hash"]).mapInArrow(_measured, "doc_id long, quality int, x array<double>")
+    got = rows.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("x").alias("x")).orderBy("doc_id").toArrow()  # rows alike
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, got["quality"].to_numpy().astype(float))
 
