@@ -90,7 +90,7 @@ def fit(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 400, rat
 def score(host: Column, path: Column, model: tuple[float, dict[int, float]]) -> Column:
     """The model's probability of block, from array functions over the characters."""
     bias, weights = model
-    table = F.lit([weights.get(b, 0.0) for b in range(BUCKETS)])
+    table = F.split(F.lit(",".join(repr(weights.get(b, 0.0)) for b in range(BUCKETS))), ",").cast("array<double>")  # folded into one literal
 
     def of(mark: str, part: Column) -> Column:
         chars = F.split(F.concat(F.lit("^"), part, F.lit("$")), "")

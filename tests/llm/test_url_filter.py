@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 from helpers import plain
 
@@ -37,6 +38,15 @@ def test_model_separates_unseen_hosts():
     assert all(probability(U.split_url(u)) >= 0.5 for u in bad) and all(probability(U.split_url(u)) < 0.5 for u in good)
 
 
+def test_rules_of_equal_length_and_a_ready_plan(spark):
+    """The longer host wins among rules of one length; the plan with the model is made in seconds."""
+    pages = spark.createDataFrame([(1, "http://a.bc/d/x"), (2, "http://bc/d/x"), (3, "http://zz.bc/d/")], "page_id long, url string")
+    rules = (("bc", "/d/x", "block"), ("a.bc", "/d", "allow"), ("zz.bc", "/", "block"))
+    began = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge_urls(pages, rules).collect()}
+    assert got == {1: ("a.bc/d", "allow"), 2: ("bc/d/x", "block"), 3: ("zz.bc/", "block")} and time.perf_counter() - began < 10
+
+
 def test_clashing_empty_and_native(spark):
     from pyspark.sql import functions as F
 
