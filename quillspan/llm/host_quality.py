@@ -2,8 +2,8 @@
 
 Rules fail or pass on each document; failures are counted by host; each host's failure rate is drawn towards the rate
 of all hosts by a beta prior whose two parameters come from the hosts themselves (moments of the raw rates, weighted by
-documents); a host whose drawn-in rate of any rule is too high is blocked, and the verdict is joined back to its
-documents.
+documents). A host whose drawn-in rate of any rule is too high is blocked; one that is clearly worse than the rest by a rule is
+held to that rule. Both verdicts are joined back to the host's documents.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ RULES = {
     "symbols": "10 * n_symbols > n_words",
     "dup_lines": "2 * n_dup_lines > n_lines",
 }
-#: A host whose shrunk failure rate of a rule is above this is blocked.
-MAX_RATE = 0.5
+#: A host whose shrunk failure rate of a rule is above this is blocked; one whose rate is above LIFT times the rate of all
+#: documents loses the documents that fail that rule.
+MAX_RATE, LIFT = 0.5, 1.25
 
 
 def let(value: Column, body) -> Column:
@@ -33,8 +34,9 @@ def repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the text.
 
     Each window gives one long: its hash in the upper bits, its position in as many lower bits as the text needs.
-    Sorting brings equal windows together; the positions of those with an equal neighbour, sorted again, each add the
-    words that the next one does not cover.
+    Sorting brings equal windows together. As a long text leaves fewer bits for the hash, the windows with an equal
+    neighbour are sorted once more by another hash; in a text of ten million words both agree by chance in less than one text in a thousand.
+    Their positions, sorted, each add the words that the next one does not cover.
     """
 
     def count(w: Column) -> Column:
@@ -43,17 +45,18 @@ def repeat_words(words: Column) -> Column:
         step = F.call_function("shiftleft", F.lit(1).cast("long"), room)
 
         def windows(one: Column) -> Column:
-            packed = F.transform(
-                F.sequence(F.lit(0), n - 3),
-                lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.negate(one)).bitwiseOR(i.cast("long")),
-            )
-            return let(F.sort_array(packed), lambda s: repeated(s, one))
+            packed = lambda i, salt: F.xxhash64(*salt, F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.negate(one)).bitwiseOR(i.cast("long"))
+            first = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: packed(i, ())))
+            again = lambda s: F.sort_array(F.transform(twice(s, one), lambda p: packed(p.bitwiseAND(one - 1).cast("int"), (F.lit(1),))))
+            return let(first, lambda s: let(again(s), lambda t: covered(F.sort_array(F.transform(twice(t, one), lambda p: p.bitwiseAND(one - 1))))))
 
-        def repeated(s: Column, one: Column) -> Column:
+        def twice(s: Column, one: Column) -> Column:
             same = lambda a, b: a.bitwiseXOR(b).bitwiseAND(F.negate(one)) == 0
-            twice = F.filter(s, lambda p, i: F.coalesce(same(F.get(s, i - 1), p), F.lit(False)) | F.coalesce(same(F.get(s, i + 1), p), F.lit(False)))
-            at = F.sort_array(F.transform(twice, lambda p: p.bitwiseAND(one - 1)))
-            return let(at, lambda q: F.aggregate(F.transform(q, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(q, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x))
+            return F.filter(s, lambda p, i: F.coalesce(same(F.get(s, i - 1), p), F.lit(False)) | F.coalesce(same(F.get(s, i + 1), p), F.lit(False)))
+
+        def covered(at: Column) -> Column:
+            three = F.lit(3).cast("long")
+            return let(at, lambda q: F.aggregate(F.transform(q, lambda x, i: F.least(three, F.coalesce(F.get(q, i + 1) - x, three))), F.lit(0).cast("long"), lambda a, x: a + x))
 
         return F.when(n >= 3, let(step, windows)).otherwise(F.lit(0).cast("long"))
 
@@ -79,7 +82,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 
 def host_rates(base: DataFrame) -> DataFrame:
-    """(host, n_docs, and for each rule its failures and shrunk rate), one row for each host.
+    """(host, n_docs, and for each rule its failures, shrunk rate and mean of all), one row for each host.
 
     The prior of a rule has the mean m of all documents and a strength s from the spread v of the hosts' raw rates,
     weighted by documents: s = m(1-m)/v - 1, held between 1 and 1000 (no spread: 1000). The rate is
@@ -98,17 +101,21 @@ def host_rates(base: DataFrame) -> DataFrame:
         prior.append(F.expr(f"cast({mean} as double)").alias(f"m_{r}"))
         prior.append(F.expr(f"case when {spread} > 1e-12 then greatest(1D, least(1000D, {mean} * (1 - {mean}) / {spread} - 1)) else 1000D end").alias(f"s_{r}"))
     with_prior = hosts.withColumn("prior", total.select(F.struct(*prior)).scalar())
-    return with_prior.select("host", "n_docs", *[f"fail_{r}" for r in RULES], *[F.expr(f"(fail_{r} + prior.m_{r} * prior.s_{r}) / (n_docs + prior.s_{r})").alias(f"rate_{r}") for r in RULES])
+    rates = [F.expr(f"(fail_{r} + prior.m_{r} * prior.s_{r}) / (n_docs + prior.s_{r})").alias(f"rate_{r}") for r in RULES]
+    return with_prior.select("host", "n_docs", *[f"fail_{r}" for r in RULES], *rates, *[F.col(f"prior.m_{r}").alias(f"mean_{r}") for r in RULES])
 
 
-def host_quality(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+def host_quality(docs: DataFrame, max_rate: float = MAX_RATE, lift: float = LIFT) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) to the base columns and ``kept``, a row for each row of ``docs``.
 
     A null or blank text has no words and fails; a null host is a host of its own. A document is kept if it passes the
-    base rules and its host is not blocked. Repeated rows count each. Other columns of ``docs`` are not read; an empty
+    base rules, its host is not blocked, and it passes the rules by which its host's shrunk rate is above ``lift`` times the
+    rate of all documents. Whole texts are read, however long. Repeated rows count each. Other columns of ``docs`` are not read; an empty
     table gives no rows. Base columns are written once and used for the hosts and for the join back.
     """
     base = save(base_columns(docs), "host-quality")
-    blocked = host_rates(base).select(F.col("host").alias("h"), (F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > max_rate).alias("blocked"))
-    verdict = base.join(blocked, base["host"].eqNullSafe(blocked["h"]), "left")
-    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.expr("not base_failed and not coalesce(blocked, false)").alias("kept"))
+    blocked = F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > max_rate
+    hosts = host_rates(base).select(F.col("host").alias("h"), blocked.alias("blocked"), *[(F.col(f"rate_{r}") > lift * F.col(f"mean_{r}")).alias(f"held_{r}") for r in RULES])
+    verdict = base.join(hosts, base["host"].eqNullSafe(hosts["h"]), "left")
+    fails = " or ".join(["base_failed", "coalesce(blocked, false)", *(f"(coalesce(held_{r}, false) and {rule})" for r, rule in RULES.items())])
+    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.expr(f"not ({fails})").alias("kept"))

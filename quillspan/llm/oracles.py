@@ -11,13 +11,13 @@ dup as (select rid, pos, count(*) over (partition by rid, a, b, c) as n from tri
 cov as (select rid, count(distinct p) as n from (select rid, unnest([pos, pos + 1, pos + 2]) as p from dup where n > 1) group by 1),
 base as (select doc_id, source, len(w) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
   len(x) - len(list_distinct(x)) as n_dup_lines, len(x) as n_lines, coalesce(cov.n, 0) as n_repeat_words from s left join cov using (rid)),
-f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base),
-h as (select source, count(*)::double as n, count(*) filter (where base_failed)::double as f1, count(*) filter (where 10 * n_symbols > n_words)::double as f2, count(*) filter (where 2 * n_dup_lines > n_lines)::double as f3 from f group by 1),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 10 * n_symbols > n_words as r2, 2 * n_dup_lines > n_lines as r3 from base),
+h as (select source, count(*)::double as n, count(*) filter (where base_failed)::double as f1, count(*) filter (where r2)::double as f2, count(*) filter (where r3)::double as f3 from f group by 1),
 p as (select sum(f1) / sum(n) as m1, sum(f2) / sum(n) as m2, sum(f3) / sum(n) as m3, sum(f1 * f1 / n) / sum(n) - pow(sum(f1) / sum(n), 2) as v1, sum(f2 * f2 / n) / sum(n) - pow(sum(f2) / sum(n), 2) as v2, sum(f3 * f3 / n) / sum(n) - pow(sum(f3) / sum(n), 2) as v3 from h),
 k as (select m1, m2, m3, case when v1 > 1e-12 then greatest(1, least(1000, m1 * (1 - m1) / v1 - 1)) else 1000 end as s1, case when v2 > 1e-12 then greatest(1, least(1000, m2 * (1 - m2) / v2 - 1)) else 1000 end as s2,
   case when v3 > 1e-12 then greatest(1, least(1000, m3 * (1 - m3) / v3 - 1)) else 1000 end as s3 from p),
-b as (select source, greatest((f1 + m1 * s1) / (n + s1), (f2 + m2 * s2) / (n + s2), (f3 + m3 * s3) / (n + s3)) > 0.5 as blocked from h, k)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not blocked as kept from f join b on f.source is not distinct from b.source"""
+b as (select source, greatest((f1 + m1 * s1) / (n + s1), (f2 + m2 * s2) / (n + s2), (f3 + m3 * s3) / (n + s3)) > 0.5 as blocked, (f2 + m2 * s2) / (n + s2) > 1.25 * m2 as held2, (f3 + m3 * s3) / (n + s3) > 1.25 * m3 as held3 from h, k)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or blocked or (held2 and r2) or (held3 and r3)) as kept from f join b on f.source is not distinct from b.source"""
 
 NGRAM_JACCARD = r"""
 with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') as w from documents),

@@ -24,7 +24,7 @@ def base(text):
 
 def test_base_columns_equal_brute_force(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(odd_docs(spark))
-    more = docs(spark, [(20, "a b c a b c a b", "s"), (21, "a a a a", "s"), (22, "x\nx\n x\n\nx", "s"), (23, "#a *b* $|<>", "s"), (24, "a\x1cb\x85c d", "s")])
+    more = docs(spark, [(20, "a b c a b c a b", "s"), (21, "a a a a", "s"), (22, "x\nx\n x\n\nx", "s"), (23, "#a *b* $|<>", "s"), (24, "a\x1cb\x85c d", "s"), (25, " ".join(str(i % 40_000) for i in range(70_000)), "s")])
     table = table.unionByName(more)
     got = sorted([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in host_quality(table).collect()], key=str)
     want = []
@@ -44,6 +44,19 @@ def test_bad_host_is_blocked_and_small_host_is_drawn_to_the_rest(spark):
     assert rates["tiny"].fail_base == 1 and 0 < rates["tiny"].rate_base < 0.5 < rates["bad"].rate_base < 60 / 61
 
 
+def test_worse_host_is_held_to_the_rule(spark):
+    """A document with many symbols goes where they are common, and stays where they are not."""
+    good, marked = " ".join(f"w{i}" for i in range(60)), " ".join(f"#w{i}" for i in range(60))
+    rows = [(i, marked if i % 50 == 0 else good, f"fine{i // 100}") for i in range(400)] + [(1000 + i, marked if i % 5 == 0 else good, "worse") for i in range(100)]
+    got = {r.doc_id: r.kept for r in host_quality(docs(spark, rows)).collect()}
+    assert all(got[i] for i in range(400)) and {i for i in range(1000, 1100) if not got[i]} == set(range(1000, 1100, 5))
+
+
+def test_the_verdict_depends_on_the_hosts(spark):
+    rows = host_quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("not base_failed and not kept").count()
+    assert rows > 0
+
+
 def test_empty_clashing_and_null_host(spark):
     assert host_quality(docs(spark, [])).count() == 0
     table = odd_docs(spark)
