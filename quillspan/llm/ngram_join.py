@@ -1,88 +1,64 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
 The product A·Aᵀ of the incidence matrix holds, for each pair of documents, how many n-grams they share. Only blocks
-that can hold a linked pair are multiplied. Rows are first brought down to one per distinct set. Then the columns are
-split into parts by hash: sets of sizes a and b that reach similarity t = num/den differ in at most
-(a+b)(1-t)/(1+t) n-grams, so if there are more parts than that, they agree wholly on a part. Sets that agree on a part
-of the same number of parts fall into one group of rows; the groups' connected unions are the row blocks. A large block
-is cut by size into overlapping spans, such that sets of sizes that can be similar share one, and a large span into tiles. Within a tile the overlap counts are accumulated over blocks of columns, pairs whose sizes alone
-rule them out are discarded, and the rest are kept if the count reaches the bound that follows from the two sizes.
-Nothing is sampled or capped, and no link between different sets is lost.
-
-A part may be empty in both sets. With D the largest difference and p parts, sets that agree on no other part have
-p - D empty parts in common. So a set with e >= p - D empty parts also gives, for each of the first e - (p - D) + 1 of
-them, its first n-grams in hash order, so many that any two similar sets share one (prefix filter): the first of
-the common empty parts is among these for both sets.
+that can hold a linked pair are multiplied. Rows are first brought down to one per distinct set.
+
+Which rows can link is told by rare columns. Two sets that reach similarity t = num/den share t of either's n-grams, so
+of the n-grams in hash order each misses at most n - tn of the common ones: the first n - tn + r of a set hold the
+first r common ones. Of these keys, counted over all sets, each set leaves out as many of the commonest as it can (fewer
+than r for the smallest partner it may have); the rarest common one is left out by neither. So linked sets still share
+a key, and a passage that many documents hold gives none unless it is a large part of them.
+
+The blocks are multiplied in two steps. Every set has a parent, the least set that it shares a key with: a parent and
+its sets are a block of one row by many. Sets that this links are one class. Where keys lead from one class to
+another, the classes' sets form a block; all but its largest class are multiplied with the whole, in tiles, and large
+blocks are cut by size into overlapping spans such that sets of sizes that can be similar share one. So a large group
+of near copies is read once. In a tile the overlap counts are accumulated over blocks of columns, pairs whose sizes
+alone rule them out are discarded, and the rest are kept if the count reaches the bound that follows from the two
+sizes. Nothing is sampled or capped, and no link between different sets is lost but within what is linked already.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache, reduce
-from math import exp, log, sqrt
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.bitmap import maybe_in
 from quillspan.llm.components import connected_components
 from quillspan.llm.words import mix, mix_int, runs, shingle_set, texts, word_hashes
-from quillspan.scratch import release, save
+from quillspan.scratch import holding, release, save
 
 #: Rows and n-grams of a tile of the product on average at most, and columns that are multiplied at once.
 TILE, TILE_GRAMS, COLUMNS = 2048, 2_000_000, 2048
 #: Rows from which a column is multiplied densely.
 DENSE_FROM = 24
-#: Rounds in which the keys are dealt out, so that a part of them is in shuffle files at a time.
-ROUNDS = 4
+#: Keys beyond the fewest that a set gives, so that it may leave out common ones: a share of its n-grams, and at least so many.
+MORE_SHARE, MORE_LEAST = 10, 8
 #: Sets that a task remembers to give each set's keys once.
 REMEMBERED = 500_000
 
 
-@lru_cache(maxsize=8)
-def _classes(num: int, den: int, upto: int) -> tuple[list[int], list[int], list[int]]:
-    """Largest size, largest difference and number of parts of each class of sizes, up to size ``upto`` at least."""
-    differ = lambda n: 2 * n * (den - num) // (den + num)
-    tops, most, parts, lo = [], [], [], 1
-    while lo <= upto:
-        hi = max(lo, int(lo * max(1.25, den / num)) - 1)
-        while differ(hi + 1) == differ(lo):
-            hi += 1
-        d = differ(hi)
-        p = d + 1
-        while p < 2 * (d + 1) and p - d - 1 < (empty := p * exp(-0.9 * lo / p)) + 3 * sqrt(empty) and empty >= 0.1:
-            p += 1  # room for the empty parts that a set of the class, or a little smaller, will hardly exceed
-        tops.append(hi)
-        most.append(d)
-        parts.append(p)
-        lo = hi + 1
-    return tops, most, parts
-
-
-def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of a set of n-gram hashes; two different sets of similarity num/den or more share one."""
+def more_keys(n: int, num: int, den: int) -> int:
+    """How many of the first common n-grams the keys of a set of n hold; never falls as n grows."""
+    return min(-(-num * n // den), max(MORE_LEAST, n // MORE_SHARE))
+
+
+def set_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The n-grams of a set, in hash order, that are counted: fewer than all by what a partner must share."""
     n = len(s)
-    tops, most, parts = _classes(num, den, 1 << max(10, (n * den // num).bit_length()))
-    h, out = mix(s), []
-    first = s[: n - (n * num + den - 1) // den + 1]
-    spread = (h >> np.uint64(32)).astype(np.int64)
-    low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.float64), spread.astype(np.float64)
-    for c in range(bisect_left(tops, n), bisect_left(tops, n * den // num) + 1):
-        if not most[c]:
-            continue  # sets of this class that are similar are equal
-        p, own = parts[c], np.uint64(mix_int(c + 1))
-        part = ((h & np.uint64(0x7FFFFFFF)).astype(np.int64) * p) >> 31
-        sums = np.bincount(part, low, p).astype(np.uint64) + (np.bincount(part, high, p).astype(np.uint64) << np.uint64(32))
-        held = np.bincount(part, minlength=p) > 0
-        full, empty = np.nonzero(held)[0], np.nonzero(~held)[0]
-        out.append(mix(sums[full] ^ mix(full.astype(np.uint64) + own)))
-        spare = p - 1 - most[c]
-        for j in empty[: max(0, len(empty) - spare)].tolist():
-            out.append(mix(first ^ np.uint64(mix_int((c << 32) + j + 1))))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return s[: n - -(-num * n // den) + more_keys(n, num, den)] if n else s
+
+
+def left_out(n: Column, num: int, den: int) -> Column:
+    """How many of its commonest keys a set of n may leave out: fewer than the keys of its smallest partner hold."""
+    share = lambda x: F.floor((x * num + den - 1) / den).cast("int")  # noqa: E731  the share of x rounded up
+    least = share(n)
+    return F.least(share(least), F.greatest(F.lit(MORE_LEAST), F.floor(least / MORE_SHARE).cast("int"))) - 1
 
 
 def set_id(s: np.ndarray) -> int:
@@ -114,39 +90,16 @@ def _sets(k: int, num: int, den: int):
                         seen.add(node)
                     nodes.append(node)
                     sizes.append(len(s))
-                    keys.append(block_keys(s, num, den) if fresh else none)
+                    keys.append(set_keys(s, num, den) if fresh else none)
                 ends = np.cumsum([0, *map(len, keys)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), _signed(nodes), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([none, *keys]).view(np.int64)))],
-                    ["doc_id", "node", "n_shingles", "keys"],
+                    [part.column("doc_id").cast(pa.int64()), part.column("row"), _signed(nodes), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([none, *keys]).view(np.int64)))],
+                    ["doc_id", "row", "node", "n_shingles", "keys"],
                 )
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, node) to edges from each node to the least node of its key; holds one batch."""
-    key = pivot = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, nodes = (batch.column(c).to_numpy() for c in ("key", "node"))
-        new = np.empty(len(keys), bool)
-        new[0] = key is None or keys[0] != key
-        new[1:] = keys[1:] != keys[:-1]
-        first = np.where(new, np.arange(len(keys)), -1)
-        if not new[0]:
-            first[0] = 0
-        first = np.maximum.accumulate(first)
-        pivots = nodes[first]
-        if not new[0]:
-            pivots[first == 0] = pivot
-        key, pivot = keys[-1], pivots[-1]
-        far = np.nonzero(pivots != nodes)[0]
-        pairs = np.unique(np.stack([pivots[far], nodes[far]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
 def _again(k: int):
     """The n-gram sets of the documents that stand for a set; rows whose text gives another set go."""
 
@@ -158,8 +111,7 @@ def _again(k: int):
                 ends = np.cumsum([0, *map(len, sets)])
                 grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 same = pa.array([i for i, (s, n) in enumerate(zip(sets, part.column("node").to_pylist(), strict=True)) if len(s) and set_id(s) == n % (1 << 64)], pa.int64())
-                out = pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("spots"), grams], ["node", "root", "spots", "grams"])
-                yield out.take(same)
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("spots"), grams], ["node", "spots", "grams"]).take(same)
 
     return run
 
@@ -224,24 +176,21 @@ def links(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -
     return near
 
 
-def _tile_links(num: int, den: int):
-    """Rows sorted by (root, span, i, j) to a spanning forest of the links within each tile."""
+def _block_links(num: int, den: int):
+    """Rows sorted by block to a spanning forest of the links between each block's left and right rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b = [], []
-        for tile in runs(batches, ["root", "span", "i", "j"]):
-            nodes, once = np.unique(tile.column("node").to_numpy(), return_index=True)  # a row may have come twice
-            where = tile.column("tile").to_numpy()[once]
-            grams = tile.column("grams").combine_chunks().take(pa.array(once))
+        for block in runs(batches, BLOCK):
+            nodes, once = np.unique(block.column("node").to_numpy(), return_index=True)  # a row may have come twice
+            side = block.column("side").to_numpy()[once]
+            grams = block.column("grams").combine_chunks().take(pa.array(once))
             sets = [x.values.to_numpy() for x in grams]
-            i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
-            left = np.nonzero(where == i)[0]
-            right = left if i == j else np.nonzero(where == j)[0]
+            left, right = np.nonzero(side & LEFT)[0], np.nonzero(side & RIGHT)[0]
             if not len(left) or not len(right):
                 continue
             rows = [sets[x] for x in left]
-            on = links(rows, rows if i == j else [sets[x] for x in right], num, den)
-            x, y = np.nonzero(on)
+            x, y = np.nonzero(links(rows, rows if (side == LEFT | RIGHT).all() else [sets[x] for x in right], num, den))
             x, y = left[x], right[y]
             label = np.arange(len(nodes))
             while True:
@@ -263,46 +212,115 @@ def _tile_links(num: int, den: int):
     return run
 
 
+#: What tells blocks apart: what they are of, the span of sizes, and the two tiles.
+BLOCK = ["root", "span", "i", "j"]
+#: Sides of a block that a row stands on.
+LEFT, RIGHT = 1, 2
+_SPOTS = "array<struct<root:bigint,span:int,i:int,j:int,side:int>>"
+
+
+def _multiply(docs: DataFrame, stand: DataFrame, spots: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The links (a, b) found in the blocks: ``spots`` (node, spots) says where each set's row goes, ``stand`` whose text has it."""
+    wanted = save(stand.select("node", "id", "row").join(spots, "node"), "ngram-wanted")
+    some = maybe_in(docs, F.xxhash64("doc_id", "row"), wanted, F.xxhash64("id", "row"))
+    theirs = wanted.withColumnRenamed("row", "their_row")
+    again = some.join(theirs, some["doc_id"].eqNullSafe(theirs["id"]) & (some["row"] == theirs["their_row"])).select("text", "node", "spots")
+    grams = again.mapInArrow(_again(k), f"node long, spots {_SPOTS}, grams array<long>")
+    dealt = grams.select("node", "grams", F.explode("spots").alias("s")).select("s.*", "node", "grams").repartition(*BLOCK).sortWithinPartitions(*BLOCK, "node")
+    found = save(dealt.mapInArrow(_block_links(num, den), "a long, b long"), "ngram-links")
+    release(wanted)
+    return found
+
+
+def _shared_keys(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, pivots): of each set that shares a key that it keeps, the least sets that share its keys, in order."""
+    keys = sets.select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("often"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "often")
+    shared = save(shared, "ngram-shared")
+    thin = maybe_in(keys, F.col("key"), shared, F.col("key"))
+    ranked = F.array_sort(F.collect_set(F.struct("often", "key")))
+    own = thin.join(shared, "key").groupBy("node").agg(F.max("n").alias("n"), ranked.alias("keys"))
+    spare = left_out(F.col("n"), num, den)
+    kept = own.select("node", F.explode(F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.size("keys") - spare))).alias("k")).select("node", "k.key")
+    kept = save(kept, "ngram-keys")
+    release(shared)
+    pivots = kept.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
+    out = save(kept.join(pivots, "key").groupBy("node").agg(F.array_sort(F.collect_set("lo")).alias("pivots")), "ngram-pivots")
+    release(kept)
+    return out
+
+
+def _star_spots(pivots: DataFrame, stand: DataFrame) -> DataFrame:
+    """(node, spots) of the blocks of a parent, the first pivot, by the sets that have it; large ones in several parts."""
+    child = pivots.select("node", F.col("pivots")[0].alias("parent")).where("node <> parent").join(stand.select("node", "n"), "node")
+    parts = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("parts")
+    parents = child.groupBy("parent").agg(parts)
+    spot = lambda root, i, side: F.struct(root.alias("root"), F.lit(-2).alias("span"), i.alias("i"), F.lit(0).alias("j"), F.lit(side).alias("side"))
+    right = child.join(parents, "parent").select("node", F.array(spot(F.col("parent"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), RIGHT)).alias("spots"))
+    left = parents.select(F.col("parent").alias("node"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: spot(F.col("parent"), i, LEFT)).alias("spots"))
+    return right.unionByName(left).groupBy("node").agg(F.flatten(F.collect_list("spots")).alias("spots"))  # one or two
+
+
+def _class_spots(stand: DataFrame, classes: DataFrame, rough: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, spots) of the tiles of blocks of more than one class: each class but the largest with the whole block.
+
+    ``classes`` (node, root) has sets that are linked already, ``rough`` (node, root) the blocks of classes.
+    """
+    of = stand.select("node", "n").join(classes.select("node", F.col("root").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    member = of.join(rough.select(F.col("node").alias("class"), "root"), "class")
+    sizes = member.groupBy("root", "class").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    blocks = sizes.groupBy("root").agg(F.max(F.struct("c", "class"))["class"].alias("most"), ((F.sum("c") <= TILE) & (F.sum("n") <= TILE_GRAMS)).alias("small"))
+    step = F.floor(F.log("n") / (1.01 * log(den / num))).cast("int")
+    spans = F.explode(F.when(F.col("small"), F.array(F.lit(-1))).otherwise(F.array(step, step + 1))).alias("span")
+    spread = member.join(blocks, "root").select("node", "root", "n", (F.col("class") == F.col("most")).alias("main"), spans)
+    tiles = lambda which: F.ceil(F.greatest(F.count(F.when(which, 1)) / TILE, F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / TILE_GRAMS)).cast("int")
+    sized = spread.groupBy("root", "span").agg(tiles(~F.col("main")).alias("rest"), tiles(F.col("main")).alias("mains"))
+    placed = spread.join(sized.where("rest > 0"), ["root", "span"])
+    mine = F.when(F.col("main"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("main"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)
+
+    def spot(other: Column) -> Column:
+        side = F.when(other == F.col("mine"), LEFT | RIGHT).when(F.col("mine") < other, LEFT).otherwise(RIGHT)
+        return F.struct("root", "span", F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j"), side.alias("side"))
+
+    return placed.withColumn("mine", mine).select("node", F.transform(others, spot).alias("spots")).groupBy("node").agg(F.flatten(F.collect_list("spots")).alias("spots"))  # one or two spans
+
+
+def _labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (a, b) between the roots that ``labels`` (node, root) gives their ends; those within one root go."""
+    for end in ("a", "b"):
+        edges = edges.join(labels.select(F.col("node").alias(end), F.col("root").alias("_root")), end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    return edges.where("a <> b").distinct()
+
+
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``docs`` (doc_id, text, ...) to (doc_id, n_shingles, component_id), a row for each row of ``docs``.
+    """``docs`` (doc_id, text, ...) to (doc_id, n_shingles, component_id, row, class), a row for each row of ``docs``.
 
     Words are runs of bytes other than ASCII white space, with A-Z lowered; a text's set holds its distinct k-word
     shingles (the whole sequence as one where there are fewer words). Texts link where den * shared >= num * union.
     component_id is the least doc_id that links reach. A null or blank text has no shingle, links with nothing and is
     its own component. Repeated rows each get a row. A null doc_id takes part but never names a component unless
-    nothing else is there. Other columns of ``docs`` are not read.
+    nothing else is there. ``row`` is a hash of the text, which tells rows of one doc_id apart; ``class`` is the same for
+    linked texts, and null without shingles. Other columns of ``docs`` are not read; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = save(docs.mapInArrow(_sets(k, num, den), "doc_id long, node long, n_shingles long, keys array<long>"), "ngram-sets")
-    keys = sets.select("node", F.explode("keys").alias("key"))
-    edges = []
-    for r in range(ROUNDS):
-        dealt = keys.where(F.pmod("key", F.lit(ROUNDS)) == r).repartition("key").sortWithinPartitions("key", "node")
-        edges.append(save(dealt.mapInArrow(_stars, "a long, b long").distinct(), "ngram-edges"))
-    keyed, sets = sets, save(sets.drop("keys"), "ngram-nodes")
-    release(keyed)  # the keys are only needed for the edges
-    rough = connected_components(reduce(DataFrame.unionByName, edges))
-    stand = save(sets.join(rough, "node").groupBy("node", "root").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")), "ngram-stand")
-    small = (F.count("*") <= TILE) & (F.sum("n") <= TILE_GRAMS)
-    step = F.floor(F.log("n") / (1.01 * log(den / num))).cast("int")
-    spans = F.explode(F.when(F.col("small"), F.array(F.lit(-1))).otherwise(F.array(step, step + 1))).alias("span")
-    spread = stand.join(stand.groupBy("root").agg(small.alias("small")), "root").select("node", "root", "id", "n", spans)
-    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles")
-    sized = spread.groupBy("root", "span").agg(tiles, F.count("*").alias("sets")).where("sets > 1").drop("sets")
-    spots = spread.join(sized, ["root", "span"]).groupBy("node", "root", "id").agg(F.collect_list(F.struct("span", "tiles")).alias("spots"))  # one or two
-    spots = save(spots, "ngram-spots")
-    some = maybe_in(docs, F.xxhash64("doc_id"), spots, F.xxhash64("id"))
-    again = some.join(spots, some["doc_id"].eqNullSafe(spots["id"])).select("text", "node", "root", "spots")
-    grams = again.mapInArrow(_again(k), "node long, root long, spots array<struct<span:int,tiles:int>>, grams array<long>")
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiled = grams.withColumn("s", F.explode("spots")).select("node", "root", "grams", "s.*")
-    spread = (
-        tiled.withColumn("tile", tile).withColumn("other", other)
-        .select("root", "span", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "grams")
-        .repartition("root", "span", "i", "j").sortWithinPartitions("root", "span", "i", "j", "node")
-    )
-    linked = connected_components(spread.mapInArrow(_tile_links(num, den), "a long, b long"))
-    placed = sets.select("doc_id", "node", "n_shingles").join(linked, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), text.alias("text"))
+    keyed = save(docs.mapInArrow(_sets(k, num, den), "doc_id long, row long, node long, n_shingles long, keys array<long>"), "ngram-sets")
+    pivots = _shared_keys(keyed, num, den)
+    sets = save(keyed.drop("keys"), "ngram-nodes")
+    release(keyed)  # the keys are only needed for the pivots
+    first = F.min(F.struct("doc_id", "row"))
+    stand = save(sets.join(pivots.select("node"), "node").groupBy("node").agg(first.alias("f"), F.max("n_shingles").alias("n")).select("node", F.col("f.doc_id").alias("id"), F.col("f.row").alias("row"), "n"), "ngram-stand")
+    stars = _multiply(docs, stand, _star_spots(pivots, stand), k, num, den)
+    classes = connected_components(stars)
+    near = pivots.select(F.col("pivots")[0].alias("a"), F.explode(F.concat(F.array("node"), "pivots")).alias("b")).where("a <> b").distinct()
+    rough = connected_components(_labelled(near, classes))
+    tiles = _multiply(docs, stand, _class_spots(stand, classes, rough, num, den), k, num, den)
+    merged = connected_components(_labelled(tiles, classes))
+    for table in (pivots, stars, stand, rough, tiles):
+        release(table)
+    placed = sets.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    placed = placed.join(merged.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("class", F.coalesce("root", "class"))
     least = placed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    out = placed.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "row", "class")
+    return holding(out, sets, classes, merged)
