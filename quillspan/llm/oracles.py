@@ -31,12 +31,13 @@ reach as (select rid as a, rid as b from d union select r.a, l.b from reach r jo
 select d.doc_id, coalesce(n.n, 0) as n_shingles, min(o.doc_id) as component_id from d left join n using (rid) join reach r on r.a = d.rid join d o on o.rid = r.b group by d.rid, d.doc_id, n.n"""
 
 LINE_DEDUP = r"""
-with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents),
-l as (select doc_id, unnest(range(len(x))) as line_no, trim(unnest(x), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as line from t),
-s as (select doc_id, line_no, line, string_split(line, ' ') as w, doc_id * 1000000 + line_no as place from l where len(string_split(line, ' ')) >= 10),
-c as (select line, any_value(w) as w, len(any_value(w)) as n, min(place) as place from s group by 1),
-p as (select a.line, a.w as aw, b.w as bw, b.place from c a join c b on b.w[1:4] = a.w[1:4] and b.place < a.place and abs(a.n - b.n) <= 1
-  union select a.line, a.w, b.w, b.place from c a join c b on b.w[-4:] = a.w[-4:] and b.place < a.place and abs(a.n - b.n) <= 1),
+with t as (select doc_id, string_split(lower(coalesce(text, '')), chr(10)) as x from documents),
+l as (select doc_id, unnest(range(len(x))) as line_no, trim(regexp_replace(unnest(x), '[ \t\v\f\r]+', ' ', 'g'), ' ') as line from t),
+s as (select doc_id, line_no, line, doc_id * 1000000 + line_no as place from l where line <> ''),
+c as (select line, string_split(line, ' ') as w, len(string_split(line, ' ')) as n, min(place) as place from s group by 1),
+m as (select * from c where n >= 5),
+p as (select a.line, a.w as aw, b.w as bw, b.place from m a join m b on b.w[1] = a.w[1] and b.w[2] = a.w[2] and b.place < a.place and abs(a.n - b.n) <= 1
+  union select a.line, a.w, b.w, b.place from m a join m b on b.w[-1] = a.w[-1] and b.w[-2] = a.w[-2] and b.place < a.place and abs(a.n - b.n) <= 1),
 e as (select line, place, greatest(len(aw), len(bw)) as most, least(len(aw), len(bw)) as least_n,
   list_position(list_transform(range(1, least(len(aw), len(bw)) + 1), lambda i: aw[i] <> bw[i]), true) as head, list_position(list_transform(range(1, least(len(aw), len(bw)) + 1), lambda i: aw[-i] <> bw[-i]), true) as tail from p),
 k as (select line, min(place) as kept from e where coalesce(nullif(head, 0) - 1, least_n) + coalesce(nullif(tail, 0) - 1, least_n) >= most - 1 group by 1)

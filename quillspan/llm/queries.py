@@ -64,7 +64,7 @@ def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_lines(_table(spark, sf_dir, "documents"), min_words=10, exact_words=1).drop("row")
+    return duplicate_lines(_table(spark, sf_dir, "documents"), min_words=5, exact_words=1).drop("row")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,17 @@ def within_one(a, b):
     return head + tail >= max(len(a), len(b)) - 1
 
 
-def brute(rows, least):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def brute(rows, least, within_one=within_one):
     lines = []
     for doc_id, text in sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         for no, line in enumerate(text.split("\n")):
@@ -39,22 +49,30 @@ def test_equals_brute_force(spark):
             words = [random.choice("ab") for _ in range(random.randint(3, 9))]
             lines.append(" ".join(words))
         rows.append((i, "\n".join(lines), "s"))
-    got = duplicate_lines(docs(spark, rows), 4).drop("row")
+    got = duplicate_lines(docs(spark, rows), 4, None).drop("row")
     assert plain(got) == brute([(i, t) for i, t, _ in rows], 4)
 
 
+def test_two_edits_equal_brute_force(spark):
+    random.seed(4)
+    rows = [(i, "\n".join(" ".join(random.choice("abc") for _ in range(random.randint(3, 9))) for _ in range(random.randint(0, 3))), "s") for i in range(60)]
+    rows += [(100 + i, " ".join(str((j * 7 + (i // 9) * (j == i % 9)) % 23) for j in range(12)), "s") for i in range(40)]
+    got = duplicate_lines(docs(spark, rows), 4, None, edits=2).drop("row")
+    assert plain(got) == brute([(i, t) for i, t, _ in rows], 4, lambda a, b: edits(a, b) <= 2)
+
+
 LINE = "a b c d e f g h i j k l"
 
 
 def test_one_edit_each_way_and_chains(spark):
     rows = [(1, LINE, "s"), (2, LINE.replace(" f", " zz"), "s"), (3, LINE.replace(" f", ""), "s"), (4, LINE + " m", "s"), (5, LINE + " m n", "s"), (6, "b a c d e f g h i j k l", "s"), (7, "short line", "s"), (8, f"  {LINE}\r\nnew text here", "s")]
-    got = duplicate_lines(docs(spark, rows), 10).drop("row")
+    got = duplicate_lines(docs(spark, rows), 10, None).drop("row")
     assert plain(got) == [(2, 0, 1, 0), (3, 0, 1, 0), (4, 0, 1, 0), (5, 0, 4, 0), (8, 0, 1, 0)]
 
 
 def test_case_and_white_space_are_folded(spark):
     rows = [(1, LINE, "s"), (2, LINE.replace("c d", "C D").replace("j", "J"), "s"), (3, LINE.replace(" ", "  "), "s"), (4, LINE.replace(" ", "\t"), "s"), (5, LINE.replace(" ", " \x0b\x0c").upper() + "\t\r\nÄ", "s"), (6, LINE.replace(" f", "\tZZ  "), "s"), (7, LINE.replace(" ", "\u00a0"), "s")]
-    got = duplicate_lines(docs(spark, rows), 10).drop("row")
+    got = duplicate_lines(docs(spark, rows), 10, None).drop("row")
     assert plain(got) == [(2, 0, 1, 0), (3, 0, 1, 0), (4, 0, 1, 0), (5, 0, 1, 0), (6, 0, 1, 0)]
 
 

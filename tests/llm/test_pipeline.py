@@ -40,6 +40,18 @@ def test_planted_cases(spark, sf_dir):
     assert corpus_pipeline.keep_one_of_each(spark, table, sf_dir).columns == table.columns
 
 
+def test_rows_without_a_doc_id_or_of_one_doc_id_are_judged_apart(spark, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(40))
+    near = own(1) + " more"
+    rows = [(None, own(1), "s"), (None, own(2), "s"), (None, own(2), "t"), (None, own(3), "s"), (1, own(4), "s"), (1, own(5), "s"), (2, near, "s"), (None, own(6) + "\n" + bench.text, "s"), (1, own(7) + "\n" + bench.text, "s")]
+    table = docs(spark, rows)
+    kept = sorted([(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each(spark, table, sf_dir).collect()], key=str)
+    assert kept == sorted({(i, t) for i, t, _ in rows} - {(None, own(1))}, key=str)
+    clean = sorted([(r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, table, sf_dir).collect()], key=str)
+    assert clean == sorted([(i, t) for i, t, _ in rows if bench.text not in t], key=str)
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
