@@ -25,3 +25,8 @@ def iso_timestamp(c: Column) -> Column:
 
 def path_stamp(c: Column) -> Column:
     return F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def iso_now(micros: bool = False) -> Column:
+    """The current instant as an ISO string in UTC, to the second or the microsecond."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss" + (".SSSSSS" if micros else "") + "'+00:00'")

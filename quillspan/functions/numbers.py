@@ -49,3 +49,16 @@ def quality_score(text: Column, n_words: Column, seconds: Column, alignment: Col
         + 0.06 * (clamp(F.length(F.coalesce(text, F.lit(""))).cast("double"), 0.0, 120.0) / 120)
         - 0.03 * (clamp(zero(pause_ms), 0.0, 800.0) / 800)
     )
+
+
+def words_per_second(words: Column, seconds: Column) -> Column:
+    """Half-even to three digits; a span counts for a hundredth of a second at least."""
+    return F.bround(words / F.greatest(seconds, F.lit(0.01)), 3)
+
+
+def kbps(bytes_: Column, seconds: Column) -> Column:
+    return ratio(bytes_ * 8 / 1000, seconds)
+
+
+def gigabytes(bytes_: Column) -> Column:
+    return bytes_ / float(1024**3)

@@ -1,34 +1,45 @@
-"""Sequence comparisons over arrays: native folds, and the loops that one row of a fold cannot express."""
+"""Sequence comparisons over arrays: built-ins where they can, and the loops that they cannot express."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Edits between two arrays, as a fold that carries one row of the table."""
-    first = F.when(F.size(b) > 0, F.concat(F.array(F.lit(0)), F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))))).otherwise(F.array(F.lit(0)))
+    """Edits between two arrays of strings or numbers: the built-in string distance over one character for each distinct element."""
+    def coded(x: Column, known: Column) -> Column:
+        # element k is character k, past the surrogates from there on; UTF-32 has four bytes for each
+        code = lambda e: F.array_position(known, e).cast("int")
+        hexes = F.transform(x, lambda e: F.lpad(F.hex(code(e) + F.when(code(e) >= 0xD800, 0x800).otherwise(0)), 8, "0"))
+        return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
 
-    def row(prev: Column, x: Column) -> Column:
-        steps = F.transform(b, lambda y, j: F.struct(F.least(F.get(prev, j + 1) + 1, F.get(prev, j) + (x != y).cast("int")).alias("best")))
-        return F.aggregate(steps, F.array(F.get(prev, F.lit(0)) + 1), lambda acc, s: F.concat(acc, F.array(F.least(s["best"], F.element_at(acc, -1) + 1))))
+    both = F.transform(F.array(F.array_distinct(F.concat(a, b))), lambda known: F.levenshtein(coded(a, known), coded(b, known)))
+    return F.element_at(both, 1)
 
-    return F.element_at(F.aggregate(a, first, row), -1)
 
+def lcs_length(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence, a row of the table in the bits of one integer."""
+    where: dict = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
 
-def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, by the same kind of fold."""
-    first = F.array_repeat(F.lit(0), F.size(b) + 1)
 
-    def row(prev: Column, x: Column) -> Column:
-        steps = F.transform(b, lambda y, j: F.struct((x == y).alias("same"), F.get(prev, j).alias("diagonal"), F.get(prev, j + 1).alias("above")))
-        return F.aggregate(
-            steps, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.when(s["same"], s["diagonal"] + 1).otherwise(F.greatest(s["above"], F.element_at(acc, -1))))))
-
-    return F.element_at(F.aggregate(a, first, row), -1)
+@F.pandas_udf(IntegerType())
+def common_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``lcs_length`` of two array columns; Arrow batches, as no built-in has it."""
+    return pd.Series([None if x is None or y is None else lcs_length(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def word_error_rate(edits: Column, ref_words: Column, pred_words: Column) -> Column:
@@ -40,7 +51,7 @@ def quality_bucket(wer: Column) -> Column:
     return F.when(wer <= 0.15, "good").when(wer <= 0.30, "usable").otherwise("poor")
 
 
-#: Starts tried from the cursor, words beyond the unit's own length, cost of a later start, least accepted score.
+# Starts tried from the cursor, words beyond the unit's own length, cost of a later start, least accepted score.
 REACH, SLACK, LATER, ACCEPT = 120, 12, 0.003, 0.45
 
 
@@ -69,11 +80,15 @@ def word_span(unit: Sequence[str], words: Sequence[str], cursor: int) -> tuple[i
 
 
 def match_nearest(refs: Sequence[int], preds: Sequence[int], tolerance: int) -> list[tuple[int, int]]:
-    """Each reference in turn takes the nearest free prediction within the tolerance, the earlier one on ties."""
-    free, out = dict(enumerate(preds)), []
+    """Each reference in turn takes the nearest free prediction within the tolerance, the earlier one on ties.
+
+    Both ascend, so only the predictions around a reference are looked at.
+    """
+    used, out = [False] * len(preds), []
     for ref in refs:
-        near = [(abs(p - ref), i) for i, p in free.items() if abs(p - ref) <= tolerance]
+        near = [(abs(preds[i] - ref), i) for i in range(bisect_left(preds, ref - tolerance), bisect_right(preds, ref + tolerance)) if not used[i]]
         if near:
             _, i = min(near)
-            out.append((ref, free.pop(i)))
+            used[i] = True
+            out.append((ref, preds[i]))
     return out

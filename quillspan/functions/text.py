@@ -55,9 +55,10 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30)))), "")
 
 
-def canonical_language(c: Column, spellings: Mapping[str, str] = vocab.LANGUAGES) -> Column:
-    """The first comma part that has a known spelling, else the whole in title case."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda p: lookup(spellings, collapse(F.lower(p))))
+def canonical_language(c: Column, spellings: Mapping[str, str] | None = None) -> Column:
+    """The first comma part that has a known spelling, else the whole in title case; callers may pass their own spellings."""
+    known = F.create_map(*[F.lit(x) for kv in (spellings or vocab.languages()).items() for x in kv])
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda p: F.element_at(known, collapse(F.lower(p))))
     return F.coalesce(F.get(F.filter(parts, lambda p: p.isNotNull()), F.lit(0)), title_case(F.trim(F.coalesce(c, F.lit("")))))
 
 
@@ -65,6 +66,35 @@ def collapse_language(c: Column, variants: Mapping[str, str] = vocab.LANGUAGE_CO
     return F.coalesce(lookup(variants, c), c)
 
 
+def accent_of_country(c: Column) -> Column:
+    return F.coalesce(lookup(vocab.ACCENTS, F.upper(F.coalesce(c, F.lit("")))), F.lit("unknown"))
+
+
+def clean_annotator(c: Column) -> Column:
+    """A user name trimmed and cut to 120 characters; ``anonymous`` where nothing is left."""
+    return falsy(F.left(F.trim(falsy(c, "anonymous")), F.lit(120)), "anonymous")
+
+
+def absolute_path(c: Column, base: str) -> Column:
+    """Relative paths below ``base``; empty and absolute ones stay."""
+    return F.when((F.coalesce(c, F.lit("")) == "") | c.startswith("/"), c).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), c))
+
+
+def relative_path(c: Column, base: str) -> Column:
+    """Paths below ``base`` relative to it; others stay."""
+    root = base.rstrip("/") + "/"
+    return F.when(c.startswith(root), F.substring(c, len(root) + 1, 1 << 30)).otherwise(c)
+
+
+def audio_target(source: Column, key: Column) -> Column:
+    """``source/sha1-of-key.flac`` with a file-safe source."""
+    return F.concat(safe_name(falsy(source, "source")), F.lit("/"), F.sha1(F.encode(F.coalesce(key, F.lit("")), "UTF-8")), F.lit(".flac"))
+
+
+def station_label(name: Column, uuid: Column) -> Column:
+    return F.coalesce(F.nullif(F.trim(name), F.lit("")), uuid)
+
+
 def news_score(name: Column, tags: Column) -> Column:
     """Distinct news tags, plus two for each news word in the name, minus three for each music tag."""
     parts = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda t: F.lower(F.trim(t))), lambda t: t != ""))
@@ -183,6 +213,13 @@ def log_channels(c: Column) -> Column:
     return F.when(found == "mono", 1).when(found == "stereo", 2).otherwise(F.coalesce(found.try_cast("int"), F.lit(0)))
 
 
+def log_stream(c: Column) -> Column:
+    """struct(codec, sample_rate, bitrate) of a stream probe's log, null where it does not say."""
+    said = lambda pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
+    stream = r"Stream #\d+:\d+.*Audio:\s*(\w+).*?(\d+)\s*Hz"
+    return F.struct(said(stream, 1).alias("codec"), said(stream, 2).try_cast("int").alias("sample_rate"), (said(r"bitrate:\s*(\d+)\s*kb/s", 1).try_cast("int") * 1000).alias("bitrate"))
+
+
 def log_numbers(c: Column, key: str) -> Column:
     """All numbers after ``key:``."""
     return F.transform(F.regexp_extract_all(c, F.lit(key + r":\s*(-?[\d.]+)"), F.lit(1)), lambda x: x.try_cast("double"))

@@ -89,3 +89,18 @@ def checkpoint_state(events: DataFrame, most_attempts: int) -> DataFrame:
 def remaining(keys: DataFrame, state: DataFrame) -> DataFrame:
     """Keys still to do: neither completed nor failed for good."""
     return keys.join(state.where("state in ('completed', 'failed')"), "uuid", "left_anti")
+
+
+def meta_store(log: DataFrame, key: str = "key", value: str = "value", seq: str = "seq") -> DataFrame:
+    """Key and value after upserts: the last value of each key."""
+    return log.groupBy(key).agg(F.max_by(value, seq).alias(value))
+
+
+def cleared(table: DataFrame) -> DataFrame:
+    """The table with all rows deleted, as a forced import begins."""
+    return table.limit(0)
+
+
+def queue_state(events: DataFrame, key: str, seq: str, add: str, remove: str, kind: str) -> DataFrame:
+    """Members of a set after additions and removals in order: those whose last event added them."""
+    return events.where(F.col(kind).isin(add, remove)).groupBy(key).agg(F.max_by(kind, seq).alias("_last")).where(F.col("_last") == add).select(key)

@@ -52,11 +52,17 @@ def summary(per_class: DataFrame, rows: Column | None = None) -> DataFrame:
     )
 
 
-def class_weights(df: DataFrame, label: str, values: Sequence, power: float) -> DataFrame:
-    """(total / (classes * n))^power with n at least 1, scaled to mean 1."""
+def class_weights(df: DataFrame, label: str, values: Sequence, power: float, one_in_total: bool = False) -> DataFrame:
+    """(total / (classes * n))^power with n at least 1, scaled to mean 1.
+
+    With ``one_in_total`` a label without rows counts as one in the total too and the number of classes is left out; after scaling that makes
+    no difference to the weights.
+    """
     counts = vocab_counts(df, label, values)
     every = Window.partitionBy()  # one row for each vocabulary label
-    raw = counts.withColumn("raw", F.pow(F.sum("n").over(every) / (len(values) * F.greatest(F.lit(1), F.col("n"))), F.lit(power)))
+    least = F.greatest(F.lit(1), F.col("n"))
+    share = F.sum(least).over(every) / least if one_in_total else F.sum("n").over(every) / (len(values) * least)
+    raw = counts.withColumn("raw", F.pow(share, F.lit(power)))
     return raw.withColumn("weight", F.col("raw") / F.avg("raw").over(every)).drop("raw")
 
 

@@ -6,7 +6,7 @@ order of ``md5(seed|id)``: sizes and invariants are exact, and any engine with m
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from quillspan.scratch import save
 
 
+#: Extra rows of a label that are made at once.
+DRAWS = 10_000
+
+
 def hash_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
@@ -107,7 +111,10 @@ def oversample(df: DataFrame, label: str, key: str, reference: str, fraction: fl
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     target = counts.agg(F.floor(F.greatest(F.lit(1), F.coalesce(F.sum(F.when(F.col(label) == reference, F.col("n"))), F.lit(0))) * fraction).cast("long").alias("t")).scalar()
     wanted = counts.where(F.col(label) != reference).withColumn("extra", F.greatest(F.lit(0), F.least(target, F.col("n") * most_repeat) - F.col("n")))
-    draws = wanted.where("extra > 0").select(F.col(label).alias("_l"), "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("extra"))).alias("copy"))
+    # extra rows are made in blocks, dealt out, so that a label's are not one task's work
+    blocks = wanted.where("extra > 0").select(F.col(label).alias("_l"), "n", "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("extra") - 1) / DRAWS))).alias("_block"))
+    copies = F.sequence(F.col("_block") * DRAWS + 1, F.least(F.col("extra"), (F.col("_block") + 1) * DRAWS))
+    draws = blocks.repartition("_l", "_block").select("_l", "n", F.explode(copies).alias("copy"))
     digest = F.conv(F.substring(hash_order(seed, F.concat_ws("|", "_l", "copy")), 1, 8), 16, 10).cast("long")
     draws = draws.select("_l", "copy", (F.pmod(digest, F.col("n")) + 1).alias("_rn"))
     rows = ranked(df, [label], [hash_order(seed, F.col(key)), F.col(key)])
@@ -124,20 +131,54 @@ def shard_numbers(df: DataFrame, order: Sequence[Column], rows: int, name: str =
     return positions(df, order, name).withColumn(name, F.floor(F.col(name) / rows).cast("long"))
 
 
-def late_fetch(wide: DataFrame, chosen: DataFrame, key: str, rank: str) -> DataFrame:
-    """Wide rows of the chosen keys, with the rank to order them by; the choice is made on narrow rows first."""
-    return wide.join(chosen.select(key, rank), key)
+def late_fetch(wide: DataFrame, chosen: DataFrame, key: str, *keep: str) -> DataFrame:
+    """Wide rows of the chosen keys, with what to order them by; the choice is made on narrow rows first."""
+    return wide.join(chosen.select(key, *keep), key)
+
 
+def cumulative(df: DataFrame, order: Sequence[Column], weight: str, name: str = "before") -> DataFrame:
+    """``df`` with the sum of ``weight`` over all rows that come before in ``order``, by range parts as ``positions`` does.
 
-def order_statistic(df: DataFrame, value: str, share: float) -> DataFrame:
-    """The value at index int((n-1) * share) of the sorted values, counted by distinct value and not collected."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
-    steps = positions(counts, [F.col(value)], "_at")
-    # cumulative counts by blocks of 10,000 distinct values, then within the one block that holds the index
-    blocks = steps.groupBy(F.floor(F.col("_at") / 10_000).alias("_block")).agg(F.sum("_c").alias("_rows"))
-    upto = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(upto), F.lit(0))).withColumn("_index", F.floor((F.sum("_rows").over(Window.partitionBy()) - 1) * F.lit(share)))
-    one = blocks.where("_index >= _before and _index < _before + _rows")
-    inside = steps.withColumn("_block", F.floor(F.col("_at") / 10_000)).join(one, "_block")
-    last = F.col("_before") + F.sum("_c").over(Window.orderBy("_at"))
-    return inside.withColumn("_last", last).where("_index < _last and _index >= _last - _c").select(F.col(value).alias("value"))
+    ``weight`` must not be null; rows that tie share a part, so aggregate equal rows first.
+    """
+    dealt = save(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "cumulative")
+    sums = dealt.groupBy("_part").agg(F.sum(weight).alias("_sum"))  # a row for each part
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum(weight).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("_within", within).join(sums.select("_part", before.alias("_before")), "_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+
+
+def order_statistics(df: DataFrame, value: str, at: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row with the values at indices of the sorted values, each index a function of their number; one counting pass."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    placed = save(cumulative(counts, [F.col(value)], "_c", "_first"), "order-statistics")
+    n = placed.agg(F.sum("_c")).scalar()
+    index = {name: f(n).cast("long") for name, f in at.items()}
+    return placed.agg(*[F.max(F.when((F.col("_first") <= i) & (i < F.col("_first") + F.col("_c")), F.col(value))).alias(name) for name, i in index.items()])
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Quantiles by group with linear interpolation, from counts of distinct values, so that no buffer holds a group's values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    placed = save(cumulative(counts, [*[F.col(k) for k in keys], F.col(value)], "_c", "_first"), "quantiles")
+    groups = placed.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.min("_first").alias("_start"), F.sum("_c").alias("_n"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    both = placed.join(groups, on).withColumn("_at", F.col("_first") - F.col("_start"))
+    place = {name: (F.col("_n") - 1) * share for name, share in shares.items()}
+    holds = lambda i: (F.col("_at") <= i) & (i < F.col("_at") + F.col("_c"))
+    ends = [F.max(F.when(holds(f(p)), F.col(value))).alias(f"_{name}_{side}") for name, p in place.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    got = both.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
+    between = [(F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * (p - F.floor(p))).alias(name) for name, p in place.items()]
+    return got.select(*keys, *between)
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int, replace: bool = False) -> DataFrame:
+    """``n`` rows drawn by hash; where there are fewer, all of them, or with ``replace`` rows drawn again (``draw`` counts the draws)."""
+    if not replace:
+        return df.orderBy(hash_order(seed, F.col(key)), key).limit(n)
+    placed = positions(df, [hash_order(seed, F.col(key)), F.col(key)], "_pos")
+    size = df.agg(F.count("*")).scalar()
+    digest = F.conv(F.substring(hash_order(seed, F.concat_ws("|", F.lit("draw"), "draw")), 1, 8), 16, 10).cast("long")
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("_pos", F.when(size >= n, F.col("draw")).otherwise(F.pmod(digest, F.greatest(size, F.lit(1)))))
+    return placed.join(draws, "_pos").select(*df.columns, "draw")

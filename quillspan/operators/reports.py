@@ -20,6 +20,33 @@ def inventory(df: DataFrame, source: str, seconds: Column, local: Column) -> Dat
     return out.withColumn(source, F.coalesce(source, F.lit("*")))
 
 
+def processing_status(done: DataFrame, failures: DataFrame, shards: DataFrame, seconds: str) -> DataFrame:
+    """One row: segments done, failures, packaged shards, and hours done."""
+    counts = done.agg(F.count("*").alias("processed_ok"), F.bround(F.coalesce(F.sum(seconds), F.lit(0.0)) / 3600, 3).alias("hours"))
+    for name, df in (("failures", failures), ("packaged_shards", shards)):
+        counts = counts.withColumn(name, df.agg(F.count("*")).scalar())
+    return counts
+
+
+def run_stats(df: DataFrame, ok: Column, bytes_: Column, seconds: Column) -> DataFrame:
+    """One row on a run: captures, how many succeeded, their bytes and seconds, and bytes a second."""
+    total, lasted = F.coalesce(F.sum(F.when(ok, bytes_)), F.lit(0)), F.coalesce(F.sum(F.when(ok, seconds)), F.lit(0.0))
+    return df.agg(F.count("*").alias("total"), F.count_if(ok).alias("completed"), F.count_if(~ok).alias("failed"), total.alias("total_bytes"), lasted.alias("total_duration"), N.ratio(total, lasted).alias("avg_speed"))
+
+
+def public_summary(public: DataFrame, units: DataFrame, most_seconds: float = 20.0) -> DataFrame:
+    """(grouping, name, rows, hours): public rows by split, accent, source and country, in all, and the neutral rows left out."""
+    sets = [[F.col(c)] for c in ("emotion", "accent", "source_id", "country_code")] + [[]]
+    by = ["emotion", "accent", "source_id", "country_code"]
+    out = public.groupingSets(sets, *by).agg(F.count("*").alias("rows"), F.bround(F.coalesce(F.sum("duration_seconds"), F.lit(0.0)) / 3600, 6).alias("hours"), F.grouping_id(*by).alias("g"))
+    name = {7: "split", 11: "accent", 13: "source", 14: "country", 15: "all"}
+    grouping = F.element_at(F.create_map(*[F.lit(x) for kv in name.items() for x in kv]), F.col("g").cast("int"))
+    shown = out.select(grouping.alias("grouping"), F.coalesce(*by, F.lit("*")).alias("name"), "rows", "hours")
+    neutral = units.where((F.col("emotion") == "neutral") & F.coalesce("is_labeled", F.lit(False)) & (F.trim(F.coalesce("text", F.lit(""))) != "") & (F.coalesce("duration_seconds", F.lit(0.0)) < most_seconds))
+    removed = neutral.agg(F.lit("removed").alias("grouping"), F.lit("neutral").alias("name"), F.count("*").alias("rows"), F.bround(F.coalesce(F.sum("duration_seconds"), F.lit(0.0)) / 3600, 6).alias("hours"))
+    return shown.unionByName(removed)
+
+
 def bandwidth_profile(df: DataFrame, ok: Column, bytes_: Column, kbps: Column, seconds: float, duration: float) -> DataFrame:
     """Megabits per second, mean station rate (0.128 Mbit/s where none succeeded), and how many captures 70 % of it carries (1 to 200)."""
     mbps = F.coalesce(F.sum(F.when(ok, bytes_)), F.lit(0)) * 8 / 1e6 / seconds
@@ -36,10 +63,15 @@ def concurrency_sweep(df: DataFrame, level: str, ok: Column, bytes_: Column, sec
 
 
 def validation_report(df: DataFrame, reason: str) -> DataFrame:
-    """Files in all, valid and not."""
+    """Files in all, valid and not; ``validation_rows`` lists them."""
     return df.agg(F.count("*").alias("total"), F.count_if(F.col(reason).isNull()).alias("valid"), F.count_if(F.col(reason).isNotNull()).alias("invalid"))
 
 
+def validation_rows(df: DataFrame, path: str, reason: str) -> DataFrame:
+    """(path, is_valid, reason) in order of the path."""
+    return df.select(path, F.col(reason).isNull().alias("is_valid"), F.coalesce(reason, F.lit("ok")).alias("reason")).orderBy(path)
+
+
 def status_counts(df: DataFrame, status: Column, known: Sequence[str]) -> DataFrame:
     """Rows by status, zeros kept for known ones."""
     return M.vocab_counts(df.select(status.alias("status")), "status", list(known))

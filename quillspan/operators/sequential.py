@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
+from quillspan.functions import vocab
 from quillspan.functions.sequences import match_nearest, word_span
 from quillspan.operators.rank import hash_order
 
@@ -83,15 +86,26 @@ def align_units(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, "units", "words", "starts", "ends", "seconds").mapInPandas(run, f"{key} {kind}, unit_no int, start_word int, end_word int, start_seconds double, end_seconds double, score double, method string")
 
 
-def match_events(df: DataFrame, key: str, tolerance: int) -> DataFrame:
-    """Greedy one-to-one matches of ``df`` (key, refs array<long>, preds array<long>): (key, ref, pred)."""
+def match_events(df: DataFrame, keys: Sequence[str], tolerance: int) -> DataFrame:
+    """Greedy one-to-one matches of ``df`` (keys..., pos long, is_ref boolean): (keys..., ref, pred).
+
+    Events more than ``tolerance`` apart do not compete, so a key's events are cut where such a gap is, and each stretch is matched
+    on its own.
+    """
+    line = Window.partitionBy(*keys).orderBy("pos", "is_ref")
+    gap = F.col("pos") - F.lag("pos").over(line) > tolerance
+    stretches = df.select(*keys, "pos", "is_ref").withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("long"))
+    stretches = stretches.withColumn("_stretch", F.sum("_gap").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = lambda ref: F.sort_array(F.collect_list(F.when(F.col("is_ref") == ref, F.col("pos"))))
+    both = stretches.groupBy(*keys, "_stretch").agg(at(True).alias("refs"), at(False).alias("preds")).where((F.size("refs") > 0) & (F.size("preds") > 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(k, r, p) for k, refs, preds in zip(pdf[key], pdf["refs"], pdf["preds"], strict=True) for r, p in match_nearest(list(refs), list(preds), tolerance)]
-            yield pd.DataFrame(out, columns=[key, "ref", "pred"])
+            out = [(*[getattr(r, k) for k in keys], a, b) for r in pdf.itertuples(index=False) for a, b in match_nearest(list(r.refs), list(r.preds), tolerance)]
+            yield pd.DataFrame(out, columns=[*keys, "ref", "pred"])
 
-    return df.select(key, "refs", "preds").mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, ref long, pred long")
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return both.select(*keys, "refs", "preds").mapInPandas(run, f"{kinds}, ref long, pred long")
 
 
 def decode_batched(df: DataFrame, decode, schema: str, size: int = 8) -> DataFrame:
@@ -114,3 +128,22 @@ def decode_batched(df: DataFrame, decode, schema: str, size: int = 8) -> DataFra
                 yield pd.DataFrame(out)
 
     return df.mapInPandas(run, schema)
+
+
+def register_unit_splitter(spark: SparkSession, name: str = "split_units") -> None:
+    """A table function for SQL: ``LATERAL split_units(text)`` gives (unit_no, unit) for the units between runs of exclamation marks."""
+
+    @udtf(returnType="unit_no int, unit string")
+    class Splitter:
+        def eval(self, text: str) -> Iterator[tuple[int, str]]:
+            said = re.sub(vocab.CONTROL_RE, " ", text or "")
+            units = (" ".join(u.split()) for u in re.split(vocab.IU_SEPARATOR_RE, said))
+            yield from enumerate(u for u in units if u)
+
+    spark.udtf.register(name, Splitter)
+
+
+def collated(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """Rows of a group as arrays in order, for a model's batch; groups are a handful of rows."""
+    rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
+    return df.groupBy(*keys).agg(rows.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in columns])

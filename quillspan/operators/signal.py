@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import numbers as N
+from quillspan.operators.rank import group_quantiles
 
 
 def leading_run(df: DataFrame, keys: Sequence[str], order: Sequence[Column], loud: Column, name: str = "run") -> DataFrame:
@@ -17,12 +18,30 @@ def leading_run(df: DataFrame, keys: Sequence[str], order: Sequence[Column], lou
     return quiet.groupBy(*keys).agg(F.sum((F.col("_loud") == 0).cast("long")).alias(name))
 
 
+def near_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, other: str, reach: float) -> DataFrame:
+    """Pairs of rows of one key whose positions are at most ``reach`` apart.
+
+    The axis is cut into buckets of that length; a left row meets the right rows of its own bucket and the two beside it, so a key's rows
+    are dealt out by position and not all compared.
+    """
+    bucket = lambda c: F.floor(F.col(c) / F.lit(float(reach) or 1.0))
+    spread = left.withColumn("_bucket", F.explode(F.array(*[bucket(at) + i for i in (-1, 0, 1)])))
+    return spread.join(right.withColumn("_bucket", bucket(other)), [*keys, "_bucket"]).drop("_bucket").where(F.abs(F.col(at) - F.col(other)) <= reach)
+
+
+def within_spans(spans: DataFrame, points: DataFrame, keys: Sequence[str], start: str, end: str, at: str, width: float) -> DataFrame:
+    """Points of one key that lie in a span, ends included; the axis is cut into buckets of ``width``, about a span's length."""
+    bucket = lambda c: F.floor(F.col(c) / float(width))
+    spread = spans.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    return spread.join(points.withColumn("_bucket", bucket(at)), [*keys, "_bucket"]).drop("_bucket").where(F.col(at).between(F.col(start), F.col(end)))
+
+
 def silence_around(frames: DataFrame, boundaries: DataFrame, key: str, threshold: float, reach: float = 0.8, hop_ms: float = 10.0) -> DataFrame:
     """Silence in ms before and after each boundary (key, boundary_id, at): frames at or below the threshold without a gap.
 
     ``frames`` (key, t, rms). A range join brings each boundary its frames within ``reach`` seconds.
     """
-    near = boundaries.join(frames, key).where(F.abs(F.col("t") - F.col("at")) <= reach)
+    near = near_join(boundaries, frames, [key], "at", "t", reach)
     sides = near.select(key, "boundary_id", "at", "t", "rms", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("side")).where(
         F.expr("side = 'before' and t <= at or side = 'after' and t >= at")
     )
@@ -55,7 +74,8 @@ def sliding_rms(df: DataFrame, keys: Sequence[str], pos: str, value: str, frame:
 
 def silence_stats(df: DataFrame, keys: Sequence[str], rms: str) -> DataFrame:
     """Threshold max(1.5 p20, median/4, 1e-4), mean and peak, and the share of frames at or below the threshold."""
-    stats = df.groupBy(*keys).agg(F.percentile(rms, F.lit(0.2)).alias("p20"), F.percentile(rms, F.lit(0.5)).alias("p50"), F.avg(rms).alias("mean_rms"), F.max(rms).alias("peak"))
+    stats = df.groupBy(*keys).agg(F.avg(rms).alias("mean_rms"), F.max(rms).alias("peak"))
+    stats = stats.join(group_quantiles(df, keys, rms, {"p20": 0.2, "p50": 0.5}), list(keys))
     stats = stats.withColumn("threshold", F.greatest(F.col("p20") * 1.5, F.col("p50") * 0.25, F.lit(1e-4)))
     share = df.join(stats.select(*keys, "threshold"), list(keys)).groupBy(*keys).agg(F.avg((F.col(rms) <= F.col("threshold")).cast("double")).alias("silence_ratio"))
     return stats.join(share, list(keys)).withColumn("mean_rms_db", N.decibel(F.col("mean_rms"))).withColumn("peak_db", N.decibel(F.col("peak")))
@@ -90,8 +110,15 @@ def running_offsets(df: DataFrame, keys: Sequence[str], order: str, length: str,
     return df.withColumn("end_at", end).withColumn("start_at", F.col("end_at") - F.col(length))
 
 
-def pool_embeddings(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """Mean, population deviation and maximum by dimension (key..., dim), aggregated before any shuffle."""
+def pool_embeddings(df: DataFrame, keys: Sequence[str], vector: str, mask: Column | None = None, least_variance: float | None = None) -> DataFrame:
+    """Mean, population deviation and maximum by dimension (key..., dim), aggregated before any shuffle.
+
+    ``mask`` leaves rows out; ``least_variance`` bounds the variance from below before the root is taken.
+    """
+    df = df if mask is None else df.where(mask)
+    if least_variance is not None:
+        out = pool_embeddings(df, keys, vector)
+        return out.withColumn("std", F.sqrt(F.greatest(F.col("std") * F.col("std"), F.lit(least_variance))))
     return df.select(*keys, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double")).groupBy(*keys, "dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("x").alias("max"))
 
 

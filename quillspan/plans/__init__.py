@@ -1,3 +1,3 @@
 """Named queries over the test tables: importing this package fills the registry."""
 
-from quillspan.plans import ordered, ranking, relational, reporting, scalars  # noqa: F401
+from quillspan.plans import intake, ordered, ranking, relational, reporting, scalars, storage  # noqa: F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators import boundaries as B
 from quillspan.operators import metrics as M
 from quillspan.operators import sequential
 from quillspan.operators import signal as G
@@ -80,9 +81,11 @@ def interval_pairing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("boundary_target_expand", f"""
-with e as (select user_id, pos, 60 as n from {_POS} where value >= 90 and pos < 60) select distinct user_id, cast(unnest(range(greatest(0, pos - 2), least(59, pos + 2) + 1)) as bigint) as frame from e""")
+with p as (select *, count(*) over (partition by user_id) as n from {_POS}), e as (select user_id, pos, n from p where value >= 90) select distinct user_id, cast(unnest(range(greatest(0, pos - 2), least(n - 1, pos + 2) + 1)) as bigint) as frame from e""")
 def boundary_target_expand(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pos(spark, d).where("value >= 90").withColumn("n", F.lit(60).cast("long"))
+    rows = _pos(spark, d)
+    sizes = rows.groupBy("user_id").agg(F.count("*").alias("n"))
+    rows = rows.where("value >= 90").join(sizes, "user_id")
     return G.spread_targets(rows, ["user_id"], "pos", "n", 2)
 
 
@@ -99,23 +102,28 @@ def running_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("even_timed_words", r"""
-with w as (select conv_id, turn, list_filter(regexp_split_to_array(left(text, 80), '\s+'), lambda x: x <> '') as w from conversations where turn = 0),
-e as (select conv_id, len(w) as n, unnest(w) as word, unnest(range(len(w))) as word_index from w)
-select conv_id, word, cast(word_index as int) as word_index, round(10.0 * word_index / n, 6) as start_seconds, round(10.0 * (word_index + 1) / n, 6) as end_seconds from e""")
+with w as (select conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from conversations),
+e as (select conv_id, turn, len(w) as n, unnest(w) as word, unnest(range(len(w))) as word_index from w)
+select conv_id, turn, word, cast(word_index as int) as word_index, round(10.0 * word_index / n, 6) as start_seconds, round(10.0 * (word_index + 1) / n, 6) as end_seconds from e""")
 def even_timed_words(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").where("turn = 0").select("conv_id", F.left("text", F.lit(80)).alias("text"), F.lit(10.0).alias("seconds"))
-    return G.even_words(rows, ["conv_id"], "text", "seconds").select("conv_id", "word", "word_index", *[F.round(c, 6).alias(c) for c in ("start_seconds", "end_seconds")])
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lit(10.0).alias("seconds"))
+    return G.even_words(rows, ["conv_id", "turn"], "text", "seconds").select("conv_id", "turn", "word", "word_index", *[F.round(c, 6).alias(c) for c in ("start_seconds", "end_seconds")])
 
 
 @query("token_times_to_words", r"""
-with w as (select conv_id, list_filter(regexp_split_to_array(left(text, 60), '\s+'), lambda x: x <> '') as w, left(text, 60) as t from conversations where turn = 1)
-select conv_id, unnest(w) as word, cast(unnest(range(len(w))) as int) as word_index from w""")
+with c as (select conv_id, turn, unnest(string_split(text, '')) as c, unnest(range(len(string_split(text, '')))) as i, length(text) as n from conversations where text <> ''),
+t as (select *, i // 6 as token, least(6, n - (i // 6) * 6) as size from c),
+w as (select *, regexp_matches(c, '\s') as blank, (token + (i % 6)::double / size) * 0.5 as a, (token + (i % 6 + 1)::double / size) * 0.5 as b from t),
+g as (select *, sum(blank::int) over (partition by conv_id, turn order by i) as word from w),
+x as (select conv_id, turn, word, string_agg(c, '' order by i) as text, min(a) as a, max(b) as b from g where not blank group by all)
+select conv_id, turn, text as word, cast(row_number() over (partition by conv_id, turn order by word) - 1 as int) as word_index, round_even(a, 3) as start_seconds, round_even(b, 3) as end_seconds from x""")
 def token_times_to_words(spark: SparkSession, d: str) -> DataFrame:
     """Six-character tokens of half a second each, joined back to words."""
-    text = F.left("text", F.lit(60))
-    rows = table(spark, d, "conversations").where("turn = 1").select("conv_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / 6).cast("int"))), lambda i: F.substring(text, i * 6 + 1, F.lit(6)))).alias("pos", "token"))
+    text = F.col("text")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 6).cast("int")), lambda i: F.substring(text, i * 6 + 1, F.lit(6)))
+    rows = table(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", F.posexplode(parts).alias("pos", "token"))
     timed = rows.withColumn("start", F.col("pos") * 0.5).withColumn("end", F.col("pos") * 0.5 + 0.5)
-    return G.chars_to_words(timed, ["conv_id"], "pos", "token", "start", "end").select("conv_id", "word", "word_index")
+    return G.chars_to_words(timed, ["conv_id", "turn"], "pos", "token", "start", "end")
 
 
 @query("embedding_pooling", """
@@ -185,15 +193,72 @@ def interval_match_candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = _pos(spark, d)
     r = rows.where("event_type = 'view'").select("user_id", F.col("pos").alias("ref"))
     q = rows.where("event_type = 'error'").select("user_id", F.col("pos").alias("pred"))
-    return r.join(q, "user_id").where(F.abs(F.col("ref") - F.col("pred")) <= 3).select("user_id", "ref", "pred", F.abs(F.col("ref") - F.col("pred")).alias("distance"))
+    return G.near_join(r, q, ["user_id"], "ref", "pred", 3).select("user_id", "ref", "pred", F.abs(F.col("ref") - F.col("pred")).alias("distance"))
+
 
+_MATCH_SQL = """
+e as (select {keys}, coalesce(list(pos order by pos) filter (where is_ref), []) as refs, coalesce(list(pos order by pos) filter (where not is_ref), []) as preds from ev group by all),
+m as (select {keys}, 0 as k, refs, preds, []::bigint[] as used, null::bigint as ref, null::bigint as pred from e union all
+  select {keys}, k + 1, refs, preds, case when b is null then used else list_append(used, b) end, case when b is null then null else refs[k + 1] end, b from (
+    select *, list_min(list_transform(list_filter(preds, lambda p: abs(p - refs[k + 1]) <= {tolerance} and not list_contains(used, p)), lambda p: {{'d': abs(p - refs[k + 1]), 'p': p}})).p as b from m where k < len(refs)))"""
 
-@query("interval_match_tolerance")
+
+@query("interval_match_tolerance", f"""
+with recursive ev as (select user_id, pos, event_type = 'view' as is_ref from {_POS} where event_type in ('view', 'error')), {_MATCH_SQL.format(keys='user_id', tolerance=3)}
+select user_id, ref, pred from m where pred is not null""")
 def interval_match_tolerance(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pos(spark, d).where("event_type in ('view', 'error')")
+    return sequential.match_events(rows.select("user_id", "pos", (F.col("event_type") == "view").alias("is_ref")), ["user_id"], 3)
+
+
+_SWEEP = (30.0, 60.0, 90.0)
+
+
+@query("boundary_sweep", f"""
+with recursive t as (select unnest([30.0, 60.0, 90.0])::double as threshold),
+act as (select threshold, user_id, pos, value, pos - row_number() over (partition by threshold, user_id order by pos) as island from {_POS}, t where value >= threshold),
+pk as (select threshold, user_id, pos, row_number() over (partition by threshold, user_id, island order by value desc, pos) as rn from act),
+ev as (select threshold, user_id, pos, false as is_ref from pk where rn = 1 union all select threshold, user_id, pos, true from {_POS}, t where event_type = 'error'),
+{_MATCH_SQL.format(keys='threshold, user_id', tolerance=2)},
+c as (select threshold, count(*) filter (where is_ref) as reference_boundaries, count(*) filter (where not is_ref) as predicted_boundaries from ev group by 1),
+h as (select threshold, count(pred) as matched_boundaries from m group by 1),
+r as (select *, coalesce(matched_boundaries::double / nullif(predicted_boundaries, 0), 0) as precision, coalesce(matched_boundaries::double / nullif(reference_boundaries, 0), 0) as recall from c join h using (threshold))
+select threshold, reference_boundaries, predicted_boundaries, matched_boundaries, round(precision, 6) as precision, round(recall, 6) as recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) as f1 from r""")
+def boundary_sweep(spark: SparkSession, d: str) -> DataFrame:
     rows = _pos(spark, d)
-    at = lambda kind: F.sort_array(F.collect_list(F.when(F.col("event_type") == kind, F.col("pos"))))
-    both = rows.groupBy("user_id").agg(at("view").alias("refs"), at("error").alias("preds"))
-    return sequential.match_events(both, "user_id", 3)
+    out = B.boundary_metrics(rows.select("user_id", "pos", "value"), rows.where("event_type = 'error'").select("user_id", "pos"), ["user_id"], "pos", "value", _SWEEP, 2)
+    return out.select("threshold", "reference_boundaries", "predicted_boundaries", "matched_boundaries", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("boundary_best")
+def boundary_best(spark: SparkSession, d: str) -> DataFrame:
+    """The sweep's best row by F1, recall and precision, the lowest threshold on ties."""
+    return M.best_threshold(boundary_sweep(spark, d))
+
+
+_UNITS = "(select user_id, pos as unit_no, pos / 10.0 as start_seconds, (pos + 6) / 10.0 as end_seconds, cast(pos as int) as start_word_index, cast(pos + event_id % 5 as int) as end_word_index_exclusive from {} where pos % 8 = 4)"
+
+
+@query("prosody_labels", f"""
+with f as (select user_id, pos / 10.0 as t, value as rms from {_POS}), u as {_UNITS.format(_POS)},
+s as (select user_id, greatest(quantile_cont(rms, 0.2) * 1.5, median(rms) * 0.25, 1e-4) as threshold, avg(rms) as mean_rms from f group by 1),
+g as (select u.user_id, unit_no, avg(rms) as m from u join f on f.user_id = u.user_id and t between start_seconds and end_seconds group by all),
+n as (select u.user_id, unit_no, side, spot, t, rms > threshold as loud from (select *, 'before' as side, start_seconds as spot from u union all select *, 'after', end_seconds from u) u join f on f.user_id = u.user_id and abs(t - spot) <= 0.8
+  and (side = 'before' and t <= spot or side = 'after' and t >= spot) join s on s.user_id = u.user_id),
+r as (select user_id, unit_no, side, count(*) filter (where dist < coalesce(stop, 1e9)) * 10.0::double as ms from (select *, abs(t - spot) as dist, min(case when loud then abs(t - spot) end) over (partition by user_id, unit_no, side) as stop from n) group by all),
+w as (select u.*, coalesce(b.ms, 0) as pause_before_ms, coalesce(a.ms, 0) as pause_after_ms, coalesce(m, mean_rms) as energy from u join s using (user_id) left join g using (user_id, unit_no)
+  left join r b on b.user_id = u.user_id and b.unit_no = u.unit_no and b.side = 'before' left join r a on a.user_id = u.user_id and a.unit_no = u.unit_no and a.side = 'after')
+select user_id, unit_no, round_even(greatest(end_seconds - start_seconds, 0.01), 3) as unit_seconds, greatest(0, end_word_index_exclusive - start_word_index) as word_count,
+  round_even(greatest(0, end_word_index_exclusive - start_word_index) / greatest(end_seconds - start_seconds, 0.01), 3) as speech_rate_wps, round_even(20 * log10(greatest(energy, 1e-8)), 2) as mean_energy_db,
+  pause_before_ms, pause_after_ms, case when pause_after_ms >= 400 then 'major' when pause_after_ms >= 150 then 'minor' else 'continuing' end as strength from w""")
+def prosody_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = _pos(spark, d)
+    frames = rows.select("user_id", (F.col("pos") / 10.0).alias("t"), F.col("value").alias("rms"))
+    units = rows.where("pos % 8 = 4").select(
+        "user_id", F.col("pos").alias("unit_no"), (F.col("pos") / 10.0).alias("start_seconds"), ((F.col("pos") + 6) / 10.0).alias("end_seconds"),
+        F.col("pos").cast("int").alias("start_word_index"), (F.col("pos") + F.col("event_id") % 5).cast("int").alias("end_word_index_exclusive"),
+    )
+    return B.prosody(frames, units, "user_id")
 
 
 @query("events_tumbling", """

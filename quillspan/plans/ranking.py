@@ -98,12 +98,12 @@ def shard_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("order_statistics_by_index", """
-with s as (select list(n_chars order by n_chars) as v, count(*) as n from documents)
-select 'p50' as stat, v[cast(floor((n - 1) * 0.5) as bigint) + 1] as value from s union all select 'p95', v[cast(floor((n - 1) * 0.95) as bigint) + 1] from s union all select 'max', v[n] from s""")
+with s as (select list(n_chars order by n_chars) as v, count(*) as n, sum(n_chars) as total from documents)
+select v[1] as min, v[n // 2 + 1] as p50, v[cast(floor((n - 1) * 0.95) as bigint) + 1] as p95, v[n] as max, round(total::double / 3600, 6) as total_hours from s""")
 def order_statistics_by_index(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("n_chars")
-    parts = [R.order_statistic(docs, "n_chars", share).select(F.lit(name).alias("stat"), "value") for name, share in (("p50", 0.5), ("p95", 0.95), ("max", 1.0))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    at = {"min": lambda n: F.lit(0), "p50": lambda n: F.floor(n / 2), "p95": lambda n: F.floor((n - 1) * F.lit(0.95)), "max": lambda n: n - 1}
+    return R.order_statistics(docs, "n_chars", at).withColumn("total_hours", docs.agg(F.round(F.sum("n_chars") / 3600, 6)).scalar())
 
 
 @query("bin_pack_groups")

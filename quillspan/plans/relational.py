@@ -124,10 +124,10 @@ def _rules() -> rules.Rules:
 
 
 @query("accepted_rows", """
-select doc_id, source, '<|joy|> ' || left(trim(text), 40) as target from documents join labels using (doc_id) where quality = 1 and toxic = 0 and n_chars/200.0 < 20 and trim(text) <> ''""")
+select doc_id, source, '<|joy|> ' || trim(text) as target from documents join labels using (doc_id) where quality = 1 and toxic = 0 and n_chars/200.0 < 20 and trim(text) <> ''""")
 def accepted_rows(spark: SparkSession, d: str) -> DataFrame:
     kept = rules.accepted(_standin(spark, d), _rules())
-    return kept.select("doc_id", "source", F.concat(T.token_of_label(F.col("emotion")), F.lit(" "), F.left(F.trim("text"), F.lit(40))).alias("target"))
+    return kept.select("doc_id", "source", F.concat(T.token_of_label(F.col("emotion")), F.lit(" "), F.trim("text")).alias("target"))
 
 
 @query("counter_grouping_sets", """
@@ -236,7 +236,7 @@ def late_materialized_fetch(spark: SparkSession, d: str) -> DataFrame:
     narrow = scored(spark, d).select("doc_id", "lang", "score")
     chosen = R.top_per_group(narrow, ["lang"], [F.col("score").desc(), F.col("doc_id")], 2)
     wide = table(spark, d, "documents").select("doc_id", "text")
-    return wide.join(chosen, "doc_id").select("doc_id", F.col("rn").cast("long").alias("rn"), "score", F.length("text").cast("long").alias("chars"))
+    return R.late_fetch(wide, chosen, "doc_id", "rn", "score").select("doc_id", F.col("rn").cast("long").alias("rn"), "score", F.length("text").cast("long").alias("chars"))
 
 
 @query("set_operations", """

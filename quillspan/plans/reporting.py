@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.operators import reports as P
 from quillspan.operators import rules
 from quillspan.plans.registry import query, table
-from quillspan.plans.scalars import _FIRST12, _PAIRS, _first_words, _turn_pairs
+from quillspan.plans.scalars import _turn_pairs, _turn_words
 
 
 @query("inventory_hours", """
@@ -66,13 +66,9 @@ def speech_report(spark: SparkSession, d: str) -> DataFrame:
     return P.speech_report(_turn_pairs(spark, d).select(tagged("ref", 0).alias("r"), tagged("pred", 1).alias("p")), "r", "p")
 
 
-@query("wer_buckets", f"""
-with w as (select {_FIRST12.format('ref')} as r, {_FIRST12.format('pred')} as p from {_PAIRS}), m as (select r, p, list_distinct(list_concat(r, p)) as v from w),
-e as (select len(r) as n, len(p) as np, levenshtein(array_to_string(list_transform(r, lambda x: chr(cast(64 + list_position(v, x) as int))), ''), array_to_string(list_transform(p, lambda x: chr(cast(64 + list_position(v, x) as int))), '')) as edits from m),
-b as (select case when n > 0 then edits::double / n when np > 0 then 1.0 else 0.0 end as wer from e), g as (select case when wer <= 0.15 then 'good' when wer <= 0.30 then 'usable' else 'poor' end as bucket from b)
-select v.bucket, count(g.bucket) as n from (values ('good'), ('usable'), ('poor')) v(bucket) left join g on g.bucket = v.bucket group by 1""")
+@query("wer_buckets")
 def wer_buckets(spark: SparkSession, d: str) -> DataFrame:
     from quillspan.functions import sequences as S
 
-    rows = _first_words(spark, d).select(S.edit_distance(F.col("r"), F.col("p")).alias("e"), F.size("r").alias("n"), F.size("p").alias("m"))
+    rows = _turn_words(spark, d).select(S.edit_distance(F.col("r"), F.col("p")).alias("e"), F.size("r").alias("n"), F.size("p").alias("m"))
     return P.bucket_counts(rows, S.word_error_rate(F.col("e"), F.col("n"), F.col("m")))

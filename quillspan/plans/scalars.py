@@ -48,7 +48,7 @@ def title_case_language(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.collapse_language(T.canonical_language(raw)).alias("language"))
 
 
-_TAGGED = "case conv_id % 4 when 0 then '<|joy|> ' || left(text, 30) when 1 then left(text, 30) || ' <|fear|> and <|anger|>' when 2 then '  <|sadness|>' else left(text, 30) end"
+_TAGGED = "case conv_id % 4 when 0 then '<|joy|> ' || text when 1 then text || ' <|fear|> and <|anger|>' when 2 then '  <|sadness|>' else text end"
 _TOK = r"<\|(?:neutral|low_quality|joy|surprise|sadness|anger|disgust|fear)\|>"
 
 
@@ -139,7 +139,7 @@ def lenient_math(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAIRS = r"""
-(select conv_id, turn, regexp_replace(left(text, 200), '[^ -~]', '', 'g') as ref, regexp_replace(left(nxt, 200), '[^ -~]', '', 'g') as pred
+(select conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') as ref, regexp_replace(nxt, '[^ -~]', '', 'g') as pred
  from (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as nxt from conversations) where nxt is not null)"""
 
 
@@ -152,7 +152,7 @@ def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    ascii_only = lambda c: F.regexp_replace(F.left(c, F.lit(200)), "[^ -~]", "")
+    ascii_only = lambda c: F.regexp_replace(c, "[^ -~]", "")
     return _turn_pairs(spark, d).select("conv_id", "turn", ascii_only("ref").alias("ref"), ascii_only("pred").alias("pred"))
 
 
@@ -163,21 +163,13 @@ def char_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).groupBy("conv_id").agg(edits.alias("edits"), chars.alias("chars"), F.round(N.ratio(edits, chars), 6).alias("cer"))
 
 
-_FIRST12 = "list_slice(list_transform(regexp_extract_all({}, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?'), lambda x: lower(x)), 1, 12)"
+def _turn_words(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("conv_id", "turn", T.words(F.col("ref")).alias("r"), T.words(F.col("pred")).alias("p"))
 
 
-def _first_words(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("conv_id", "turn", F.slice(T.words(F.col("ref")), 1, 12).alias("r"), F.slice(T.words(F.col("pred")), 1, 12).alias("p"))
-
-
-@query("word_error_rate", f"""
-with w as (select conv_id, turn, {_FIRST12.format('ref')} as r, {_FIRST12.format('pred')} as p from {_PAIRS}),
-m as (select conv_id, turn, r, p, list_distinct(list_concat(r, p)) as v from w),
-e as (select conv_id, turn, len(r) as ref_words, len(p) as pred_words, levenshtein(array_to_string(list_transform(r, lambda x: chr(cast(64 + list_position(v, x) as int))), ''), array_to_string(list_transform(p, lambda x: chr(cast(64 + list_position(v, x) as int))), '')) as edits from m)
-select conv_id, turn, cast(edits as int) as edits, cast(ref_words as int) as ref_words, round(case when ref_words > 0 then edits::double / ref_words when pred_words > 0 then 1.0 else 0.0 end, 6) as wer,
-  case when (case when ref_words > 0 then edits::double / ref_words when pred_words > 0 then 1.0 else 0.0 end) <= 0.15 then 'good' when (case when ref_words > 0 then edits::double / ref_words when pred_words > 0 then 1.0 else 0.0 end) <= 0.30 then 'usable' else 'poor' end as bucket from e""")
+@query("word_error_rate")
 def word_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    rows = _first_words(spark, d).select("conv_id", "turn", S.edit_distance(F.col("r"), F.col("p")).alias("edits"), F.size("r").alias("ref_words"), F.size("p").alias("pred_words"))
+    rows = _turn_words(spark, d).select("conv_id", "turn", S.edit_distance(F.col("r"), F.col("p")).alias("edits"), F.size("r").alias("ref_words"), F.size("p").alias("pred_words"))
     wer = S.word_error_rate(F.col("edits"), F.col("ref_words"), F.col("pred_words"))
     return rows.select("conv_id", "turn", "edits", "ref_words", F.round(wer, 6).alias("wer"), S.quality_bucket(wer).alias("bucket"))
 
@@ -190,7 +182,7 @@ def token_lcs(spark: SparkSession, d: str) -> DataFrame:
 @query("span_alignment")
 def span_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of a turn as units, aligned with the turn's own words at even times."""
-    rows = table(spark, d, "conversations").where("role = 'assistant'").select(
+    rows = table(spark, d, "conversations").select(
         F.concat_ws("/", "conv_id", "turn").alias("key"),
         F.transform(F.filter(F.split("text", r"[.\n]+"), lambda s: F.trim(s) != ""), T.words).alias("units"),
         T.words(F.col("text")).alias("words"), (F.length("text") / 15.0).alias("seconds"),
@@ -201,17 +193,17 @@ def span_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("asr_normalise", r"""
-select doc_id, md5(trim(regexp_replace(translate(lower(trim(regexp_replace(regexp_replace(left(text, 400), '<\|(?:neutral|low_quality|joy|surprise|sadness|anger|disgust|fear)\|>', ' ', 'g'), '\s+', ' ', 'g'))),
-  '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g'))) as norm_md5 from documents where lang = 'en'""")
+select doc_id, md5(trim(regexp_replace(translate(lower(trim(regexp_replace(regexp_replace(text, '<\|(?:neutral|low_quality|joy|surprise|sadness|anger|disgust|fear)\|>', ' ', 'g'), '\s+', ' ', 'g'))),
+  '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g'))) as norm_md5 from documents""")
 def asr_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(T.asr_normal(F.left("text", F.lit(400)), compatible=False)).alias("norm_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.asr_normal(F.col("text"), compatible=False)).alias("norm_md5"))
 
 
 @query("unit_split", r"""
-select conv_id, turn, len(u) as n_units, coalesce(array_to_string(u, '|'), '') as units from (select conv_id, turn, list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(left(text, 60) || '!!!!! ' || role || ' <x> !!!!!!', '\s+', ' ', 'g')), '!{5,}'),
+select conv_id, turn, len(u) as n_units, coalesce(array_to_string(u, '|'), '') as units from (select conv_id, turn, list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(text || '!!!!! ' || role || ' <x> !!!!!!', '\s+', ' ', 'g')), '!{5,}'),
   lambda x: trim(x)), lambda y: y <> '') as u from conversations)""")
 def unit_split(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.left("text", F.lit(60)), F.lit("!!!!! "), F.col("role"), F.lit(" <x> !!!!!!"))
+    raw = F.concat("text", F.lit("!!!!! "), F.col("role"), F.lit(" <x> !!!!!!"))
     rows = table(spark, d, "conversations").select("conv_id", "turn", T.split_units(raw).alias("u"))
     return rows.select("conv_id", "turn", F.size("u").cast("long").alias("n_units"), F.array_join("u", "|").alias("units"))
 

@@ -33,20 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def fresh(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing uses yet; what is written there goes when the driver's process ends."""
+    path = f"{shared_dir(spark)}/quillspan/{tag}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back.
 
     Nothing reads the write's shuffle files once the table is there, so they go with it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspan/{tag}-{uuid.uuid4().hex}"
+    path = fresh(spark, tag)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    _written[path] = spark
     for used in getattr(df, "_holds", ()):
         release(used)
     table = spark.read.schema(df.schema).parquet(path)

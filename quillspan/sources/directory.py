@@ -1,13 +1,15 @@
 """A Python data source for paged JSON services, such as a station directory or a dataset hub.
 
 The service is a function ``fetch(page, options) -> list of rows or None``, named ``module:function``; pages are read in
-parallel by executors. Nothing here opens a connection.
+parallel by executors. Options such as ``tag`` are the service's own; ``limit`` rows at most are taken, ``page_rows`` to a page, which
+also gives the number of pages. Nothing here opens a connection.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from importlib import import_module
+from itertools import islice
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,13 +25,18 @@ class Page(InputPartition):
 class PagedReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]) -> None:
         self.names, self.options = schema.fieldNames(), dict(options)
+        self.page_rows = int(self.options.get("page_rows", "1000"))
 
     def partitions(self) -> list[Page]:
+        if "limit" in self.options:
+            return [Page(i) for i in range(-(-int(self.options["limit"]) // self.page_rows))]
         return [Page(i) for i in range(int(self.options.get("pages", "1")))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
         module, _, name = self.options["fetch"].partition(":")
-        for row in getattr(import_module(module), name)(partition.number, self.options) or ():
+        rows = getattr(import_module(module), name)(partition.number, self.options) or ()
+        left = int(self.options["limit"]) - partition.number * self.page_rows if "limit" in self.options else None
+        for row in islice(rows, None if left is None else min(left, self.page_rows)):
             yield tuple(row.get(n) for n in self.names)
 
 

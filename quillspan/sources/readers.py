@@ -30,12 +30,12 @@ def first_audio(probe: Column) -> Column:
     return F.get(F.filter(probe["streams"], lambda s: s["codec_type"] == "audio"), F.lit(0))
 
 
-def manifests(spark: SparkSession, root: str, source_ids: Sequence[str] = ()) -> DataFrame:
+def manifests(spark: SparkSession, root: str, source_ids: Sequence[str] = (), pattern: str = "*.json") -> DataFrame:
     """Captured segments whose manifest says they are valid; files that are no JSON are skipped.
 
     What a manifest leaves out comes from its path ``.../source/date/stem/manifest.json``; the duration is the probe's, else the one asked for.
     """
-    raw = spark.read.schema(schemas.MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_corrupt_record").json(root)
+    raw = spark.read.schema(schemas.MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("columnNameOfCorruptRecord", "_corrupt_record").json(root)
     parts = F.split(F.col("_metadata.file_path"), "/")
     from_path = lambda i: F.element_at(parts, i)
     probed = F.nullif(N.lenient(F.col("quality.output_probe.format.duration"), "double", 0.0), F.lit(0.0))
@@ -52,15 +52,43 @@ def manifests(spark: SparkSession, root: str, source_ids: Sequence[str] = ()) ->
     return out.where(F.col("source_id").isin(*source_ids)) if source_ids else out
 
 
-def segment_records(spark: SparkSession, root: str) -> DataFrame:
-    raw = spark.read.schema(schemas.SEGMENT).option("multiLine", True).option("recursiveFileLookup", True).json(root)
+def segment_records(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
+    """Processed records, one a file (or, without ``multi_line``, one a line), in order."""
+    raw = spark.read.schema(schemas.SEGMENT).option("multiLine", multi_line).option("recursiveFileLookup", True).json(root)
     return raw.where("status = 'ok'").orderBy("source_id", "started_at", "segment_id")
 
 
 def parquet_paths(spark: SparkSession, path: str) -> str:
-    """``path/data`` where it exists (a dataset folder), else ``path`` (folder, file or pattern), through Hadoop's file systems."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/data")
-    return str(hadoop) if "*" not in path and hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) else path
+    """``path/data`` where it exists (a dataset folder), else ``path`` (folder, file or pattern), through Hadoop's file systems.
+
+    Where nothing matches, FileNotFoundError says so.
+    """
+    hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    data, given = hadoop(path.rstrip("/") + "/data"), hadoop(path)
+    files = given.getFileSystem(spark._jsc.hadoopConfiguration())
+    if "*" not in path and files.exists(data):
+        return data.toString()
+    if not files.globStatus(given):
+        raise FileNotFoundError(f"no Parquet file matches {path}")
+    return path
+
+
+def parquet_where(spark: SparkSession, path: str, column: str, values: Sequence, columns: Sequence[str] = ()) -> DataFrame:
+    """Rows whose column is among a few literal values; the filter reaches the scan. For many values use a semi join."""
+    df = spark.read.parquet(parquet_paths(spark, path)).where(F.col(column).isin(*values))
+    return df.select(*columns) if columns else df
+
+
+def parquet_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(n_rows, columns) of a Parquet table from its footers: a count reads no column."""
+    df = spark.read.parquet(parquet_paths(spark, path))
+    return df.agg(F.count("*").alias("n_rows")).withColumn("columns", F.array(*[F.lit(c) for c in df.columns]))
+
+
+def tokenized_parquet(spark: SparkSession, *paths: str) -> DataFrame:
+    """Tokenised training rows of several files: those whose text has a token, with it as a column."""
+    df = spark.read.parquet(*[parquet_paths(spark, p) for p in paths])
+    return df.withColumn("emotion", T.primary_token(F.col("text"))).where("emotion is not null")
 
 
 def parquet(spark: SparkSession, path: str, columns: Sequence[str] = (), order: str | None = None, most: int | None = None) -> DataFrame:
@@ -92,9 +120,23 @@ def checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("completed").alias("uuid", "r")).select("uuid", "r.*")
 
 
+def manifest_paths(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """(path, length) of the manifests below a folder, in order; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length").orderBy("path")
+
+
+def folder_bytes(spark: SparkSession, root: str) -> DataFrame:
+    """(files, bytes) below a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("length")
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def media_files(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:
     """(path, length) of files by extension; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    return with_extension(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length"), extensions)
+
+
+def with_extension(files: DataFrame, extensions: Sequence[str]) -> DataFrame:
     return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.operators.rank import shard_numbers
@@ -17,8 +20,91 @@ def sharded_parquet(df: DataFrame, path: str, rows: int, order: str | None = Non
     numbered.repartition("shard").sortWithinPartitions("shard", order).write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
+def numbered_shards(df: DataFrame, path: str, rows: int, order: str) -> int:
+    """Parquet shards named ``train-00000-of-00003`` of ``rows`` ordered rows each (all in one for 0); at least one. How many there are.
+
+    Rows are written in one job, a folder for each shard, which then get their names.
+    """
+    n = df.count()
+    size = rows if rows > 0 else max(1, n)
+    count = max(1, -(-n // size))
+    name = F.format_string("train-%05d-of-%05d", "shard", F.lit(count).cast("long"))
+    numbered = shard_numbers(df, [F.col(order)], size).withColumn("name", name)
+    numbered.repartition("name").sortWithinPartitions("name", order).drop("shard").write.mode("overwrite").partitionBy("name").option("compression", "zstd").parquet(path)
+    return count
+
+
+def unit_shards(units: DataFrame, path: str, rows: int, order: str = "iu_id", most_segments: int | None = None, segment: str = "segment_id") -> None:
+    """Unit-grain shards of ``rows`` rows; ``most_segments`` keeps the units of the first segments only."""
+    if most_segments is not None:
+        units = units.join(units.select(segment).distinct().orderBy(segment).limit(most_segments), segment, "left_semi")
+    sharded_parquet(units, path, rows, order)
+
+
+def write_json_document(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file, written beside its place and moved there, through Hadoop's file systems."""
+    jvm = spark._jvm
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+        out.hsync()
+    finally:
+        out.close()
+    files.delete(target, False)
+    if not files.rename(beside, target):
+        raise OSError(f"could not move {path}.tmp to its place")
+
+
+def write_checkpoint(state: DataFrame, results: DataFrame, path: str, started_at: str, config: dict | None = None) -> None:
+    """The state of keys (uuid, state, attempts) and results (uuid, ...) as one JSON document with sorted keys, replaced at once.
+
+    It is the driver's own small file of a capture run, as ``readers.checkpoint`` reads it; larger states stay tables.
+    """
+    done = {r["uuid"]: json.loads(r["r"]) for r in results.select("uuid", F.to_json(F.struct(*[c for c in results.columns if c != "uuid"])).alias("r")).toLocalIterator()}
+    rows = [r.asDict() for r in state.toLocalIterator()]
+    failed = {r["uuid"]: {"attempts": r["attempts"]} for r in rows if r["state"] in ("failed", "retry") and r["attempts"]}
+    document = {"completed": done, "failed": failed, "in_progress": sorted(r["uuid"] for r in rows if r["state"] == "in_progress"), "started_at": started_at, "config": config or {}}
+    write_json_document(state.sparkSession, path, json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False))
+
+
+def write_package(df: DataFrame, path: str, rows: int, order: str, summary: DataFrame) -> None:
+    """Shards, and their one-row summary as ``summary.json`` beside them."""
+    sharded_parquet(df, f"{path}/data", rows, order)
+    write_json_document(df.sparkSession, f"{path}/summary.json", summary.toJSON().first() or "{}")
+
+
+def dataset_info(rows: DataFrame, language: str = "language", country: str = "country", seconds: str = "duration_seconds") -> DataFrame:
+    """One row on a metadata table: rows, hours, and its languages and countries in order; both are small vocabularies."""
+    names = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
+    return rows.agg(F.count("*").alias("num_rows"), names(language).alias("languages_covered"), names(country).alias("countries_covered"), F.coalesce(F.sum(seconds) / 3600, F.lit(0.0)).alias("total_hours_audio"))
+
+
+def csv_dataset(rows: DataFrame, path: str) -> None:
+    """Metadata as CSV with ``dataset_info.json`` and a card beside it."""
+    csv_metadata(rows, f"{path}/metadata")
+    info = dataset_info(rows)
+    write_json_document(rows.sparkSession, f"{path}/dataset_info.json", info.toJSON().first())
+    write_json_document(rows.sparkSession, f"{path}/README.md", card(info, "Radio recordings").first()["card"])
+
+
+def card(info: DataFrame, title: str) -> DataFrame:
+    """A dataset card (Markdown with its front matter) from the row of ``dataset_info``."""
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+    return info.select(F.concat_ws("\n", F.lit(f"---\npretty_name: {title}\ntask_categories:\n- automatic-speech-recognition\n---"), F.lit(f"# {title}"), F.format_string("%d rows, %.3f hours.", "num_rows", "total_hours_audio"), F.lit("## Languages"), listed("languages_covered"), F.lit("## Countries"), listed("countries_covered")).alias("card"))
+
+
+def split_card(splits: DataFrame, title: str, label: str) -> DataFrame:
+    """A card that lists splits (label, rows, hours)."""
+    line = F.format_string("- `%s`: %d rows, %.3f audio hours", label, "rows", "hours")
+    lines = splits.select(F.col(label).alias("_l"), line.alias("line")).agg(F.array_sort(F.collect_list(F.struct("_l", "line"))).alias("a"))
+    return lines.select(F.concat_ws("\n", F.lit(f"# {title}"), F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("card"))
+
+
 def csv_metadata(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**kept).csv(path)
 
 
 def json_by_key(df: DataFrame, path: str, *keys: str) -> None:
@@ -29,9 +115,25 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def label_splits(df: DataFrame, path: str, label: str, excluded: tuple[str, ...] = ("neutral",)) -> None:
-    """One partition for each label but the excluded ones."""
-    df.where(~F.col(label).isin(*excluded)).withColumn("split", F.col(label)).write.mode("overwrite").partitionBy("split").parquet(path)
+def label_splits(df: DataFrame, path: str, label: str, excluded: tuple[str, ...] = ("neutral",), dry_run: bool = False) -> DataFrame:
+    """One partition for each label but the excluded ones; (split, rows) of what is written, or would be in a dry run."""
+    kept = df.where(~F.col(label).isin(*excluded)).withColumn("split", F.col(label))
+    if not dry_run:
+        kept.write.mode("overwrite").partitionBy("split").parquet(path)
+        kept = df.sparkSession.read.parquet(path)
+    return kept.groupBy("split").agg(F.count("*").alias("rows"))
+
+
+def publish(folder: str, upload: Callable[[str], None], attempts: int = 3) -> int:
+    """The slot for an upload: ``upload(folder)`` until it succeeds, ``attempts`` times at most; how often it was tried."""
+    for n in range(1, attempts + 1):
+        try:
+            upload(folder)
+            return n
+        except Exception:
+            if n == attempts:
+                raise
+    raise ValueError("attempts must be positive")
 
 
 def with_dead_letters(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +144,7 @@ def with_dead_letters(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFra
 
 def package_summary(df: DataFrame, source: str, country: str, seconds: Column, payload: Column) -> DataFrame:
     """The one-row summary of a package: rows, sources, countries, hours and bytes."""
-    named = lambda c: F.size(F.collect_set(F.nullif(F.col(c), F.lit("")))).cast("long")
+    named = lambda c: F.count_distinct(F.nullif(F.col(c), F.lit("")))
     return df.agg(F.count("*").alias("rows"), named(source).alias("sources"), named(country).alias("countries"), F.bround(F.coalesce(F.sum(seconds), F.lit(0.0)) / 3600, 6).alias("hours"), F.coalesce(F.sum(F.length(payload)), F.lit(0)).alias("bytes"))
 
 

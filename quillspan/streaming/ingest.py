@@ -66,3 +66,19 @@ def retry_selection(manifests: DataFrame, most: int) -> DataFrame:
     """Captured files whose upload is not complete, oldest first, at most ``most``."""
     done = F.coalesce(F.col("gcs.audio_upload.ok"), F.lit(False)) & F.coalesce(F.col("gcs.metadata_upload.ok"), F.lit(False))
     return manifests.where(~done).orderBy("capture.started_at", "local.metadata_path").limit(most)
+
+
+def package_every(stream: DataFrame, path: str, checkpoint: str, every: int, package: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Appends each micro-batch as processed records and, after every ``every`` batches, packages all records so far."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:05d}")
+        if (batch_id + 1) % every == 0:
+            package(batch.sparkSession.read.parquet(path), batch_id)
+
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def with_callback(stream: DataFrame, checkpoint: str, done: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Calls ``done(results, batch_id)`` for results as they complete, a micro-batch at a time."""
+    return stream.writeStream.foreachBatch(done).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

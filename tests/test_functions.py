@@ -147,3 +147,12 @@ def test_match_nearest_ties_take_the_earlier():
     assert sequences.match_nearest([5, 6], [4, 6], 2) == [(5, 4), (6, 6)]
     assert sequences.match_nearest([5], [8], 2) == []
     assert sequences.match_nearest([5, 5], [5], 0) == [(5, 5)]
+
+
+def test_all_languages_are_known_by_their_code(spark):
+    from quillspan.functions import vocab
+
+    known = vocab.languages()
+    codes = {k: v for k, v in known.items() if k not in vocab.LANGUAGE_SPELLINGS}
+    assert set(codes.values()) == set(vocab.LANGUAGE_SPELLINGS.values()) - set(vocab.WITHOUT_CODE)
+    assert len(codes) == len(set(codes.values())) and codes["he"] == "Hebrew" and "uk" not in known and known["ua"] == "Ukrainian"

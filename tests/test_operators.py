@@ -70,9 +70,12 @@ def test_cap_and_shards(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 10, 20])
-def test_order_statistic_by_index(spark, n):
+def test_order_statistics_by_index(spark, n):
     df = spark.createDataFrame([(v,) for v in range(n)], "v int")
-    assert R.order_statistic(df, "v", 0.95).first()[0] == int((n - 1) * 0.95)
+    at = {"min": lambda n: F.lit(0), "p50": lambda n: F.floor(n / 2), "p95": lambda n: F.floor((n - 1) * F.lit(0.95)), "max": lambda n: n - 1}
+    got = R.order_statistics(df, "v", at).first()
+    ordered = sorted(r.v for r in df.collect())
+    assert tuple(got) == (ordered[0], ordered[n // 2], ordered[int((n - 1) * 0.95)], ordered[-1])
 
 
 def test_rules_keep_their_order_and_lose_nothing(spark):
@@ -272,3 +275,85 @@ def test_shards_and_upserts_from_a_stream(spark, sf_dir, tmp_path):
     ingest.run_to_end(ingest.upsert_stream(stream(), ["user_id"], "event_id", str(tmp_path / "log"), str(tmp_path / "ck2")))
     users = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
     assert rows(spark.read.parquet(str(tmp_path / "log")).select("user_id", "event_id")) == rows(users)
+
+
+def test_quantiles_by_group(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g in range(4) for v in rng.integers(0, 12, int(rng.integers(1, 40)))]
+    df = spark.createDataFrame([*rows, (9, None), (9, 2.5)], "g int, v double")
+    got = {r.g: (r.p20, r.p50) for r in R.group_quantiles(df, ["g"], "v", {"p20": 0.2, "p50": 0.5}).collect()}
+    for g in range(4):
+        values = [v for k, v in rows if k == g]
+        assert got[g] == pytest.approx((np.percentile(values, 20), np.median(values)))
+    assert got[9] == (2.5, 2.5)
+
+
+def test_samples_with_and_without_replacement(spark):
+    df = spark.range(6).withColumnRenamed("id", "k")
+    assert R.sample_rows(df, "k", 4, 1).count() == 4 and R.sample_rows(df, "k", 9, 1).count() == 6
+    again = [r.k for r in R.sample_rows(df, "k", 20, 1, replace=True).collect()]
+    assert len(again) == 20 and set(again) <= set(range(6))
+    assert len({r.k for r in R.sample_rows(df, "k", 4, 1, replace=True).collect()}) == 4
+
+
+def test_near_join_equals_the_comparison_of_all(spark):
+    import random
+
+    from quillspan.operators import signal as G
+
+    random.seed(1)
+    left = [(random.randint(0, 1), i, random.uniform(-5, 5)) for i in range(60)]
+    right = [(random.randint(0, 1), i, random.uniform(-5, 5)) for i in range(60)]
+    a, b = spark.createDataFrame(left, "k int, i int, x double"), spark.createDataFrame(right, "k int, j int, y double")
+    got = {(r.i, r.j) for r in G.near_join(a, b, ["k"], "x", "y", 0.7).collect()}
+    assert got == {(i, j) for k, i, x in left for m, j, y in right if k == m and abs(x - y) <= 0.7}
+    spans = a.select("k", "i", F.col("x").alias("s"), (F.col("x") + F.col("i") / 20 - 0.2).alias("e"))
+    got = {(r.i, r.j) for r in G.within_spans(spans, b, ["k"], "s", "e", "y", 0.9).collect()}
+    assert got == {(i, j) for k, i, x in left for m, j, y in right if k == m and x <= y <= x + i / 20 - 0.2}
+
+
+def test_matches_in_stretches_equal_one_pass(spark):
+    import random
+
+    from quillspan.functions.sequences import match_nearest
+    from quillspan.operators import sequential
+
+    random.seed(2)
+    want, rows = set(), []
+    for k in range(5):
+        refs, preds = (sorted(random.sample(range(120), 25)) for _ in range(2))
+        want |= {(k, *p) for p in match_nearest(refs, preds, 2)}
+        rows += [(k, p, True) for p in refs] + [(k, p, False) for p in preds]
+    got = sequential.match_events(spark.createDataFrame(rows, "k int, pos long, is_ref boolean"), ["k"], 2).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_best_boundary_threshold(spark, sf_dir):
+    from quillspan.plans import registry
+
+    sweep = [r.asDict() for r in registry.QUERIES["boundary_sweep"](spark, sf_dir).collect()]
+    best = max(sorted(sweep, key=lambda r: r["threshold"]), key=lambda r: (r["f1"], r["recall"], r["precision"]))
+    assert registry.QUERIES["boundary_best"](spark, sf_dir).first().asDict() == best
+
+
+def test_missing_files_and_tokens_are_errors(spark, tmp_path):
+    from quillspan.operators import intake
+    from quillspan.sources import readers, sinks
+
+    with pytest.raises(FileNotFoundError, match="no Parquet file"):
+        readers.parquet_paths(spark, f"{tmp_path}/nothing")
+    row = spark.createDataFrame([("no token",)], "t string")
+    with pytest.raises(Exception, match="missing emotion token"):
+        row.select(intake.label_id(F.col("t"), ["<|joy|>"])).collect()
+    tries = []
+
+    def upload(folder):
+        tries.append(folder)
+        if len(tries) < 3:
+            raise OSError("try again")
+
+    assert sinks.publish("f", upload) == 3
+    with pytest.raises(OSError):
+        sinks.publish("f", lambda folder: (_ for _ in ()).throw(OSError()), attempts=2)

@@ -43,3 +43,30 @@ def test_speech_report_of_whole_turns(spark, long_turns):
     edits = sum(rows_of(words[i], words[i + 1], "edits") for i in range(3))
     assert got.wer == pytest.approx(edits / sum(len(w) for w in words[:3])) and got.rows == 3
     assert got.cer == pytest.approx(sum(rows_of(texts[i], texts[i + 1], "edits") for i in range(3)) / sum(len(t) for t in texts[:3]))
+
+
+def test_word_error_rate_of_whole_turns(spark, long_turns):
+    path, texts = long_turns
+    words = [re.findall("[a-z]+", t) for t in texts]
+    want = {i: (rows_of(words[i], words[i + 1], "edits"), len(words[i])) for i in range(3)}
+    got = {r.turn: (r.edits, r.ref_words, r.wer, r.bucket) for r in registry.QUERIES["word_error_rate"](spark, path).collect()}
+    bucket = lambda wer: "good" if wer <= 0.15 else "usable" if wer <= 0.3 else "poor"
+    assert got == {i: (e, n, round(e / n, 6), bucket(e / n)) for i, (e, n) in want.items()}
+    counts = {r.bucket: r.n for r in registry.QUERIES["wer_buckets"](spark, path).collect()}
+    assert counts == {b: sum(bucket(e / n) == b for e, n in want.values()) for b in ("good", "usable", "poor")}
+
+
+def test_distances_with_many_distinct_words(spark):
+    from pyspark.sql import functions as F
+
+    from quillspan.functions.sequences import common_length, edit_distance
+
+    random.seed(3)
+    a = [f"w{i}" for i in range(60_000)]
+    b = [x for x in a if random.random() < 0.999]
+    df = spark.createDataFrame([(a, b), ([], ["x"]), (["x"], []), ([], []), (None, ["x"])], "a array<string>, b array<string>")
+    got = df.where("size(a) < 100 or a is null").select(edit_distance(F.col("a"), F.col("b")), common_length(F.col("a"), F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [(1, 0), (1, 0), (0, 0), (None, None)]
+    assert df.where("size(a) > 100").select(common_length(F.col("a"), F.col("b"))).first()[0] == len(b)
+    few = spark.createDataFrame([([f"w{i}" for i in range(3000)], [f"w{i}" for i in range(3000) if i % 100])], "a array<string>, b array<string>")
+    assert few.select(edit_distance(F.col("a"), F.col("b"))).first()[0] == 30
