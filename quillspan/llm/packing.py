@@ -179,7 +179,7 @@ def plan(counts: dict[int, int], capacity: int, looks: int = LOOKS) -> list[tupl
             if not left[n]:
                 del left[n]
 
-    def choices(wasted: int, after: tuple) -> Iterator[tuple[int, dict[int, int], int, tuple]]:
+    def choices(wasted: int, after: tuple, looked: list[int]) -> Iterator[tuple[int, dict[int, int], int, tuple]]:
         """(waste, pieces, bins, place in the order) to go on with; the same piece is not completed as before again."""
         top = max(left)
         change({top: 1}, -1)
@@ -200,29 +200,40 @@ def plan(counts: dict[int, int], capacity: int, looks: int = LOOKS) -> list[tupl
                     yield waste, use, times, place
 
     def search(turns: int) -> bool:
-        """Whether the search went through all there is, with at most ``turns`` choices on a path that are not the first."""
+        """Whether the search went through all there is, with at most ``turns`` choices on a path that are not the first.
+
+        An open node remembers how many of its choices were taken, not the enumeration: that is made again where the search comes back.
+        """
         nonlocal best, bins
-        stack = [[choices(0, ()), 0, turns, False]]  # open nodes (choices, waste so far, turns left, first choice made)
+        stack = [(0, (), 0, turns)]  # open nodes: waste so far, what came before, choices taken, turns left
         whole = True
         while stack and looked[0] >= 0 and bins > floor:
-            node = stack[-1]
-            late = node[3]
-            whole &= not late or node[2] > 0
-            step = next(node[0], None) if not late or node[2] > 0 else None
-            if step is None:
-                stack.pop()
+            wasted, after, taken, spare = stack.pop()
+            step = None
+            if taken and not spare:
+                whole = False
             else:
-                waste, use, times, place = step
-                node[3] = True
-                change(use, -times)
-                path.append((tuple(sorted(use.items(), reverse=True)), times))
-                if left:
-                    stack.append([choices(node[1] + waste * times, place), node[1] + waste * times, node[2] - late, False])
-                    continue
-                best, bins = list(path), sum(m for _, m in path)
-            if path:
-                filling, times = path.pop()
-                change(dict(filling), times)
+                again = [1 << 60]
+                now = choices(wasted, after, again if taken else looked)
+                for _ in range(taken):
+                    next(now, None)
+                looked[0] -= 1
+                step = next(now, None)
+            if step is None:
+                if path:
+                    filling, times = path.pop()
+                    change(dict(filling), times)
+                continue
+            waste, use, times, place = step
+            change(use, -times)
+            path.append((tuple(sorted(use.items(), reverse=True)), times))
+            stack.append((wasted, after, taken + 1, spare))
+            if left:
+                stack.append((wasted + waste * times, place, 0, spare - (taken > 0)))
+                continue
+            best, bins = list(path), sum(m for _, m in path)
+            filling, times = path.pop()
+            change(dict(filling), times)
         while path:
             filling, times = path.pop()
             change(dict(filling), times)
