@@ -3,7 +3,8 @@
 Categories are predicted in a fixed order; each model is a logistic regression on which words and word heads a text
 holds and on the probabilities of the categories before it. In training those probabilities are out-of-fold: each row gets them from
 models that have not seen it, so later models learn to trust earlier ones as far as they deserve on new texts. The last
-category is the label itself; the ones before it are the labelled rows that also hold one of the category's seed words.
+category is the label itself. The ones before it come from columns of the labels where these have them; else they are the
+toxic rows that also hold one of the category's seed words.
 
 The chain is fitted on at most ``most`` labelled rows, distinct texts in hash order. Spark counts words by category;
 only the chosen words and the rows' indices into them reach the driver.
@@ -147,28 +148,29 @@ def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum([0, *map(len, words)])
         flat = pa.array([w for s in words for w in s], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("fold_key"), batch.column("toxic"), *(pa.array(x, pa.int64()) for x in least), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-            ["fold_key", "toxic", "m1", "m2", "words"],
+            [batch.column("fold_key"), batch.column("toxic"), batch.column("given"), *(pa.array(x, pa.int64()) for x in least), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
+            ["fold_key", "toxic", "given", "m1", "m2", "words"],
         )
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Chain:
-    """Fit the chain on at most ``most`` rows of ``labels`` (doc_id, toxic) that ``docs`` (doc_id, text) holds.
+    """Fit the chain on at most ``most`` rows of ``labels`` (doc_id, toxic, ...) that ``docs`` (doc_id, text) holds.
 
+    ``labels`` may have a column for each earlier category (a null is none); a category without one is marked by its seed words.
     Rows with a null doc_id or label are left out; of equal texts, and of most near copies, one row is used, so that
     a much copied text's chance words count once. No labelled rows: a chain that gives
     every text the same low probability.
     """
     spark = docs.sparkSession
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.array(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))) if c in labels.columns else F.lit(0) for c in SEEDS]).alias("given"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows of 12 bytes
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select(F.xxhash64("text").alias("fold_key"), "toxic", "text").mapInArrow(_row_words, "fold_key long, toxic int, m1 long, m2 long, words array<binary>")
+    rows = rows.select(F.xxhash64("text").alias("fold_key"), "toxic", "given", "text").mapInArrow(_row_words, "fold_key long, toxic int, given array<int>, m1 long, m2 long, words array<binary>")
     for m in ("m1", "m2"):  # of texts that share a minimum, the one with the least hash
-        rows = rows.groupBy(F.col(m).alias("of")).agg(F.min_by(F.struct("*"), F.struct("fold_key", "toxic")).alias("r")).select("r.*")
+        rows = rows.groupBy(F.col(m).alias("of")).agg(F.min_by(F.struct("*"), F.struct("fold_key", "toxic", "given")).alias("r")).select("r.*")
     sample = save(rows, "toxic-sample")
     seeds = {c: F.array(*[F.lit(w.encode()) for w in SEEDS[c]]) for c in SEEDS}
-    marked = sample.withColumns({c: ((F.col("toxic") == 1) & F.arrays_overlap("words", s)).cast("int") for c, s in seeds.items()})
+    marked = sample.withColumns({c: F.col("given")[i] if c in labels.columns else ((F.col("toxic") == 1) & F.arrays_overlap("words", seeds[c])).cast("int") for i, c in enumerate(SEEDS)})
     counts = marked.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CATEGORIES]).first()
     by_word = save(marked.select(F.explode("words").alias("word"), *CATEGORIES).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in CATEGORIES]).where(f"n >= {LEAST_ROWS}"), "toxic-words")
     vocabulary: set[bytes] = set()

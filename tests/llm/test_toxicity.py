@@ -155,3 +155,15 @@ def test_long_texts_and_repeated_rows_in_training(spark):
     more = table.unionByName(table.where("doc_id < 20")).unionByName(long)
     chain, again = X.train(table.unionByName(long), labels), X.train(more, labels)
     assert plain(X.toxicity(table, chain)) == plain(X.toxicity(table, again))
+
+
+def test_categories_from_the_labels(spark):
+    """A column of the labels stands for the category's seed words."""
+    from pyspark.sql import functions as F
+
+    table, labels = labelled(spark)
+    marked = labels.withColumn("insult", F.when(F.col("doc_id") % 10 == 0, 1)).withColumn("contempt", (F.col("doc_id") % 10 == 5).cast("int"))
+    words = {"insult": "zork", "contempt": "blep"}
+    more = table.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 10 == 0, f" {words['insult']}").when(F.col("doc_id") % 10 == 5, f" {words['contempt']}").otherwise("")))
+    got = X.toxicity(more, X.train(more, marked)).collect()
+    assert all((r.p_insult > 0.5) == (r.doc_id % 10 == 0) and (r.p_contempt > 0.5) == (r.doc_id % 10 == 5) for r in got)
