@@ -34,11 +34,20 @@ COARSE, FINE = 2, 8
 BLANKS = r" [ \t\x0B\f\r]+|[\t\x0B\f\r][ \t\x0B\f\r]*"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, line): all lines, lower-cased, their words parted by single spaces."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): lower-cased, the words of a line parted by single spaces; row is the hash of the text as it was."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(F.regexp_replace(F.lower(text), BLANKS, " "), "\n")).alias("line_no", "line"))
-    return one.withColumn("line", F.btrim("line"))
+    odd = reduce(lambda a, b: a | b, [text.contains(x) for x in ("  ", "\t", "\x0b", "\f", "\r")])  # else the pattern finds nothing
+    low = F.lower(text)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.when(odd, F.regexp_replace(low, BLANKS, " ")).otherwise(low).alias("text"))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """(doc_id, row, line_no, line, n): all lines of ``_texts`` with their number of words (a blank line has none)."""
+    words = lambda x: F.when(x == "", 0).otherwise((F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int"))
+    # both are made before the lines are dealt out, so that what is computed from them does not compute them again
+    counted = F.transform(F.transform(F.split("text", "\n"), lambda x: F.btrim(x)), lambda x: F.struct(x.alias("line"), words(x).alias("n")))
+    return texts.select("doc_id", "row", F.posexplode(counted).alias("line_no", "l")).select("doc_id", "row", "line_no", "l.line", "l.n")
 
 
 def _segment_keys(line: Column, n: Column, m: int) -> Column:
@@ -145,10 +154,9 @@ def duplicate_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None
     """
     if edits not in (1, 2):
         raise ValueError("edits must be 1 or 2")
-    words = F.size(F.split("line", " "))
     place = ["doc_id", "row", "line_no"]
     lines = save(
-        _lines(docs).withColumn("n", words).where((F.col("n") >= (min_words if exact_words is None else min(exact_words, min_words))) & (F.col("line") != ""))
+        _lines(_texts(docs)).where(F.col("n") >= max(1, min_words if exact_words is None else min(exact_words, min_words)))
         .select(*place, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), F.when(F.col("n") >= min_words, _segment_keys(F.col("line"), F.col("n"), COARSE).getField("key")).alias("keys")),
         "lines",
     )
@@ -159,9 +167,10 @@ def duplicate_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None
     some = _shared(long.select("h", "g", F.transform("keys", lambda k: F.struct(k.alias("key"))).alias("keys")), ["h", "g"]).distinct() if edits == 1 else long.select("h", "g")
     firsts = save(classes.join(some, ["h", "g"], "left_semi").select("h", "g", "first"), "line-firsts")
     names = [F.col(f"first.{c}").alias(f"_{c}") for c in place]
-    thin = maybe_in(_lines(docs), F.xxhash64(*place), firsts, F.xxhash64("first.doc_id", "first.row", "first.line_no"))
+    thin = maybe_in(_texts(docs), F.xxhash64("doc_id", "row"), firsts, F.xxhash64("first.doc_id", "first.row"))
+    thin = maybe_in(_lines(thin), F.xxhash64(*place), firsts, F.xxhash64("first.doc_id", "first.row", "first.line_no"))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
-    near = save(thin.join(firsts.select("h", "g", "first", *names), reduce(lambda a, b: a & b, on)).select("h", "g", "first", "line", words.alias("n")).dropDuplicates(["h", "g"]), "line-near")
+    near = save(thin.join(firsts.select("h", "g", "first", *names), reduce(lambda a, b: a & b, on)).select("h", "g", "first", "line", "n").dropDuplicates(["h", "g"]), "line-near")
 
     pairs = (_one_edit if edits == 1 else _two_edits)(near).distinct()
     text = near.select("first", F.split("line", " ").alias("w"))
