@@ -44,4 +44,14 @@ k as (select line, min(place) as kept from e where coalesce(nullif(head, 0) - 1,
 select s.doc_id, cast(s.line_no as int) as line_no, coalesce(k.kept, c.place) // 1000000 as kept_doc_id, cast(coalesce(k.kept, c.place) % 1000000 as int) as kept_line_no
 from s join c using (line) left join k using (line) where coalesce(k.kept, c.place) <> s.place"""
 
-ORACLES = {"op2_host_quality": HOST_QUALITY, "op6_ngram_jaccard": NGRAM_JACCARD, "op9_line_dedup": LINE_DEDUP}
+_ESCAPED = "replace({}, '\\', '\\\\')"
+for _c in ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]"):  # the bracket template's control strings, in its order
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+
+CHAT_FORMAT = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p as (select *, case role when 'user' then length('<s>[INST]  [/INST]') when 'assistant' then length(' </s>') when 'system' then length('[SYS]  [/SYS]') else length('[ROLE][/ROLE] </s>') + length({_ESCAPED.format('role')}) end + length({_ESCAPED.format('text')}) as piece from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum(piece) as bigint) as formatted_chars from p group by 1"""
+
+ORACLES = {"op1_chat_format": CHAT_FORMAT, "op2_host_quality": HOST_QUALITY, "op6_ngram_jaccard": NGRAM_JACCARD, "op9_line_dedup": LINE_DEDUP}

@@ -62,8 +62,7 @@ def test_group_of_near_copies_over_tiles(spark, monkeypatch, tile):
     assert plain(J.ngram_components(table, 3, 9, 10).drop("row", "class")) == brute([(i, t) for i, t, _ in rows], 3, 9, 10)
 
 
-@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
-@pytest.mark.parametrize("tile", [3, 2048])
+@pytest.mark.parametrize(("tile", "num", "den"), [(3, 4, 5), (2048, 9, 10)])
 def test_families_around_a_passage(spark, monkeypatch, tile, num, den):
     """Several families of near copies near the threshold, chains, and unrelated texts that share a passage."""
     monkeypatch.setattr(J, "TILE", tile)
