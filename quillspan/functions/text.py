@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -66,6 +67,14 @@ def collapse_language(c: Column, variants: Mapping[str, str] = vocab.LANGUAGE_CO
     return F.coalesce(lookup(variants, c), c)
 
 
+def merged(*maps: Column) -> Column:
+    """Maps as one; where several have a key the last one's value stays."""
+    def two(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b)
+
+    return reduce(two, maps)
+
+
 def accent_of_country(c: Column) -> Column:
     return F.coalesce(lookup(vocab.ACCENTS, F.upper(F.coalesce(c, F.lit("")))), F.lit("unknown"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions import dates, vocab
 from quillspan.functions import numbers as N
 from quillspan.functions import text as T
-from quillspan.functions import vocab
 from quillspan.operators import intake as I
 from quillspan.operators import labels as L
 from quillspan.operators import metrics as M
@@ -470,3 +470,12 @@ def split_units_lateral(spark: SparkSession, d: str) -> DataFrame:
 def collated_turns(spark: SparkSession, d: str) -> DataFrame:
     out = sequential.collated(table(spark, d, "conversations"), ["conv_id"], "turn", ["role"])
     return out.select("conv_id", F.array_join("role", ",").alias("roles"), F.size("role").cast("long").alias("n"))
+
+
+@query("merged_settings", "select event_type, 2 as n_keys, 'new' as value, true as stamped from events group by 1")
+def merged_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Maps merged, the later value of a key winning, and a stamp of the present moment."""
+    kinds = table(spark, d, "events").select("event_type").distinct()
+    both = T.merged(F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("x")), F.create_map(F.lit("a"), F.lit("new")))
+    stamped = dates.iso_now(micros=True).rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00$")
+    return kinds.select("event_type", F.size(both).alias("n_keys"), both["a"].alias("value"), stamped.alias("stamped"))
