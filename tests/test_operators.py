@@ -357,3 +357,13 @@ def test_missing_files_and_tokens_are_errors(spark, tmp_path):
     assert sinks.publish("f", upload) == 3
     with pytest.raises(OSError):
         sinks.publish("f", lambda folder: (_ for _ in ()).throw(OSError()), attempts=2)
+
+
+def test_callback_for_each_batch(spark, tmp_path):
+    from quillspan.streaming import ingest
+
+    spark.range(30).repartition(3).write.parquet(f"{tmp_path}/in")
+    seen = []
+    stream = ingest.file_stream(spark, f"{tmp_path}/in", "id long", 1)
+    ingest.run_to_end(ingest.with_callback(stream, f"{tmp_path}/checkpoint", lambda batch, i: seen.append((i, batch.count()))))
+    assert [i for i, _ in seen] == [0, 1, 2] and sum(n for _, n in seen) == 30
