@@ -158,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Chain:
 
     ``labels`` may have a column for each earlier category (a null is none); a category without one is marked by its seed words.
     Rows with a null doc_id or label are left out; of equal texts, and of most near copies, one row is used, so that
-    a much copied text's chance words count once. No labelled rows: a chain that gives
+    a much copied text's chance words count once; so repeated rows, of one doc_id or several, change nothing. Whole texts are read, however
+    long. No labelled rows: a chain that gives
     every text the same low probability.
     """
     spark = docs.sparkSession
