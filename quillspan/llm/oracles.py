@@ -54,4 +54,36 @@ p as (select *, case role when 'user' then length('<s>[INST]  [/INST]') when 'as
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum(piece) as bigint) as formatted_chars from p group by 1"""
 
-ORACLES = {"op1_chat_format": CHAT_FORMAT, "op2_host_quality": HOST_QUALITY, "op6_ngram_jaccard": NGRAM_JACCARD, "op9_line_dedup": LINE_DEDUP}
+FILL_IN_MIDDLE = """
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+g as (select *, length(t) as n, [cast('0x' || substr(h, 8 * i + 1, 8) as bigint) for i in range(4)] as x from d),
+c as (select *, least(x[1] % (n + 1), x[2] % (n + 1)) as a, greatest(x[1] % (n + 1), x[2] % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or x[3] % 100 >= 90 then 'plain' when x[4] % 100 < 20 then 'spm' else 'psm' end as form from g),
+p as (select *, substr(t, 1, a) as pre, substr(t, a + 1, b - a) as mid, substr(t, b + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from p"""
+
+VORONOI_TOPK = """
+with v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.rid, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score from v q join v c on c.rid <> q.rid where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by rid order by score desc, vec_id) as rank from p)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 10"""
+
+_MEANS = "select cluster, list(f order by i) as v from (select cluster, i, cast(((s - ((s % n) + n) % n) // n) as bigint) as f from (select cluster, i, sum(x) as s, count(*) as n from (select cluster, unnest(v) as x, unnest(range(64)) as i from a{0}) group by 1, 2)) group by 1"
+_ROUNDS = "".join(
+    f"""d{r} as (select rid, vec_id, m.v, c.cluster, list_sum(list_transform(list_zip(m.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from m, c{r} c),
+a{r} as (select * from d{r} qualify row_number() over (partition by rid order by d, cluster) = 1){"," if r < 3 else ""}
+"""
+    + (f"m{r} as ({_MEANS.format(r)}), c{r + 1} as (select c.cluster, coalesce(n.v, c.v) as v from c{r} c left join m{r} n using (cluster)),\n" if r < 3 else "")
+    for r in range(4)
+)
+BALL_KMEANS = f"""
+with m as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as (select row_number() over (order by sha256('1:' || cast(vec_id as varchar)), v) - 1 as cluster, v from m order by 1 limit 16),
+{_ROUNDS}
+select vec_id, cast(cluster as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+  sha256(array_to_string(c3.v, ',')) as centroid_sha256 from a3 join c3 using (cluster)"""
+
+ORACLES = {"op1_chat_format": CHAT_FORMAT, "op2_host_quality": HOST_QUALITY, "op6_ngram_jaccard": NGRAM_JACCARD, "op9_line_dedup": LINE_DEDUP, "op11_fill_in_middle": FILL_IN_MIDDLE, "op12_voronoi_topk": VORONOI_TOPK, "op13_ball_kmeans": BALL_KMEANS}

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspan.llm import quality_gam
+from quillspan.llm.ball_kmeans import ball_kmeans
 from quillspan.llm.chat_format import chat_digests, format_chats
 from quillspan.llm.decontaminate import contaminated
+from quillspan.llm.fill_in_middle import fill_in_middle, fim_digests
 from quillspan.llm.host_quality import host_quality
 from quillspan.llm.line_dedup import duplicate_lines
 from quillspan.llm.ngram_join import ngram_components
@@ -18,6 +21,7 @@ from quillspan.llm.packing import pack
 from quillspan.llm.pii import find_pii
 from quillspan.llm.toxicity import toxicity, train
 from quillspan.llm.url_filter import judge_urls
+from quillspan.llm.voronoi_topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +75,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages")).drop("score")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(fill_in_middle(_table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20))
+
+
+def op12_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, dims=64, seed=1)
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_host_quality": op2_host_quality,
@@ -82,4 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_voronoi_topk": op12_voronoi_topk,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
