@@ -82,10 +82,6 @@ class Piece:
     rewrites_at: int | None
 
 
-#: Turns up to which a window is proved against full prefixes, at every power of two.
-PROVED = 256
-
-
 def _pieces(template: Template, turns: Iterable[Turn], before: str = "", first: int = 0, held: list[Turn] | None = None) -> Iterator[Piece]:
     """Pieces by full prefixes, from turn ``first`` on, after ``held`` turns that gave ``before``."""
     held = [] if held is None else held
@@ -103,20 +99,20 @@ def render_incrementally(template: Template, turns: Iterable[Turn], window: int
     Without ``window`` every prefix is rendered from the first turn on, which is right for any template and costs the
     square of the conversation. ``window`` renders prefixes of at most that many turns and then begins again from the
     last one, which is right only if the template's output for a turn depends on little before it. That is not taken on trust:
-    a new beginning must give the end of what stood before, and at every power of two up to PROVED turns, and at the end of a
-    conversation of fewer, the pieces must make up the whole prefix rendered at once. Pieces are given out once they are proved. Where either
-    fails, the turns since the last proof, and all that follow, are rendered by full prefixes. From PROVED turns on only
-    the first is asked, so that memory is bounded by the window whatever the conversation's length; a failure there is an error.
+    a new beginning must give the end of what stood before, and at every power of two turns and at the end the pieces must make up
+    the whole prefix rendered at once. Pieces are given out once they are proved; where either fails, the turns since the last proof,
+    and all that follow, are rendered by full prefixes. What a window cannot show is history that is rewritten and put back between two proofs.
+    Either way a conversation's turns are held.
     """
     turns = iter(turns)
     if not window:
         yield from _pieces(template, turns)
         return
-    every: list[Turn] = []  # the turns so far, while they are proved
+    every: list[Turn] = []
     whole = ""  # the last proved output
     proved, waiting = 0, []
     held: list[Turn] = []
-    before, base, n = "", 0, 0  # base: where the rendering of ``held`` begins
+    before, base = "", 0  # base: where the rendering of ``held`` begins
 
     def right() -> bool:
         nonlocal whole
@@ -127,31 +123,25 @@ def render_incrementally(template: Template, turns: Iterable[Turn], window: int
         return True
 
     for turn in turns:
+        every.append(turn)
         good = True
         if len(held) >= window:
             again = template(held[-1:])
             good = before.endswith(again)
             base += len(before) - len(again)
             held, before = held[-1:], again
-        held.append(turn)
-        n += 1
-        if n <= PROVED:
-            every.append(turn)
-        elif not good:
-            raise ValueError(f"turn {n - 1}: the template looks back further than {window} turns, give no window")
         if good:
+            held.append(turn)
             after = template(held)
             same = len(before) if after.startswith(before) else len(commonprefix([before, after]))
-            waiting.append(Piece(n - 1, turn[0], base + same, after[same:], None if same == len(before) else base + same))
+            waiting.append(Piece(len(every) - 1, turn[0], base + same, after[same:], None if same == len(before) else base + same))
             before = after
-        if n <= PROVED and (not good or n & (n - 1) == 0 and not right()):
-            yield from _pieces(template, chain(every[proved:], turns), whole, proved, every[:proved])
-            return
-        if n >= PROVED or n & (n - 1) == 0:
+        if len(every) & (len(every) - 1) == 0 or not good:
+            if not (good and right()):
+                yield from _pieces(template, chain(every[proved:], turns), whole, proved, every[:proved])
+                return
             yield from waiting
-            proved, waiting = n, []
-        if n == PROVED:
-            every, whole = [], ""
+            proved, waiting = len(every), []
     if waiting:
         if right():
             yield from waiting
@@ -194,7 +184,8 @@ def format_chats(turns: DataFrame, template: Template = bracket_template, window
     points in the formatted conversation, which is its pieces in a row. A null role or text is empty; a null conv_id is
     a conversation of its own; repeated rows are turns of their own; other columns are not read; an empty table gives no rows. Rows of a
     conversation stay together and in order within a partition: they are sorted and streamed. Every prefix is rendered in
-    full, which holds a conversation's turns; ``window`` bounds that, proved against full prefixes as ``render_incrementally`` says.
+    full; ``window`` spares that, proved against full prefixes as ``render_incrementally`` says. A text or conversation of any length is
+    rendered whole.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text"))
