@@ -56,9 +56,9 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30)))), "")
 
 
-def canonical_language(c: Column, spellings: Mapping[str, str] | None = None) -> Column:
+def canonical_language(c: Column, spellings: Mapping[str, str] = vocab.LANGUAGE_SPELLINGS) -> Column:
     """The first comma part that has a known spelling, else the whole in title case; callers may pass their own spellings."""
-    known = F.create_map(*[F.lit(x) for kv in (spellings or vocab.languages()).items() for x in kv])
+    known = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda p: F.element_at(known, collapse(F.lower(p))))
     return F.coalesce(F.get(F.filter(parts, lambda p: p.isNotNull()), F.lit(0)), title_case(F.trim(F.coalesce(c, F.lit("")))))
 

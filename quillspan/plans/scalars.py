@@ -48,6 +48,18 @@ def title_case_language(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.collapse_language(T.canonical_language(raw)).alias("language"))
 
 
+_SPELLINGS = list(vocab.LANGUAGE_SPELLINGS)
+
+
+@query("language_spellings", f"""
+with m as (select unnest({_SPELLINGS}) as spelling, unnest({list(vocab.LANGUAGE_SPELLINGS.values())}) as language, unnest(range({len(_SPELLINGS)})) as i)
+select doc_id, language from documents join m on m.i = doc_id % {len(_SPELLINGS)}""")
+def language_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling there is, in capitals behind a part that is none."""
+    spelling = F.element_at(F.array(*[F.lit(x) for x in _SPELLINGS]), (F.col("doc_id") % len(_SPELLINGS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", T.canonical_language(F.concat(F.lit("Xx, "), F.initcap(spelling))).alias("language"))
+
+
 _TAGGED = "case conv_id % 4 when 0 then '<|joy|> ' || text when 1 then text || ' <|fear|> and <|anger|>' when 2 then '  <|sadness|>' else text end"
 _TOK = r"<\|(?:neutral|low_quality|joy|surprise|sadness|anger|disgust|fear)\|>"
 
