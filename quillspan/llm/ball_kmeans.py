@@ -106,8 +106,10 @@ def _first(centroids: list[Centroid], dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = V.padded(batch.column("v"), dims)
+            if not len(m):
+                continue
             d = _squares(m, centroids, range(len(centroids)))
-            cluster = d.argmin(axis=1) if len(m) else np.empty(0, np.int64)  # the first of equal ones
+            cluster = d.argmin(axis=1)  # the first of equal ones
             yield _rows(batch, cluster, d[np.arange(len(m)), cluster])
 
     return run
@@ -182,7 +184,7 @@ def ball_kmeans(vectors: DataFrame, k: int = 16, rounds: int = 3, scale: int = 6
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     centroids = [tuple(int(x) for x in r.v) for r in kept.orderBy(digest.asc_nulls_last(), "v").limit(k).select("v").collect()]
     schema = "vec_id long, v array<double>, cluster int, distance long"
-    assigned = save(kept.mapInArrow(_first(centroids, dims), schema), "kmeans-assigned") if centroids else kept.select("*", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance"))
+    assigned = save(kept.mapInArrow(_first(centroids, dims), schema), "kmeans-assigned")
     release(kept)
     for _ in range(rounds if centroids else 0):
         centroids = _moved(assigned, centroids, dims)

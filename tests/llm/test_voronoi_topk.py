@@ -49,7 +49,8 @@ def test_norms_that_differ_much(spark):
 
 
 def test_products_beyond_doubles_are_exact(spark):
-    rows = [(0, [2.0**25, 1.0]), (1, [2.0**25, 0.25]), (2, [2.0**25, 0.5]), (3, [2.0**25, 0.5]), (4, [-1.0, 0.0])]
+    big = 2.0**17 + 1 / 1024
+    rows = [(0, [big, 1.0]), (1, [big, 1 / 1024]), (2, [big, 3 / 1024]), (3, [big, 3 / 1024]), (4, [-1.0, 0.0])]
     assert got(K.top_k(table(spark, rows), F.col("vec_id") == 0, 3)) == brute(rows, lambda i: i == 0, 3)
     huge = [(0, [2.0**50, 1.0]), (1, [2.0**50, 2.0]), (2, [-(2.0**50), 0.0])]
     assert got(K.top_k(table(spark, huge), F.col("vec_id") == 0, 3)) == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
