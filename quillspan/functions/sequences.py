@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,40 +55,39 @@ def quality_bucket(wer: Column) -> Column:
 REACH, SLACK, LATER, ACCEPT = 120, 12, 0.003, 0.45
 
 
-def word_span(unit: Sequence[str], words: Sequence[str], cursor: int) -> tuple[int, int, float, str]:
-    """Where a unit's words stand in the recording's: (start, end, score, method).
+def word_span(unit: Sequence[str], places: Mapping[str, Sequence[int]], n: int, cursor: int) -> tuple[int, int, float, str]:
+    """Where a unit's words stand among a recording's ``n``: (start, end, score, method); ``places`` has each word's positions, ascending.
 
-    Of the next starts the one with most words found in order wins, less a little for each word skipped; below the
-    accepted score the unit takes as many words as it has.
+    A start scores the share of the unit's words that follow from it in order within the unit's length and SLACK, less a little for each word skipped;
+    of the next REACH starts the best wins, the earliest on ties. Below the accepted score the unit takes as many words as it has.
+
+    Starts between two places of the first word meet the same chain of places, and see more of it the later they are. So for each
+    place of the first word and each length of chain only the earliest start that sees so much can win.
     """
-    if not unit or not words:
+    size, width, last = len(unit), len(unit) + SLACK, min(n, cursor + REACH)
+    if not size or not n:
         return cursor, cursor, 0.0, "empty"
-    size, best_score = len(unit), -1.0
-    best_start, best_end = cursor, min(len(words), cursor + size)
-    for start in range(cursor, min(len(words), cursor + REACH)):
-        found, end = 0, start
-        for j in range(start, min(len(words), start + size + SLACK)):
-            if found < size and words[j] == unit[found]:
-                found, end = found + 1, j + 1
-        score = found / size - LATER * (start - cursor)
-        if score > best_score:
-            best_start, best_end, best_score = start, max(end, start + 1), score
-    kept = round(max(0.0, best_score), 3)
+    best_score, best_start, best_end = 0.0, cursor, cursor
+    firsts = places.get(unit[0], ())
+    low = cursor
+    for q in firsts[bisect_left(firsts, cursor) :]:
+        if low >= last:
+            break
+        high = min(q, last - 1)
+        for found, word in enumerate(unit[1:] + [None], 1):
+            start = max(low, q - width + 1)
+            if start > high:
+                break
+            score = found / size - LATER * (start - cursor)
+            if score > best_score:
+                best_score, best_start, best_end = score, start, q + 1
+            nexts = places.get(word, ())
+            i = bisect_right(nexts, q)
+            if i == len(nexts):
+                break
+            q = nexts[i]
+        low = high + 1
+    kept = round(best_score, 3)
     if best_score >= ACCEPT:
         return best_start, best_end, kept, "token_match"
-    return cursor, min(len(words), cursor + size), kept, "word_count_fallback"
-
-
-def match_nearest(refs: Sequence[int], preds: Sequence[int], tolerance: int) -> list[tuple[int, int]]:
-    """Each reference in turn takes the nearest free prediction within the tolerance, the earlier one on ties.
-
-    Both ascend, so only the predictions around a reference are looked at.
-    """
-    used, out = [False] * len(preds), []
-    for ref in refs:
-        near = [(abs(preds[i] - ref), i) for i in range(bisect_left(preds, ref - tolerance), bisect_right(preds, ref + tolerance)) if not used[i]]
-        if near:
-            _, i = min(near)
-            used[i] = True
-            out.append((ref, preds[i]))
-    return out
+    return cursor, min(n, cursor + size), kept, "word_count_fallback"

@@ -3,61 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from quillspan.functions import vocab
-from quillspan.functions.sequences import match_nearest, word_span
-from quillspan.operators.rank import hash_order
-
-
-def _draw(seed: int, group: int, low: int, high: int) -> int:
-    import hashlib
-
-    return low + int(hashlib.md5(f"{seed}|{group}".encode()).hexdigest()[:8], 16) % (high - low + 1)
-
-
-def pack_in_order(items: list[float], seed: int, least: int = 2, most: int = 6, target: float = 28.0, longest: float = 55.0, gap: float = 0.08) -> list[list[int]]:
-    """Positions of consecutive items in groups.
-
-    Each group draws how many items it wants. It closes at that many, or once it has ``least`` and lasts ``target`` or
-    the next item would bring it over ``longest``. An end piece of fewer than ``least`` items is dropped.
-    """
-    groups: list[list[int]] = []
-    at = 0
-    while at < len(items):
-        want, group, lasts = _draw(seed, len(groups), least, most), [], 0.0
-        for i in range(at, len(items)):
-            adds = items[i] + (gap if group else 0.0)
-            enough = len(group) >= least
-            if len(group) == want or enough and (lasts >= target or lasts + adds > longest):
-                break
-            group.append(i)
-            lasts += adds
-        if len(group) >= least:
-            groups.append(group)
-        at += len(group)
-    return groups
-
-
-def bin_pack(df: DataFrame, key: str, seconds: str, seed: int, buckets: int, **limits: float) -> DataFrame:
-    """(bucket, group_no, item_no, key, seconds): groups packed in hash order within hash buckets.
-
-    Packing is a sequential fold, so it runs per bucket; choose ``buckets`` so that one holds some 100,000 rows.
-    """
-    rows = df.select(F.col(key), F.col(seconds).cast("double").alias("seconds"), F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), hash_order(seed, F.col(key)).alias("_o"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_o", key], ignore_index=True)
-        groups = pack_in_order(pdf["seconds"].tolist(), seed + int(pdf["bucket"].iloc[0]), **limits)
-        out = [(int(pdf["bucket"].iloc[0]), g, n, pdf[key].iloc[i], pdf["seconds"].iloc[i]) for g, members in enumerate(groups) for n, i in enumerate(members)]
-        return pd.DataFrame(out, columns=["bucket", "group_no", "item_no", key, "seconds"])
-
-    return rows.groupBy("bucket").applyInPandas(pack, f"bucket int, group_no long, item_no long, {key} {df.schema[key].dataType.simpleString()}, seconds double")
+from quillspan.functions.sequences import word_span
+from quillspan.operators.scan import scan
 
 
 def align_units(df: DataFrame, key: str) -> DataFrame:
@@ -72,8 +28,11 @@ def align_units(df: DataFrame, key: str) -> DataFrame:
             out = []
             for r in pdf.itertuples(index=False):
                 cursor, n = 0, len(r.units)
+                places = defaultdict(list)
+                for i, word in enumerate(r.words):
+                    places[word].append(i)
                 for i, unit in enumerate(r.units):
-                    a, b, score, method = word_span(list(unit), list(r.words), cursor)
+                    a, b, score, method = word_span(list(unit), places, len(r.words), cursor)
                     cursor = max(cursor, b)
                     if a < len(r.words) and b > a:
                         start, end = r.starts[a], r.ends[min(b, len(r.words)) - 1]
@@ -86,26 +45,69 @@ def align_units(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, "units", "words", "starts", "ends", "seconds").mapInPandas(run, f"{key} {kind}, unit_no int, start_word int, end_word int, start_seconds double, end_seconds double, score double, method string")
 
 
-def match_events(df: DataFrame, keys: Sequence[str], tolerance: int) -> DataFrame:
-    """Greedy one-to-one matches of ``df`` (keys..., pos long, is_ref boolean): (keys..., ref, pred).
+def _matched(keys: Sequence[str], tolerance: int):
+    """Matches of events that come sorted by (keys, stretch, pos).
 
-    Events more than ``tolerance`` apart do not compete, so a key's events are cut where such a gap is, and each stretch is matched
-    on its own.
+    References wait until all predictions within their reach are seen, and free predictions stay until no reference can reach them, so
+    what is held is what lies within the tolerance, however long a stretch is.
     """
-    line = Window.partitionBy(*keys).orderBy("pos", "is_ref")
-    gap = F.col("pos") - F.lag("pos").over(line) > tolerance
-    stretches = df.select(*keys, "pos", "is_ref").withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("long"))
-    stretches = stretches.withColumn("_stretch", F.sum("_gap").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    at = lambda ref: F.sort_array(F.collect_list(F.when(F.col("is_ref") == ref, F.col("pos"))))
-    both = stretches.groupBy(*keys, "_stretch").agg(at(True).alias("refs"), at(False).alias("preds")).where((F.size("refs") > 0) & (F.size("preds") > 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        refs: deque[int] = deque()
+        free: deque[int] = deque()
+        of, stretch, out = None, None, []
+
+        def settle(ref: int) -> None:
+            while free and free[0] < ref - tolerance:
+                free.popleft()
+            best = None
+            for i, p in enumerate(free):
+                if p > ref + tolerance or best is not None and p - ref >= abs(free[best] - ref):
+                    break
+                if best is None or abs(p - ref) < abs(free[best] - ref):
+                    best = i
+            if best is not None:
+                out.append((*of, ref, free[best]))
+                del free[best]
+
         for pdf in batches:
-            out = [(*[getattr(r, k) for k in keys], a, b) for r in pdf.itertuples(index=False) for a, b in match_nearest(list(r.refs), list(r.preds), tolerance)]
+            for *k, s, pos, is_ref in zip(*[pdf[c].tolist() for c in (*keys, "_stretch", "pos", "is_ref")], strict=True):
+                if s != stretch or k != of:
+                    while refs:
+                        settle(refs.popleft())
+                    free.clear()
+                    of, stretch = k, s
+                while refs and refs[0] + tolerance < pos:
+                    settle(refs.popleft())
+                if is_ref:
+                    refs.append(pos)
+                else:
+                    reached = refs[0] if refs else pos
+                    while free and free[0] < reached - tolerance:
+                        free.popleft()
+                    free.append(pos)
             yield pd.DataFrame(out, columns=[*keys, "ref", "pred"])
+            out.clear()
+        while refs:
+            settle(refs.popleft())
+        yield pd.DataFrame(out, columns=[*keys, "ref", "pred"])
+
+    return run
+
 
+def match_events(df: DataFrame, keys: Sequence[str], tolerance: int) -> DataFrame:
+    """Greedy one-to-one matches of ``df`` (keys..., pos long, is_ref boolean): (keys..., ref, pred).
+
+    Each reference in turn takes the nearest free prediction, the earlier one on ties. Events more than ``tolerance`` apart do not compete, so a key's
+    events are cut into stretches where such a gap is. A stretch is streamed in order by one task and not gathered, so one without a gap takes time but no memory.
+    """
+    events = df.select(*keys, "pos", "is_ref", F.monotonically_increasing_id().alias("_id"))
+    line = [F.col("pos"), F.col("is_ref"), F.col("_id")]
+    gaps = scan(events, keys, line, before={"_prev": F.col("pos")}).withColumn("_gap", F.coalesce(F.col("pos") - F.col("_prev") > tolerance, F.lit(False)).cast("long"))
+    stretches = scan(gaps.drop("_prev"), keys, line, sums={"_stretch": F.col("_gap")}).select(*keys, "_stretch", "pos", "is_ref")
+    ordered = stretches.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "pos", "is_ref")
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return both.select(*keys, "refs", "preds").mapInPandas(run, f"{kinds}, ref long, pred long")
+    return ordered.mapInPandas(_matched(keys, tolerance), f"{kinds}, ref long, pred long")
 
 
 def decode_batched(df: DataFrame, decode, schema: str, size: int = 8) -> DataFrame:

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import numbers as N
-from quillspan.operators.rank import group_quantiles
+from quillspan.operators.rank import group_quantiles, ranked
+from quillspan.operators.scan import scan, with_halo
+
+#: Positions that one task holds of a key, at least.
+BLOCK = 65_536
 
 
 def leading_run(df: DataFrame, keys: Sequence[str], order: Sequence[Column], loud: Column, name: str = "run") -> DataFrame:
-    """How many rows of each group come before its first loud one (all of them where none is)."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    quiet = df.withColumn("_loud", F.sum(loud.cast("int")).over(upto))
-    return quiet.groupBy(*keys).agg(F.sum((F.col("_loud") == 0).cast("long")).alias(name))
+    """How many rows of each group come before its first loud one (all of them where none is).
+
+    Two sums by group: where its first loud row is, and how many rows come before; no group is gathered.
+    """
+    placed = df.select(*keys, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_at"), loud.alias("_loud"))
+    first = placed.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.min(F.when(F.col("_loud"), F.col("_at"))).alias("_first"))
+    both = placed.join(first, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]))
+    return both.groupBy(*keys).agg(F.sum((F.col("_first").isNull() | (F.col("_at") < F.col("_first"))).cast("long")).alias(name))
 
 
 def near_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, other: str, reach: float) -> DataFrame:
@@ -52,9 +61,8 @@ def silence_around(frames: DataFrame, boundaries: DataFrame, key: str, threshold
 
 def island_peaks(df: DataFrame, keys: Sequence[str], idx: str, value: str, threshold: float) -> DataFrame:
     """Of each run of neighbouring rows with value >= threshold, the first row of the largest value; with the run's size."""
-    active = df.where(F.col(value) >= threshold)
-    order = Window.partitionBy(*keys).orderBy(idx)
-    islands = active.withColumn("_island", F.col(idx) - F.row_number().over(order))
+    active = scan(df.where(F.col(value) >= threshold), keys, [F.col(idx)], sums={"_n": F.lit(1)})
+    islands = active.withColumn("_island", F.col(idx) - F.col("_n"))
     return islands.groupBy(*keys, "_island").agg(F.max(F.struct(F.col(value), (-F.col(idx)).alias("_neg"))).alias("_m"), F.count("*").alias("frames")).select(
         *keys, (-F.col("_m._neg")).alias(idx), F.col(f"_m.{value}").alias(value), "frames"
     )
@@ -65,11 +73,15 @@ def tumbling(df: DataFrame, keys: Sequence[str], pos: str, size: int, least: int
     return df.withColumn("chunk", F.floor(F.col(pos) / size).cast("long")).groupBy(*keys, "chunk").agg(F.count("*").alias("n"), *aggregates).where(F.col("n") >= least)
 
 
-def sliding_rms(df: DataFrame, keys: Sequence[str], pos: str, value: str, frame: int, hop: int) -> DataFrame:
-    """Root mean square of full frames of ``frame`` rows that start every ``hop`` rows; ``pos`` counts from 0."""
-    ahead = Window.partitionBy(*keys).orderBy(pos).rowsBetween(0, frame - 1)
-    out = df.withColumn("_n", F.count("*").over(ahead)).withColumn("rms", F.sqrt(F.avg(F.col(value) * F.col(value)).over(ahead)))
-    return out.where((F.col(pos) % hop == 0) & (F.col("_n") == frame)).select(*keys, pos, "rms")
+def sliding_rms(df: DataFrame, keys: Sequence[str], pos: str, value: str, frame: int, hop: int, block: int = BLOCK) -> DataFrame:
+    """Root mean square of full frames of ``frame`` rows that start every ``hop`` rows; ``pos`` counts from 0.
+
+    A key's rows are framed in blocks of positions, each with the rows that its last frames reach into, so a key is many tasks.
+    """
+    ahead = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(0, frame - 1)
+    rows = with_halo(df.select(*keys, pos, value), pos, max(block, frame), frame - 1)
+    out = rows.withColumn("_n", F.count("*").over(ahead)).withColumn("rms", F.sqrt(F.avg(F.col(value) * F.col(value)).over(ahead)))
+    return out.where(F.col("_own") & (F.col(pos) % hop == 0) & (F.col("_n") == frame)).select(*keys, pos, "rms")
 
 
 def silence_stats(df: DataFrame, keys: Sequence[str], rms: str) -> DataFrame:
@@ -83,9 +95,7 @@ def silence_stats(df: DataFrame, keys: Sequence[str], rms: str) -> DataFrame:
 
 def pair_intervals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], kind: str, value: str, start: str, end: str, close_at: Column | None = None) -> DataFrame:
     """Each start event with the end event right after it; a last open one ends at ``close_at`` or is left out."""
-    line = Window.partitionBy(*keys).orderBy(*order)
-    only = df.where(F.col(kind).isin(start, end))
-    ahead = only.withColumn("_next", F.lead(kind).over(line)).withColumn("_end", F.lead(value).over(line))
+    ahead = scan(df.where(F.col(kind).isin(start, end)), keys, order, after={"_next": F.col(kind), "_end": F.col(value)})
     closed = F.when(F.col("_next") == end, F.col("_end"))
     if close_at is not None:
         closed = F.coalesce(closed, F.when(F.col("_next").isNull(), close_at))
@@ -105,9 +115,8 @@ def frame_of(share: Column, frames: Column) -> Column:
 
 def running_offsets(df: DataFrame, keys: Sequence[str], order: str, length: str, gap: int) -> DataFrame:
     """Start and end of each part when a group's parts are laid end to end with gaps between."""
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col(length) + gap).over(upto) - gap
-    return df.withColumn("end_at", end).withColumn("start_at", F.col("end_at") - F.col(length))
+    out = scan(df, keys, [F.col(order)], sums={"_end": F.col(length) + gap})
+    return out.withColumn("end_at", F.col("_end") - gap).drop("_end").withColumn("start_at", F.col("end_at") - F.col(length))
 
 
 def pool_embeddings(df: DataFrame, keys: Sequence[str], vector: str, mask: Column | None = None, least_variance: float | None = None) -> DataFrame:
@@ -127,12 +136,11 @@ def chars_to_words(df: DataFrame, keys: Sequence[str], pos: str, token: str, sta
     chars = df.where(F.length(token) > 0).select(*keys, pos, start, end, F.length(token).alias("_n"), F.posexplode(F.split(token, "")).alias("_i", "_c"))
     span = F.greatest(F.col(end) - F.col(start), F.lit(0.0))
     timed = chars.withColumn("_a", F.col(start) + span * F.col("_i") / F.col("_n")).withColumn("_b", F.col(start) + span * (F.col("_i") + 1) / F.col("_n"))
-    order = Window.partitionBy(*keys).orderBy(pos, "_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blank = F.col("_c").rlike(r"(?U)^\s$")
-    named = timed.withColumn("_w", F.sum(blank.cast("int")).over(order)).where(~blank)
+    named = scan(timed, keys, [F.col(pos), F.col("_i")], sums={"_w": blank.cast("int")}).where(~blank)
     letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "_i", "_c"))), lambda s: s["_c"]), "")
     words = named.groupBy(*keys, "_w").agg(letters.alias("word"), F.bround(F.min("_a"), 3).alias("start_seconds"), F.bround(F.max("_b"), 3).alias("end_seconds"))
-    return words.withColumn("word_index", F.row_number().over(Window.partitionBy(*keys).orderBy("_w")) - 1).drop("_w")
+    return ranked(words, keys, [F.col("_w")], "_rn").withColumn("word_index", F.col("_rn").cast("int") - 1).drop("_w", "_rn")
 
 
 def even_words(df: DataFrame, keys: Sequence[str], text: str, seconds: str) -> DataFrame:

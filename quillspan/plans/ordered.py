@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.operators import boundaries as B
 from quillspan.operators import metrics as M
 from quillspan.operators import sequential
 from quillspan.operators import signal as G
+from quillspan.operators.rank import ranked
 from quillspan.plans.registry import query, table
 from quillspan.plans.relational import SCORED_SQL, scored
 from quillspan.streaming import ingest
@@ -17,8 +18,8 @@ _POS = "(select user_id, event_id, event_type, value, ts, row_number() over (par
 
 
 def _pos(spark: SparkSession, d: str) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts", (rn - 1).cast("long").alias("pos"))
+    rows = ranked(table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")], "rn")
+    return rows.select("user_id", "event_id", "event_type", "value", "ts", (F.col("rn") - 1).cast("long").alias("pos"))
 
 
 @query("boundary_events_islands", f"""

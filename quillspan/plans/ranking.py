@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
+from quillspan.operators import grouping
 from quillspan.operators import metrics as M
 from quillspan.operators import rank as R
-from quillspan.operators import sequential
 from quillspan.plans.registry import query, table
 
 
@@ -106,10 +106,20 @@ def order_statistics_by_index(spark: SparkSession, d: str) -> DataFrame:
     return R.order_statistics(docs, "n_chars", at).withColumn("total_hours", docs.agg(F.round(F.sum("n_chars") / 3600, 6)).scalar())
 
 
-@query("bin_pack_groups")
+def _item(k: int) -> str:
+    """SQL for the k-th item of the group that starts at a row: whether it joins."""
+    joins = f"s{k} is not null and size = {k - 1} and want <> {k - 1} and not ({k - 1} >= 2 and (lasts >= 28 or lasts + (s{k} + 0.08) > 55))"
+    return f"g{k} as (select * replace (case when {joins} then {k} else size end as size, case when {joins} then lasts + (s{k} + 0.08) else lasts end as lasts) from g{k - 1})"
+
+
+@query("bin_pack_groups", f"""
+with recursive r as (select doc_id, n_chars / 200.0::double as s1, 2 + cast('0x' || substr(md5('917|want|' || doc_id), 1, 8) as bigint) % 5 as want, row_number() over (order by md5('917|' || doc_id), doc_id) as pos from documents where n_chars / 200.0::double between 0.35 and 20),
+g1 as (select *, 1 as size, s1 as lasts, {", ".join(f"lead(s1, {k - 1}) over (order by pos) as s{k}" for k in range(2, 7))} from r), {", ".join(_item(k) for k in range(2, 7))},
+c as (select pos, size, 0 as group_no from g6 where pos = 1 union all select g.pos, g.size, c.group_no + 1 from c join g6 g on g.pos = c.pos + c.size)
+select cast(group_no as bigint) as group_no, cast(r.pos - c.pos as bigint) as item_no, doc_id, s1 as seconds from c join r on r.pos between c.pos and c.pos + c.size - 1 where size >= 2""")
 def bin_pack_groups(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 200.0).alias("seconds")).where(F.col("seconds").between(0.35, 20.0))
-    return sequential.bin_pack(docs, "doc_id", "seconds", 917, 4)
+    return grouping.pack_groups(docs, "doc_id", "seconds", 917)
 
 
 @query("top_stations", "select page_id, votes, host from (select page_id, length(html) as votes, regexp_extract(url, '://([^/?#]*)', 1) as host from pages) where votes >= 100 order by votes desc, page_id limit 25")

@@ -134,19 +134,31 @@ def test_folds_equal_tables(spark):
     assert all(r.d == _distance(r.a, r.b) and r.c == _common(r.a, r.b) for r in got)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from("abc"), max_size=8), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(0, 10))
-def test_word_span_stays_in_bounds(unit, words, cursor):
-    cursor = min(cursor, len(words))
-    start, end, score, method = sequences.word_span(unit, words, cursor)
-    assert cursor <= start <= end <= max(len(words), start + 1) and 0 <= score <= 1
-    assert method == "empty" if not unit or not words else method in ("token_match", "word_count_fallback")
-
-
-def test_match_nearest_ties_take_the_earlier():
-    assert sequences.match_nearest([5, 6], [4, 6], 2) == [(5, 4), (6, 6)]
-    assert sequences.match_nearest([5], [8], 2) == []
-    assert sequences.match_nearest([5, 5], [5], 0) == [(5, 5)]
+def plain_span(unit, words, cursor):
+    """Every start tried in turn: how much of the unit a walk over the words that it may look at meets in order."""
+    if not unit or not words:
+        return cursor, cursor, 0.0, "empty"
+    scored = []
+    for start in range(cursor, min(len(words), cursor + sequences.REACH)):
+        left, end = list(unit), start + 1
+        for at, word in enumerate(words[start : start + len(unit) + sequences.SLACK], start):
+            if left and left[0] == word:
+                left.pop(0)
+                end = at + 1
+        scored.append(((len(unit) - len(left)) / len(unit) - sequences.LATER * (start - cursor), -start, end))
+    score, start, end = max(scored, default=(0.0, -cursor, cursor))
+    if score >= sequences.ACCEPT:
+        return -start, end, round(score, 3), "token_match"
+    return cursor, min(len(words), cursor + len(unit)), round(max(0.0, score), 3), "word_count_fallback"
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), max_size=8), st.lists(st.sampled_from("abcdefgh"), max_size=200), st.integers(0, 60))
+def test_word_span_by_posting_lists_equals_every_start(unit, words, cursor):
+    places = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
+    assert sequences.word_span(unit, places, len(words), cursor) == plain_span(unit, words, cursor)
 
 
 def test_all_languages_are_known_by_their_code(spark):
