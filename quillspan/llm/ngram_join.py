@@ -11,7 +11,10 @@ a key, and a passage that many documents hold gives none unless it is a large pa
 
 The blocks are multiplied in two steps. Every set has a parent, the least set that it shares a key with: a parent and
 its sets are a block of one row by many. Sets that this links are one class. Where keys lead from one class to
-another, the classes' sets form a block; all but its largest class are multiplied with the whole, in tiles, and large
+another, the sets concerned are read again and all their n-grams counted, and with these counts an exact prefix filter says which
+can still link: in the order from rare to common, the smaller of two linked sets of n n-grams shares one of its first n - 2tn/(1+t) + 1 with the first
+m - tm + 1 of the larger. So pages that have a template in common but too much of their own share no such n-gram, however many
+they are. What this leads together is a block; all but its largest class are multiplied with the whole, in tiles, and large
 blocks are cut by size into overlapping spans such that sets of sizes that can be similar share one. So a large group
 of near copies is read once. In a tile the overlap counts are accumulated over blocks of columns, pairs whose sizes
 alone rule them out are discarded, and the rest are kept if the count reaches the bound that follows from the two
@@ -219,13 +222,18 @@ LEFT, RIGHT = 1, 2
 _SPOTS = "array<struct<root:bigint,span:int,i:int,j:int,side:int>>"
 
 
-def _multiply(docs: DataFrame, stand: DataFrame, spots: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The links (a, b) found in the blocks: ``spots`` (node, spots) says where each set's row goes, ``stand`` whose text has it."""
+def _grams(docs: DataFrame, stand: DataFrame, spots: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(node, spots, grams) of the sets in ``spots`` (node, spots), read again from the texts that ``stand`` says; and a table to release after use."""
     wanted = save(stand.select("node", "id", "row").join(spots, "node"), "ngram-wanted")
     some = maybe_in(docs, F.xxhash64("doc_id", "row"), wanted, F.xxhash64("id", "row"))
     theirs = wanted.withColumnRenamed("row", "their_row")
     again = some.join(theirs, some["doc_id"].eqNullSafe(theirs["id"]) & (some["row"] == theirs["their_row"])).select("text", "node", "spots")
-    grams = again.mapInArrow(_again(k), f"node long, spots {_SPOTS}, grams array<long>")
+    return again.mapInArrow(_again(k), f"node long, spots {_SPOTS}, grams array<long>"), wanted
+
+
+def _multiply(docs: DataFrame, stand: DataFrame, spots: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The links (a, b) found in the blocks: ``spots`` (node, spots) says where each set's row goes, ``stand`` whose text has it."""
+    grams, wanted = _grams(docs, stand, spots, k)
     dealt = grams.select("node", "grams", F.explode("spots").alias("s")).select("s.*", "node", "grams").repartition(*BLOCK).sortWithinPartitions(*BLOCK, "node")
     found = save(dealt.mapInArrow(_block_links(num, den), "a long, b long"), "ngram-links")
     release(wanted)
@@ -261,13 +269,41 @@ def _star_spots(pivots: DataFrame, stand: DataFrame) -> DataFrame:
     return right.unionByName(left).groupBy("node").agg(F.flatten(F.collect_list("spots")).alias("spots"))  # one or two
 
 
-def _class_spots(stand: DataFrame, classes: DataFrame, rough: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, spots) of the tiles of blocks of more than one class: each class but the largest with the whole block.
+def _close(docs: DataFrame, stand: DataFrame, member: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of one block, in stars, that lead together all sets of different classes that the prefix filter cannot tell apart.
 
-    ``classes`` (node, root) has sets that are linked already, ``rough`` (node, root) the blocks of classes.
+    ``member`` (node, n, class, root) is written. An n-gram that no other member of the block has comes first in the order and leads nowhere.
     """
+    grams, wanted = _grams(docs, stand, member.select("node", F.expr(f"cast(array() as {_SPOTS})").alias("spots")), k)
+    grams = save(grams.select("node", "grams"), "ngram-grams")
+    release(wanted)
+    each = grams.join(member, "node").select("root", "node", F.explode("grams").alias("gram"))
+    shared = save(each.groupBy("root", "gram").agg(F.count("*").alias("often")).where("often > 1"), "ngram-counts")
+    thin = maybe_in(each, F.xxhash64("root", "gram"), shared, F.xxhash64("root", "gram")).join(shared, ["root", "gram"])
+    own = thin.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("often", "gram"))).alias("grams")).join(member, "node")
+    alone = F.col("n") - F.size("grams")
+    up = lambda by, of: F.floor((F.col("n") * by + of - 1) / of)  # noqa: E731  the share of n rounded up
+    reach = lambda share: F.greatest(F.lit(0), F.col("n") - share + 1 - alone).cast("int")
+    first, longer = reach(up(2 * num, num + den)), reach(up(num, den))
+    spread = own.select("root", "node", "class", first.alias("first"), F.posexplode(F.slice("grams", F.lit(1), longer)).alias("at", "g"))
+    keys = save(spread.select("root", "node", "class", (F.col("at") < F.col("first")).alias("is_first"), "g.gram"), "ngram-close")
+    hub = keys.groupBy("root", "gram").agg(F.max("is_first").alias("any"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct(~F.col("is_first"), "node"))["node"].alias("hub"))
+    pairs = keys.join(hub.where("any and lo < hi").select("root", "gram", "hub"), ["root", "gram"]).where("node <> hub")
+    out = save(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "ngram-near")
+    for table in (grams, shared, keys):
+        release(table)
+    return out
+
+
+def _members(stand: DataFrame, classes: DataFrame, rough: DataFrame) -> DataFrame:
+    """(node, n, class, root) of the sets in blocks of more than one class, written. ``classes`` (node, root) has sets that are linked already, ``rough``
+    (node, root) the blocks of classes."""
     of = stand.select("node", "n").join(classes.select("node", F.col("root").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    member = of.join(rough.select(F.col("node").alias("class"), "root"), "class")
+    return save(of.join(rough.select(F.col("node").alias("class"), "root"), "class").select("node", "n", "class", "root"), "ngram-members")
+
+
+def _class_spots(member: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, spots) of the tiles of the blocks of ``member`` (node, n, class, root): each class but the largest with the whole block."""
     sizes = member.groupBy("root", "class").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     blocks = sizes.groupBy("root").agg(F.max(F.struct("c", "class"))["class"].alias("most"), ((F.sum("c") <= TILE) & (F.sum("n") <= TILE_GRAMS)).alias("small"))
     step = F.floor(F.log("n") / (1.01 * log(den / num))).cast("int")
@@ -315,9 +351,12 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     classes = connected_components(stars)
     near = pivots.select(F.col("pivots")[0].alias("a"), F.explode(F.concat(F.array("node"), "pivots")).alias("b")).where("a <> b").distinct()
     rough = connected_components(_labelled(near, classes))
-    tiles = _multiply(docs, stand, _class_spots(stand, classes, rough, num, den), k, num, den)
+    member = _members(stand, classes, rough)
+    close = _close(docs, stand, member, k, num, den)
+    blocks = connected_components(close)
+    tiles = _multiply(docs, stand, _class_spots(member.drop("root").join(blocks, "node"), num, den), k, num, den)
     merged = connected_components(_labelled(tiles, classes))
-    for table in (pivots, stars, stand, rough, tiles):
+    for table in (pivots, stars, stand, rough, member, close, blocks, tiles):
         release(table)
     placed = sets.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
     placed = placed.join(merged.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("class", F.coalesce("root", "class"))

@@ -132,3 +132,36 @@ def test_empty_and_clashing(spark):
     assert J.ngram_components(docs(spark, [])).count() == 0
     table = odd_docs(spark)
     assert plain(J.ngram_components(clashing(table))) == plain(J.ngram_components(table))
+
+
+def _template_pages(n, draw):
+    """Pages of one template, too unlike to link, and a few that are near copies of some of them."""
+    base = [f"t{i}" for i in range(180)]
+    pages = [" ".join(base[:90] + [f"o{p}x{i}" for i in range(30)] + base[90:]) for p in range(n)]
+    copies = []
+    for p in range(0, n, 50):
+        words = pages[p].split()
+        words[draw.randrange(100, 200)] = "changed"
+        copies.append(" ".join(words))
+    return [(i, t, "s") for i, t in enumerate(pages + copies)]
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5)])
+def test_unlinked_pages_of_a_template_are_not_compared_with_each_other(spark, monkeypatch, k, num, den):
+    """Sets that are sent to blocks are in proportion to the pages."""
+    monkeypatch.setattr(J, "TILE", 16)
+    sent = []
+    multiply = J._multiply
+
+    def counting(docs, stand, spots, *args):
+        sent.append(spots.select(F.sum(F.size("spots"))).first()[0] or 0)
+        return multiply(docs, stand, spots, *args)
+
+    monkeypatch.setattr(J, "_multiply", counting)
+    shipped = {}
+    for n in (150, 300):
+        rows = _template_pages(n, random.Random(n))
+        sent.clear()
+        assert plain(J.ngram_components(docs(spark, rows), k, num, den).drop("row", "class")) == brute([r[:2] for r in rows], k, num, den)
+        shipped[n] = sum(sent)
+    assert shipped[300] <= 2.2 * shipped[150]
