@@ -171,28 +171,29 @@ _STATE_SQL = """
 _KIND_SQL = "case when done = 1 then 'completed' when attempts >= 12 then 'failed' when last_start > coalesce(last_end, -1) then 'in_progress' else 'retry' end"
 
 
-def _checkpoint(spark: SparkSession, d: str) -> DataFrame:
+def checkpoint_events(spark: SparkSession, d: str) -> DataFrame:
+    """Starts, failures and completions of each key, made from the events."""
     kind = F.when((F.col("event_type") == "purchase") & (F.col("value") > 90), "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "started")
-    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("uuid"), kind.alias("kind"), F.col("event_id").alias("seq")).na.fill({"kind": "other"})
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("uuid"), kind.alias("kind"), F.col("event_id").alias("seq"), "ts").na.fill({"kind": "other"})
 
 
 @query("retry_state_machine", f"select uuid, {_KIND_SQL} as state, case when done = 1 then 0 else attempts end as attempts from {_STATE_SQL}")
 def retry_state_machine(spark: SparkSession, d: str) -> DataFrame:
-    return L.checkpoint_state(_checkpoint(spark, d), 12)
+    return L.checkpoint_state(checkpoint_events(spark, d), 12)
 
 
 @query("checkpoint_progress", f"""
 select cast(count(*) filter (where state = 'completed') as bigint) as completed, cast(count(*) filter (where state = 'failed') as bigint) as failed, cast(count(*) filter (where state = 'in_progress') as bigint) as in_progress,
   cast(count(*) filter (where state = 'completed') + sum(attempts) as bigint) as total_attempted from (select {_KIND_SQL} as state, case when done = 1 then 0 else attempts end as attempts from {_STATE_SQL})""")
 def checkpoint_progress(spark: SparkSession, d: str) -> DataFrame:
-    state = L.checkpoint_state(_checkpoint(spark, d), 12)
+    state = L.checkpoint_state(checkpoint_events(spark, d), 12)
     n = lambda s: F.count_if(F.col("state") == s)
     return state.agg(n("completed").alias("completed"), n("failed").alias("failed"), n("in_progress").alias("in_progress"), (n("completed") + F.sum("attempts")).alias("total_attempted"))
 
 
 @query("remaining_keys", f"select uuid from {_STATE_SQL} where {_KIND_SQL} not in ('completed', 'failed')")
 def remaining_keys(spark: SparkSession, d: str) -> DataFrame:
-    events = _checkpoint(spark, d)
+    events = checkpoint_events(spark, d)
     return L.remaining(events.select("uuid").distinct(), L.checkpoint_state(events, 12))
 
 

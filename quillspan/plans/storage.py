@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import intake as I
 from quillspan.operators import labels as L
+from quillspan.operators.rank import positions
 from quillspan.plans.registry import query, table
 from quillspan.scratch import fresh
-from quillspan.sources import directory, readers, schemas, sinks
+from quillspan.sources import directory, readers, schemas, sinks, versions
 from quillspan.streaming import ingest
 
 
@@ -186,16 +187,14 @@ def media_walk(spark: SparkSession, d: str) -> DataFrame:
     return chosen.agg(F.count("*").alias("files"), F.min(F.col("path").endswith(".flac")).alias("all_flac"))
 
 
-def directory_page(page: int, options: dict[str, str]) -> list[dict]:
-    """A stand-in for a paged service: ten rows to a page, tagged as asked."""
-    return [{"id": page * 10 + i, "tag": options.get("tag")} for i in range(10)]
-
-
-@query("paged_directory", "select cast(i as int) as id, 'news' as tag from range(25) r(i)")
+@query("paged_directory", "select page_id, url from pages order by page_id limit 125")
 def paged_directory(spark: SparkSession, d: str) -> DataFrame:
+    """The first rows of a paged service, made from the pages."""
     directory.register(spark)
-    read = spark.read.format("paged").schema("id int, tag string").option("fetch", "quillspan.plans.storage:directory_page")
-    return read.option("tag", "news").option("limit", "25").option("page_rows", "10").load()
+    path = fresh(spark, "paged")
+    directory.store_pages(positions(table(spark, d, "pages").select("page_id", "url"), [F.col("page_id")]), "pos", path, 50)
+    read = spark.read.format("paged").schema("page_id long, url string").option("fetch", "quillspan.sources.directory:stored_page").option("root", path)
+    return read.option("limit", "125").option("page_rows", "50").load()
 
 
 @query("streamed_shards", "select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1")
@@ -215,10 +214,11 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("streamed_upserts", "select user_id, arg_max(value, event_id) as value from events group by 1")
 def streamed_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Last values by user, from changes that are brought together after every second batch."""
     path = fresh(spark, "upserts")
     stream = _event_stream(spark, d).select("user_id", "event_id", "value")
-    ingest.run_to_end(ingest.upsert_stream(stream, ["user_id"], "event_id", f"{path}/out", f"{path}/checkpoint"))
-    return spark.read.parquet(f"{path}/out").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"))
+    ingest.run_to_end(versions.upsert_stream(stream, ["user_id"], "event_id", f"{path}/out", f"{path}/checkpoint", 2))
+    return versions.read(spark, f"{path}/out", ["user_id"], "event_id").select("user_id", "value")
 
 
 @query("streamed_packages", "select count(*) as records, true as packaged from events")

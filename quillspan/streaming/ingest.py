@@ -40,17 +40,6 @@ def write_shards(stream: DataFrame, path: str, checkpoint: str, rows: int) -> St
     return stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], seq: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Latest row of each key within a batch appended to a log; the latest-per-key view over the log is the table."""
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        others = [c for c in batch.columns if c not in keys]
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*others), seq).alias("r")).select(*keys, "r.*")
-        latest.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id:05d}")
-
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def process_pending(pending: DataFrame, done: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None]) -> None:
     """Resume: only keys that are not done are worked on, and results are appended."""
     sink(work(pending.join(done.select(key), key, "left_anti")))

@@ -13,7 +13,7 @@ from quillspan.operators import metrics as M
 from quillspan.operators import rank as R
 from quillspan.operators import rules, sequential
 from quillspan.operators import signal as G
-from quillspan.sources import readers, schemas, sinks
+from quillspan.sources import readers, schemas, sinks, versions
 from quillspan.streaming import ingest
 
 
@@ -320,9 +320,9 @@ def test_shards_and_upserts_from_a_stream(spark, sf_dir, tmp_path):
     stream = lambda: ingest.file_stream(spark, f"{sf_dir}/", schemas.EVENT, pattern="events.parquet")
     ingest.run_to_end(ingest.write_shards(stream(), str(tmp_path / "out"), str(tmp_path / "ck"), 400))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
-    ingest.run_to_end(ingest.upsert_stream(stream(), ["user_id"], "event_id", str(tmp_path / "log"), str(tmp_path / "ck2")))
+    ingest.run_to_end(versions.upsert_stream(stream(), ["user_id"], "event_id", str(tmp_path / "log"), str(tmp_path / "ck2")))
     users = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    assert rows(spark.read.parquet(str(tmp_path / "log")).select("user_id", "event_id")) == rows(users)
+    assert rows(versions.read(spark, str(tmp_path / "log"), ["user_id"], "event_id").select("user_id", "event_id")) == rows(users)
 
 
 def test_quantiles_by_group(spark):
