@@ -131,6 +131,22 @@ def shard_numbers(df: DataFrame, order: Sequence[Column], rows: int, name: str =
     return positions(df, order, name).withColumn(name, F.floor(F.col(name) / rows).cast("long"))
 
 
+def zipped(left: DataFrame, right: DataFrame, left_order: Sequence[Column], right_order: Sequence[Column], name: str = "pos") -> DataFrame:
+    """Rows of two tables by position: the first with the first, and so on; where one is longer, nulls. Columns of the two must differ."""
+    a, b = positions(left, left_order, name), positions(right, right_order, name)
+    return a.join(b, name, "full")
+
+
+def restored(rows: DataFrame, chosen: DataFrame, key: str, place: str) -> DataFrame:
+    """``rows`` of the chosen keys in the order in which ``chosen`` (key, ``place``) has them; a key that was chosen twice comes twice."""
+    return chosen.select(key, place).join(rows, key).orderBy(place)
+
+
+def by_count(df: DataFrame, value: str, name: str = "place") -> DataFrame:
+    """Values with how often they occur, ``n``, and their place from 0: the commonest first, equal ones by value."""
+    return positions(df.groupBy(value).agg(F.count("*").alias("n")), [-F.col("n"), F.col(value)], name)
+
+
 def late_fetch(wide: DataFrame, chosen: DataFrame, key: str, *keep: str) -> DataFrame:
     """Wide rows of the chosen keys, with what to order them by; the choice is made on narrow rows first."""
     return wide.join(chosen.select(key, *keep), key)

@@ -12,6 +12,7 @@ from quillspan.functions import sequences as S
 from quillspan.functions import text as T
 from quillspan.functions import vocab
 from quillspan.operators import metrics as M
+from quillspan.operators import rank as R
 
 
 def inventory(df: DataFrame, source: str, seconds: Column, local: Column) -> DataFrame:
@@ -112,3 +113,16 @@ def bucket_counts(df: DataFrame, wer: Column) -> DataFrame:
 
 def first_examples(df: DataFrame, key: str, n: int = 50) -> DataFrame:
     return df.orderBy(key).limit(n)
+
+
+def spot_check(df: DataFrame, key: str, label: str, ref: str, pred: str, k: int, seed: int, compatible: bool = True) -> DataFrame:
+    """A sample of ``k`` rows of each label to be looked at: (label, key, ref, pred, wer, bucket, leading, predicted, is_right), worst word error rate first.
+
+    Rows are chosen before anything is compared. Error rates are without tokens; ``leading`` and ``predicted`` are the first tokens.
+    """
+    some = R.sample_per_group(df.select(key, label, F.col(ref).alias("ref"), F.col(pred).alias("pred")), [label], key, k, seed)
+    parts = lambda c: F.filter(F.split(T.asr_normal(T.canonical_token_text(F.col(c)), compatible), " "), lambda x: x != "")
+    words = some.select("*", parts("ref").alias("_r"), parts("pred").alias("_p"), T.leading_token(T.canonical_token_text(F.col("ref"))).alias("leading"), T.leading_token(T.canonical_token_text(F.col("pred"))).alias("predicted"))
+    wer = S.word_error_rate(S.edit_distance(F.col("_r"), F.col("_p")), F.size("_r"), F.size("_p"))
+    rows = words.withColumn("wer", wer).select(label, key, "ref", "pred", "wer", S.quality_bucket(F.col("wer")).alias("bucket"), "leading", "predicted", F.col("leading").eqNullSafe(F.col("predicted")).alias("is_right"))
+    return rows.orderBy(label, F.desc("wer"), key)

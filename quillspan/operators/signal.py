@@ -73,6 +73,13 @@ def tumbling(df: DataFrame, keys: Sequence[str], pos: str, size: int, least: int
     return df.withColumn("chunk", F.floor(F.col(pos) / size).cast("long")).groupBy(*keys, "chunk").agg(F.count("*").alias("n"), *aggregates).where(F.col("n") >= least)
 
 
+def cut_plan(df: DataFrame, keys: Sequence[str], seconds: str, length: float) -> DataFrame:
+    """(keys..., chunk, start_seconds, end_seconds): a recording in chunks of ``length`` seconds from 0, the last one shorter; none without a duration."""
+    n = F.ceil(F.col(seconds) / length).cast("long")
+    each = df.where(F.col(seconds) > 0).select(*keys, F.col(seconds).cast("double").alias("_s"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk"))
+    return each.select(*keys, "chunk", (F.col("chunk") * length).alias("start_seconds"), F.least(F.col("_s"), (F.col("chunk") + 1) * length).alias("end_seconds"))
+
+
 def sliding_rms(df: DataFrame, keys: Sequence[str], pos: str, value: str, frame: int, hop: int, block: int = BLOCK) -> DataFrame:
     """Root mean square of full frames of ``frame`` rows that start every ``hop`` rows; ``pos`` counts from 0.
 

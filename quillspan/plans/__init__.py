@@ -1,3 +1,3 @@
 """Named queries over the test tables: importing this package fills the registry."""
 
-from quillspan.plans import intake, ordered, payloads, ranking, relational, reporting, scalars, storage, streams  # noqa: F401
+from quillspan.plans import intake, keeping, ordered, payloads, ranking, relational, reporting, scalars, storage, streams  # noqa: F401

@@ -110,23 +110,23 @@ def next_unlabeled_queue(spark: SparkSession, d: str) -> DataFrame:
 select case when l.doc_id is null then 'unlabeled' when l.quality = 0 then 'low_quality' when l.toxic = 1 then 'unknown_emotion:toxic' when n_chars/200.0 >= 20 then 'duration_gte_limit'
   when trim(text) = '' then 'empty_text' else 'kept' end as drop_reason, count(*) as n from documents d left join labels l using (doc_id) group by 1""")
 def drop_reason_counts(spark: SparkSession, d: str) -> DataFrame:
-    return rules.reason_counts(_standin(spark, d), _rules())
+    return rules.reason_counts(token_rows(spark, d), token_set_rules())
 
 
-def _standin(spark: SparkSession, d: str) -> DataFrame:
+def token_rows(spark: SparkSession, d: str) -> DataFrame:
     emotion = F.when(F.col("quality").isNull(), "").when(F.col("quality") == 0, "low_quality").when(F.col("toxic") == 1, "toxic").otherwise("joy")
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     return docs.withColumn("emotion", emotion)
 
 
-def _rules() -> rules.Rules:
+def token_set_rules() -> rules.Rules:
     return rules.token_rules(F.col("emotion"), F.col("text"), F.col("n_chars") / 200.0, F.encode("text", "UTF-8"), 20.0)
 
 
 @query("accepted_rows", """
 select doc_id, source, '<|joy|> ' || trim(text) as target from documents join labels using (doc_id) where quality = 1 and toxic = 0 and n_chars/200.0 < 20 and trim(text) <> ''""")
 def accepted_rows(spark: SparkSession, d: str) -> DataFrame:
-    kept = rules.accepted(_standin(spark, d), _rules())
+    kept = rules.accepted(token_rows(spark, d), token_set_rules())
     return kept.select("doc_id", "source", F.concat(T.token_of_label(F.col("emotion")), F.lit(" "), F.trim("text")).alias("target"))
 
 

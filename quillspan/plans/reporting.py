@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.operators import reports as P
 from quillspan.operators import rules
 from quillspan.plans.registry import query, table
-from quillspan.plans.scalars import _turn_pairs, _turn_words
+from quillspan.plans.scalars import turn_pairs, _turn_words
 
 
 @query("inventory_hours", """
@@ -63,7 +63,7 @@ def split_report(spark: SparkSession, d: str) -> DataFrame:
 def speech_report(spark: SparkSession, d: str) -> DataFrame:
     """Consecutive turns as reference and prediction, each with a label token."""
     tagged = lambda c, k: F.concat(F.lit("<|"), F.get(F.lit(["joy", "fear", "neutral"]), (F.col("conv_id") + k * F.col("turn")) % 3), F.lit("|> "), F.col(c))
-    return P.speech_report(_turn_pairs(spark, d).select(tagged("ref", 0).alias("r"), tagged("pred", 1).alias("p")), "r", "p")
+    return P.speech_report(turn_pairs(spark, d).select(tagged("ref", 0).alias("r"), tagged("pred", 1).alias("p")), "r", "p")
 
 
 @query("wer_buckets")

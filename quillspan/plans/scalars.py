@@ -155,7 +155,7 @@ _PAIRS = r"""
  from (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as nxt from conversations) where nxt is not null)"""
 
 
-def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each turn's whole text with that of the next."""
     from pyspark.sql import Window
 
@@ -165,7 +165,7 @@ def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     ascii_only = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    return _turn_pairs(spark, d).select("conv_id", "turn", ascii_only("ref").alias("ref"), ascii_only("pred").alias("pred"))
+    return turn_pairs(spark, d).select("conv_id", "turn", ascii_only("ref").alias("ref"), ascii_only("pred").alias("pred"))
 
 
 @query("char_error_rate", f"""
@@ -188,7 +188,7 @@ def word_error_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("token_lcs")
 def token_lcs(spark: SparkSession, d: str) -> DataFrame:
-    return _turn_pairs(spark, d).select("conv_id", "turn", S.common_length(T.words(F.col("ref")), T.words(F.col("pred"))).alias("lcs"))
+    return turn_pairs(spark, d).select("conv_id", "turn", S.common_length(T.words(F.col("ref")), T.words(F.col("pred"))).alias("lcs"))
 
 
 @query("span_alignment")

@@ -13,7 +13,7 @@ from quillspan.sources import delivery, directory, versions
 from quillspan.streaming import ingest, state
 
 
-def _in_files(df: DataFrame, path: str, batch: str, batches: int) -> None:
+def in_files(df: DataFrame, path: str, batch: str, batches: int) -> None:
     """One file after another, in the order in which a stream will find them."""
     for i in range(batches):
         df.where(F.col(batch) == i).drop(batch).coalesce(1).write.mode("append").parquet(path)
@@ -30,7 +30,7 @@ def streamed_attempts(spark: SparkSession, d: str) -> DataFrame:
     events = checkpoint_events(spark, d).withColumn("part", F.col("seq") % 4)
     schema = "uuid string, kind string, seq long, ts timestamp_ntz"
     for half in (0, 1):
-        _in_files(events.where(F.floor(F.col("part") / 2) == half).withColumn("part", F.col("part") % 2), f"{path}/in", "part", 2)
+        in_files(events.where(F.floor(F.col("part") / 2) == half).withColumn("part", F.col("part") % 2), f"{path}/in", "part", 2)
         stream = state.attempt_states(_stream(spark, f"{path}/in", schema), 12, late="400 days")
         ingest.run_to_end(state.append_batches(stream, f"{path}/out", f"{path}/checkpoint"))
     return state.latest_states(spark.read.parquet(f"{path}/out")).select("uuid", "state", "attempts")
@@ -53,7 +53,7 @@ def _late(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Arrivals, and the windows' counts of a stream of them."""
     path = fresh(spark, "late")
     rows = _arrivals(spark, d)
-    _in_files(rows, f"{path}/in", "part", 4)
+    in_files(rows, f"{path}/in", "part", 4)
     ingest.run_to_end(state.counted_windows(_stream(spark, f"{path}/in", "event_id long, ts timestamp"), "ts", "6 hours", "1 day", f"{path}/out", f"{path}/checkpoint"))
     return rows, state.kept_counts(spark.read.parquet(f"{path}/out"))
 
@@ -79,7 +79,7 @@ def streamed_pairs(spark: SparkSession, d: str) -> DataFrame:
     path = fresh(spark, "pairs")
     events = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     n = events.agg(F.count("*")).scalar()
-    _in_files(positions(events, [F.col("ts"), F.col("event_id")]).withColumn("part", F.floor(F.col("pos") * 3 / n)).drop("pos"), f"{path}/in", "part", 3)
+    in_files(positions(events, [F.col("ts"), F.col("event_id")]).withColumn("part", F.floor(F.col("pos") * 3 / n)).drop("pos"), f"{path}/in", "part", 3)
     schema = "event_id long, user_id long, ts timestamp, event_type string"
     side = lambda kind, name: _stream(spark, f"{path}/in", schema).where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.col("ts").alias(f"{name}_at"))
     both = state.interval_joined(side("view", "view_id"), side("error", "error_id"), "user_id", "view_id_at", "error_id_at", "2 hours", "1 hour")

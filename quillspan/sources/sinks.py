@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.operators.rank import shard_numbers
+from quillspan.operators.rules import Rules, first_reason
 
 
 def sharded_parquet(df: DataFrame, path: str, rows: int, order: str | None = None) -> None:
@@ -142,6 +143,24 @@ def with_dead_letters(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFra
     return marked.where("error is null").drop("error"), marked.where("error is not null")
 
 
+def write_counted(df: DataFrame, rules: Rules, path: str, names: Sequence[str] | None = None) -> dict[str, int]:
+    """Writes the rows that no rule drops, and gives the rows by first fitting rule, ``kept`` ones too: all in the one pass that writes.
+
+    Rules are counted under ``names``, by default their reasons; one whose reason is an expression needs a name. Counts are observed while rows
+    pass, so the input is read once; a stage that is run again after a loss may count its rows again, ``rules.reason_counts`` never does.
+    """
+    names = list(names) if names else [r for r, _ in rules]
+    if not all(isinstance(n, str) for n in names) or len(names) != len(rules):
+        raise ValueError("each rule needs a name")
+    which = first_reason([(F.lit(n), when) for n, (_, when) in zip(names, rules, strict=True)])
+    seen = Observation()
+    marked = df.withColumn("_why", F.coalesce(which, F.lit("kept")))
+    counted = marked.observe(seen, *[F.count_if(F.col("_why") == n).alias(f"n{i}") for i, n in enumerate([*names, "kept"])])
+    counted.where("_why = 'kept'").drop("_why").write.mode("overwrite").parquet(path)
+    got = seen.get
+    return {n: got[f"n{i}"] for i, n in enumerate([*names, "kept"])}
+
+
 def package_summary(df: DataFrame, source: str, country: str, seconds: Column, payload: Column) -> DataFrame:
     """The one-row summary of a package: rows, sources, countries, hours and bytes."""
     named = lambda c: F.count_distinct(F.nullif(F.col(c), F.lit("")))

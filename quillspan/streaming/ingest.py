@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,35 @@ def run_to_end(query: StreamingQuery) -> None:
         raise RuntimeError(str(query.exception()))
 
 
+def run_until(start: Callable[[Callable[[int], None]], StreamingQuery], rows: int | None = None, stop: Callable[[], bool] | None = None, poll_seconds: float = 0.5) -> int:
+    """Runs a query until it ends, has taken ``rows`` rows, or ``stop`` says so between batches; how many rows it took.
+
+    ``start`` starts the query and is given what each batch has to call with its number of rows. A batch is never cut: the one that reaches the budget is finished, and
+    the next run goes on after it from the checkpoint.
+    """
+    taken = 0
+
+    def took(n: int) -> None:
+        nonlocal taken
+        if rows is not None and taken >= rows or stop is not None and stop():
+            raise _Enough
+        taken += n
+
+    query = start(took)
+    while query.isActive:
+        time.sleep(poll_seconds)
+        if query.isActive and not query.status["isTriggerActive"] and (rows is not None and taken >= rows or stop is not None and stop()):
+            query.stop()  # it waits for input
+    error = query.exception()
+    if error is not None and _Enough.__name__ not in str(error):
+        raise RuntimeError(str(error))
+    return taken
+
+
+class _Enough(Exception):  # noqa: N818
+    """A batch that comes after the last one wanted; it stays unread for the next run."""
+
+
 def retry_selection(manifests: DataFrame, most: int) -> DataFrame:
     """Captured files whose upload is not complete, oldest first, at most ``most``."""
     done = F.coalesce(F.col("gcs.audio_upload.ok"), F.lit(False)) & F.coalesce(F.col("gcs.metadata_upload.ok"), F.lit(False))
