@@ -1,16 +1,16 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and test items become token sequences. Windows of ``least`` tokens that both hold are the seeds; the items'
-windows are a sorted table, joined to each document's windows by binary search. A document's tokens outside seeds can
+Documents and test items become token sequences. Windows of ``least`` tokens that both hold are the seeds: a scan of the documents asks a
+bitmap of fixed size which windows an item may hold, and a join by window hash keeps those that one does. A document's tokens outside seeds can
 be in no tile, so for each item that shares a seed only the runs of seeds are tiled: running Karp-Rabin hashes find the
 longest common stretches of unmarked tokens, these are marked on both sides, and so on down to ``least``. The share of
 the item's tokens under tiles, in whatever order they stand in the document, is its coverage.
+
+Seeds carry their tokens, so no document is shuffled, and neither items nor documents are held by a task or the driver.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.bitmap import FILTER_BITS, collected_bits
 from quillspan.llm.words import mix, small, window_hashes, word_hashes
+from quillspan.scratch import holding, save
 
-#: Tokens of test items that are broadcast at once (some 100 bytes each); more items are taken in blocks of this size.
-BLOCK_TOKENS = 200_000
 #: ASCII letters and digits lowered, all other ASCII bytes to spaces; bytes of other characters stay.
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -103,94 +103,114 @@ def tile(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
         high = low - 1
 
 
-class _Seeds:
-    """The windows of a block of items, by hash, with the items that hold each."""
-
-    def __init__(self, items: list[tuple[int, str]], least: int) -> None:
-        self.least, self.items, hashes, owners = least, [], [], []
-        for item_id, text in items:
-            h = word_hashes(tokens(text))
-            w = window_hashes(h, min(least, len(h))) if len(h) else h
-            owners.append(np.full(len(w), len(self.items)))
-            self.items.append((item_id, h))
-            hashes.append(w)
-        w, o = np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate([np.empty(0, np.int64), *owners])
-        order = np.argsort(w, kind="stable")
-        self.hashes, self.first = np.unique(w[order], return_index=True)
-        self.owners = o[order]
-        self.lengths = sorted({min(least, len(h)) for _, h in self.items if len(h)})
-
-    def tiles(self, h: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(item, its tokens, tiles in the text's own positions) for each item that shares a seed with the text."""
-        where: dict[int, list[int]] = defaultdict(list)
-        for n in self.lengths:
-            w = window_hashes(h, n)
-            at = np.searchsorted(self.hashes, w)
-            at[at == len(self.hashes)] = 0
-            for i in np.nonzero(self.hashes[at] == w)[0].tolist():
-                end = self.first[at[i] + 1] if at[i] + 1 < len(self.first) else len(self.owners)
-                for owner in set(self.owners[self.first[at[i]] : end].tolist()):
-                    if min(self.least, len(self.items[owner][1])) == n:
-                        where[owner].append(i)
-        for owner, starts in sorted(where.items()):
-            item_id, item = self.items[owner]
-            n = min(self.least, len(item))
-            runs: list[list[int]] = []
-            for i in starts:
-                if runs and i <= runs[-1][1]:
-                    runs[-1][1] = i + n
-                else:
-                    runs.append([i, i + n])
-            # runs are laid end to end, with a token between that no text holds
-            parts, back = [], []
-            for k, (s, e) in enumerate(runs):
-                parts += [h[s:e], mix(np.array([k + 1], np.uint64))]
-                back += [*range(s, e), -1]
-            yield item_id, len(item), [(back[i], j, m) for i, j, m in tile(np.concatenate(parts), item, n)]
-
-
-def _match(seeds, num: int, den: int):
+def _items(least: int):
+    """Of each item with tokens: their hashes, the length of its windows, and its distinct windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = seeds.value
         for batch in small(batches):
-            rows, items, covered, sizes, counts, spans = [], [], [], [], [], []
+            hashes = [word_hashes(tokens(t)) for t in batch.column("text").to_pylist()]
+            some = pa.array([i for i, h in enumerate(hashes) if len(h)], pa.int64())
+            hashes = [h for h in hashes if len(h)]
+            n = [min(least, len(h)) for h in hashes]
+            windows = [np.unique(window_hashes(h, k)) for h, k in zip(hashes, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(some) for c in ("item", "item_id")), _lists(hashes), pa.array(n, pa.int32()), _lists(windows)], ["item", "item_id", "tokens", "n", "windows"])
+
+    return run
+
+
+def _lists(x: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, x)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *x]).view(np.int64)))
+
+
+def _seeds(bits, lengths: list[int]):
+    """Of each text the windows that an item may hold: (n, pos, w, toks), toks being the window's tokens."""
+    names = ["n", "pos", "w", "toks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bits.value
+        for batch in small(batches):
+            rows, counts, parts = [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                for item_id, size, found in s.tiles(word_hashes(tokens(text or ""))):
-                    tokens_covered = sum(n for _, _, n in found)
-                    if den * tokens_covered >= num * size:
-                        rows.append(row)
-                        items.append(item_id)
-                        covered.append(tokens_covered)
-                        sizes.append(size)
-                        counts.append(len(found))
-                        spans.append(",".join(f"{i}:{j}:{n}" for i, j, n in sorted(found)))
+                h = word_hashes(tokens(text))
+                found = []
+                for n in lengths:
+                    w = window_hashes(h, n)
+                    low = w & np.uint64(FILTER_BITS - 1)
+                    at = np.flatnonzero(known[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+                    if len(at):
+                        found.append((np.full(len(at), n), at, w[at], h[at[:, None] + np.arange(n)].ravel()))
+                if found:
+                    rows.append(row)
+                    counts.append(sum(len(f[1]) for f in found))
+                    parts += found
+            n, pos, w, toks = (np.concatenate([np.empty(0, np.int64 if i < 2 else np.uint64), *(f[i] for f in parts)]) for i in range(4))
+            each = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(toks.view(np.int64)))
+            hits = pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(pos, pa.int32()), pa.array(w.view(np.int64)), each], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "row")), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), hits)], ["doc_id", "row", "hits"])
+
+    return run
+
+
+def tiles_of_seeds(starts: np.ndarray, toks: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
+    """Tiles, in the text's own positions, of the runs that seeds make: window i, at ``starts[i]``, has the tokens ``toks[i]``."""
+    n = toks.shape[1]
+    runs = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + n]))  # seeds that meet or overlap are one run
+    parts, back = [], []
+    for k, (a, b) in enumerate(zip(runs, [*runs[1:], len(starts)], strict=True)):
+        first, last = int(starts[a]), int(starts[b - 1]) + n
+        run = np.empty(last - first, np.uint64)
+        run[(starts[a:b] - first)[:, None] + np.arange(n)] = toks[a:b]
+        # runs are laid end to end, with a token between that no text holds
+        parts += [run, mix(np.array([k + 1], np.uint64))]
+        back += [*range(first, last), -1]
+    return [(back[i], j, m) for i, j, m in tile(np.concatenate(parts), item, n)]
+
+
+def _match(num: int, den: int):
+    """Rows (doc_id, row, item_id, tokens, seeds) to those whose item is covered enough, with their tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 64):
+            rows, covered, sizes, counts, spans = [], [], [], [], []
+            for row, (item, seeds) in enumerate(zip(batch.column("tokens"), batch.column("seeds"), strict=True)):
+                h, seeds = item.values.to_numpy().view(np.uint64), seeds.values
+                starts, toks = seeds.field("pos").to_numpy().astype(np.int64), seeds.field("toks")
+                found = tiles_of_seeds(starts, toks.flatten().to_numpy().view(np.uint64).reshape(len(starts), -1), h)
+                total = sum(n for _, _, n in found)
+                if den * total >= num * len(h):
+                    rows.append(row)
+                    covered.append(total)
+                    sizes.append(len(h))
+                    counts.append(len(found))
+                    spans.append(",".join(f"{i}:{j}:{n}" for i, j, n in sorted(found)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "row")), *(pa.array(x, pa.int64()) for x in (items, covered, sizes, counts)), pa.array(spans, pa.string())],
+                [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "row", "item_id")), *(pa.array(x, pa.int64()) for x in (covered, sizes, counts)), pa.array(spans, pa.string())],
                 ["doc_id", "row", "item_id", "covered", "item_tokens", "n_tiles", "tiles"],
             )
 
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, num: int = 1, den: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, least: int = 5, num: int = 1, den: int = 2) -> DataFrame:
     """Pairs (doc_id, row, item_id, covered, item_tokens, n_tiles, tiles) with covered/item_tokens >= num/den.
 
     ``docs`` (doc_id, text, ...), ``items`` (item_id, text, ...). ``row`` is a hash of the text. ``tiles`` lists text:item:length in tokens. An item
     shorter than ``least`` tokens is matched whole; one without tokens, or with a null text, matches nothing, and so
-    does a null document. Long repetitive texts take time in proportion to their tokens and the item's lengths of tiles. A pair of repeated rows repeats. Empty tables give no rows. Other columns are not read. Items
-    are the stated query set: they are broadcast in blocks of at most ``block_tokens`` tokens (or one item), each
-    against all documents.
+    does a null document. A null doc_id or item_id stays null in the result. Long repetitive texts take time in proportion to their tokens and the item's lengths of tiles.
+    A pair of repeated rows repeats. Empty tables give no rows. Other columns are not read. Of items the driver sees a bitmap of fixed size and their windows' lengths, ``least`` at most.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sc = docs.sparkSession.sparkContext
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / 4 / block_tokens))
-    out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        seeds = sc.broadcast(_Seeds([tuple(r) for r in part.collect()], least))
-        found = docs.mapInArrow(_match(seeds, num, den), "doc_id long, row long, item_id long, covered long, item_tokens long, n_tiles long, tiles string")
-        out = found if out is None else out.unionByName(found)
-    return out
+    items = items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), text.alias("text"))
+    items = save(items.mapInArrow(_items(least), "item long, item_id long, tokens array<long>, n int, windows array<long>"), "items")
+    windows = items.select("item", "n", F.explode("windows").alias("w"))
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())
+    bits = docs.sparkSession.sparkContext.broadcast(collected_bits(windows, F.col("w")))
+    found = docs.mapInArrow(_seeds(bits, lengths), "doc_id long, row long, hits array<struct<n:int,pos:int,w:bigint,toks:array<bigint>>>")
+    seeded = save(found.withColumn("text_no", F.monotonically_increasing_id()), "seeds")
+    each = seeded.select("text_no", F.explode("hits").alias("s")).select("text_no", "s.*")
+    pairs = each.join(windows, ["n", "w"]).groupBy("text_no", "item").agg(F.array_sort(F.collect_list(F.struct("pos", "toks"))).alias("seeds"))
+    whole = pairs.join(items.select("item", "item_id", "tokens"), "item").join(seeded.select("text_no", "doc_id", "row"), "text_no")
+    out = whole.select("doc_id", "row", "item_id", "tokens", "seeds").mapInArrow(_match(num, den), "doc_id long, row long, item_id long, covered long, item_tokens long, n_tiles long, tiles string")
+    return holding(out, items, seeded)

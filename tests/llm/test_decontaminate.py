@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 from helpers import clashing, docs, odd_docs, plain
 
 from quillspan.llm import decontaminate as D
-from quillspan.llm.words import word_hashes
+from quillspan.llm.words import window_hashes, word_hashes
 
 
 def tiling(text, item, least):
@@ -30,6 +31,14 @@ def tiling(text, item, least):
                 tiles.append((i, j, size))
 
 
+def seed_tiles(text, item, least):
+    """Tiles of one text and one item by way of their seeds."""
+    h, other = word_hashes(D.tokens(text)), word_hashes(D.tokens(item))
+    n = min(least, len(other))
+    starts = np.flatnonzero(np.isin(window_hashes(h, n), window_hashes(other, n)))
+    return sorted(D.tiles_of_seeds(starts, h[starts[:, None] + np.arange(n)], other)) if len(starts) else []
+
+
 def test_tiles_equal_the_plain_algorithm():
     random.seed(5)
     for _ in range(200):
@@ -38,15 +47,12 @@ def test_tiles_equal_the_plain_algorithm():
             k = random.randint(0, len(text))
             text[k:k] = item[len(item) // 2 :] + item[: len(item) // 2]
         least = random.choice([2, 3, 4])
-        seeds = D._Seeds([(7, " ".join(item))], least)
-        got = sorted(x for _, _, tiles in seeds.tiles(word_hashes(D.tokens(" ".join(text)))) for x in tiles)
-        assert got == tiling(text, item, min(least, len(item)))
+        assert seed_tiles(" ".join(text), " ".join(item), least) == tiling(text, item, min(least, len(item)))
 
 
 def test_long_repetitive_text_is_tiled_in_seconds():
     began = time.perf_counter()
-    seeds = D._Seeds([(7, "spam " * 900 + "ham")], 5)
-    got = [x for _, _, tiles in seeds.tiles(word_hashes(D.tokens("spam " * 100_000))) for x in tiles]
+    got = seed_tiles("spam " * 100_000, "spam " * 900 + "ham", 5)
     assert got == [(0, 0, 900)] and time.perf_counter() - began < 10
 
 
@@ -73,9 +79,26 @@ def test_short_null_and_blank_items(spark):
     assert plain(got.select("doc_id", "item_id", "covered")) == [(1, 1, 2)]
 
 
-def test_blocks_give_the_same_pairs(spark, sf_dir):
-    table, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    assert plain(D.contaminated(table, bench, block_tokens=200)) == plain(D.contaminated(table, bench))
+def test_equals_every_text_against_every_item(spark):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    bench = [(i, " ".join(draw.choices(words, k=draw.choice([1, 2, 4, 5, 6, 9, 14])))) for i in range(25)] + [(3, "w1 w2"), (None, "w3 w4 w5")]
+    table = []
+    for i in range(60):
+        parts = [" ".join(draw.choices(words, k=draw.randint(0, 12))) for _ in range(3)]
+        for _ in range(draw.randint(0, 3)):
+            said = draw.choice(bench)[1].split()
+            cut = draw.randint(0, len(said))
+            parts.insert(draw.randint(0, 3), " ".join(said[cut:] + said[:cut]))
+        table.append((i % 50, " ".join(parts), "s"))
+    want = []
+    for doc_id, text, _ in table:
+        for item_id, item in bench:
+            found = tiling(text.split(), item.split(), min(5, len(item.split())))
+            covered = sum(n for _, _, n in found)
+            if 2 * covered >= len(item.split()):
+                want.append((doc_id, item_id, covered, len(item.split()), len(found), ",".join(f"{i}:{j}:{n}" for i, j, n in found)))
+    assert len(want) > 100 and plain(D.contaminated(docs(spark, table), items(spark, bench)).drop("row")) == sorted(want, key=str)
 
 
 def test_odd_rows(spark):
