@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.sequences import edit_distance
 from quillspan.llm.bitmap import maybe_in
-from quillspan.scratch import save
+from quillspan.scratch import holding, release, save
 
 #: Segments of the two rounds.
 COARSE, FINE = 2, 8
@@ -79,8 +79,8 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def _one_edit(near: DataFrame) -> DataFrame:
-    """Pairs (h, g, kept, first) of distinct lines that may be within one edit, the earlier as ``kept``."""
+def _one_edit(near: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (h, g, kept, first) of distinct lines that may be within one edit, the earlier as ``kept``; and tables to release after use."""
     around = _shared(near.select("h", "g", _segment_keys(F.col("line"), F.col("n"), FINE).alias("keys")), ["h", "g"])
     length = F.col("n") - F.col("less")
     spans = around.join(near, ["h", "g"]).select(
@@ -103,11 +103,11 @@ def _one_edit(near: DataFrame) -> DataFrame:
     grown = variants.join(whole, ["key", "n"])
     longer = grown.where("short < first").select("h", "g", F.col("short").alias("kept"), "first")
     shorter = grown.where("first < short").select(F.col("sh").alias("h"), F.col("sg").alias("g"), F.col("first").alias("kept"), F.col("short").alias("first"))
-    return replaced.unionByName(longer).unionByName(shorter)
+    return replaced.unionByName(longer).unionByName(shorter), [variants]
 
 
-def _two_edits(near: DataFrame) -> DataFrame:
-    """Pairs (h, g, kept, first) of distinct lines within two edits, the earlier as ``kept``; a key gives as many as it has lines.
+def _two_edits(near: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (h, g, kept, first) of distinct lines within two edits, the earlier as ``kept``, and tables to release after use; a key gives as many pairs as it has lines.
 
     Any two lines of a group are within two edits of each other, by what the key says:
 
@@ -137,7 +137,7 @@ def _two_edits(near: DataFrame) -> DataFrame:
     found = [with_least(twos, twos, ["key", "i", "j", "n"]), with_least(ones, ones, ["key", "n"])]
     for x, y, by in ((longer, shorter, ["key", "hole", "n"]), (twos, wholes, ["key", "n"])):
         found += [with_least(x, y, by), with_least(y, x, by)]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found), [ones, twos]
 
 
 def duplicate_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None = 1, edits: int = 1) -> DataFrame:
@@ -172,15 +172,19 @@ def duplicate_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
     near = save(thin.join(firsts.select("h", "g", "first", *names), reduce(lambda a, b: a & b, on)).select("h", "g", "first", "line", "n").dropDuplicates(["h", "g"]), "line-near")
 
-    pairs = (_one_edit if edits == 1 else _two_edits)(near).distinct()
+    pairs, variants = (_one_edit if edits == 1 else _two_edits)(near)
+    pairs = pairs.distinct()
     text = near.select("first", F.split("line", " ").alias("w"))
     checked = pairs.join(text, "first").join(text.select(F.col("first").alias("kept"), F.col("w").alias("kept_w")), "kept").where(within_one_edit(F.col("w"), F.col("kept_w")) if edits == 1 else edit_distance(F.col("w"), F.col("kept_w")) <= edits)
     keepers = checked.groupBy("h", "g").agg(F.min("kept").alias("kept"))
     judged = save(classes.join(keepers, ["h", "g"], "left").where("kept is not null or first < last").select("h", "g", "first", F.coalesce("kept", "first").alias("kept")), "line-judged")
-    return (
+    for table in (classes, firsts, near, *variants):
+        release(table)
+    out = (
         lines.drop("keys").join(judged, ["h", "g"]).where(~((F.col("kept") == F.col("first")) & (F.struct("doc_id", "line_no", "row") == F.col("first"))))
         .select(*place, F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
     )
+    return holding(out, lines, judged)
 
 
 def drop_duplicate_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None = 1, edits: int = 1) -> DataFrame:
@@ -189,7 +193,8 @@ def drop_duplicate_lines(docs: DataFrame, min_words: int = 5, exact_words: int |
     A row none of whose lines stays goes, unless its text had no line to drop. Rows that repeat both doc_id and text are
     treated alike. Needs the columns doc_id and text.
     """
-    drops = duplicate_lines(docs, min_words, exact_words, edits).groupBy(F.col("doc_id").alias("__dropped_id"), F.col("row").alias("__dropped_row")).agg(F.collect_set("line_no").alias("__dropped_lines"))
+    found = duplicate_lines(docs, min_words, exact_words, edits)
+    drops = found.groupBy(F.col("doc_id").alias("__dropped_id"), F.col("row").alias("__dropped_row")).agg(F.collect_set("line_no").alias("__dropped_lines"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__dropped_id")) & (F.xxhash64(text) == F.col("__dropped_row")), "left")
     lines = F.split(F.col("text"), "\n")
@@ -199,4 +204,4 @@ def drop_duplicate_lines(docs: DataFrame, min_words: int = 5, exact_words: int |
     out = joined.withColumn("text", new).where(F.col("__dropped_lines").isNull() | F.col("text").rlike("[^ \\t-\\r]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__dropped_lines").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return holding(out.select(*docs.columns), *found._holds)
