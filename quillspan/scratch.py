@@ -10,7 +10,9 @@ import atexit
 import contextlib
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Lets Spark drop a write's shuffle files when it is over; without it they stay until the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writes, _before = threading.Lock(), [0], ["false"]
 
 
 def fresh(spark: SparkSession, tag: str) -> str:
@@ -40,6 +43,23 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While any write of ours runs its shuffle files go with it; the first of several at once sets that, the last puts back what was set before."""
+    with _lock:
+        _writes[0] += 1
+        if _writes[0] == 1:
+            _before[0] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _writes[0] -= 1
+            if _writes[0] == 0:
+                spark.conf.set(CLEANUP, _before[0])
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back.
 
@@ -47,12 +67,8 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh(spark, tag)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     for used in getattr(df, "_holds", ()):
         release(used)
     table = spark.read.schema(df.schema).parquet(path)
