@@ -215,7 +215,7 @@ def interval_match_tolerance(spark: SparkSession, d: str) -> DataFrame:
 _SWEEP = (30.0, 60.0, 90.0)
 
 
-@query("boundary_sweep", f"""
+_SWEEP_SQL = f"""
 with recursive t as (select unnest([30.0, 60.0, 90.0])::double as threshold),
 act as (select threshold, user_id, pos, value, pos - row_number() over (partition by threshold, user_id order by pos) as island from {_POS}, t where value >= threshold),
 pk as (select threshold, user_id, pos, row_number() over (partition by threshold, user_id, island order by value desc, pos) as rn from act),
@@ -224,14 +224,17 @@ ev as (select threshold, user_id, pos, false as is_ref from pk where rn = 1 unio
 c as (select threshold, count(*) filter (where is_ref) as reference_boundaries, count(*) filter (where not is_ref) as predicted_boundaries from ev group by 1),
 h as (select threshold, count(pred) as matched_boundaries from m group by 1),
 r as (select *, coalesce(matched_boundaries::double / nullif(predicted_boundaries, 0), 0) as precision, coalesce(matched_boundaries::double / nullif(reference_boundaries, 0), 0) as recall from c join h using (threshold))
-select threshold, reference_boundaries, predicted_boundaries, matched_boundaries, round(precision, 6) as precision, round(recall, 6) as recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) as f1 from r""")
+select threshold, reference_boundaries, predicted_boundaries, matched_boundaries, round(precision, 6) as precision, round(recall, 6) as recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) as f1 from r"""
+
+
+@query("boundary_sweep", _SWEEP_SQL)
 def boundary_sweep(spark: SparkSession, d: str) -> DataFrame:
     rows = _pos(spark, d)
     out = B.boundary_metrics(rows.select("user_id", "pos", "value"), rows.where("event_type = 'error'").select("user_id", "pos"), ["user_id"], "pos", "value", _SWEEP, 2)
     return out.select("threshold", "reference_boundaries", "predicted_boundaries", "matched_boundaries", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("boundary_best")
+@query("boundary_best", f"select * from ({_SWEEP_SQL}) order by f1 desc, recall desc, precision desc, threshold limit 1")
 def boundary_best(spark: SparkSession, d: str) -> DataFrame:
     """The sweep's best row by F1, recall and precision, the lowest threshold on ties."""
     return M.best_threshold(boundary_sweep(spark, d))
