@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.scan import scan
 from quillspan.scratch import save
 
 
@@ -176,11 +177,12 @@ def order_statistics(df: DataFrame, value: str, at: dict[str, Callable[[Column],
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Quantiles by group with linear interpolation, from counts of distinct values, so that no buffer holds a group's values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    placed = save(cumulative(counts, [*[F.col(k) for k in keys], F.col(value)], "_c", "_first"), "quantiles")
-    groups = placed.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.min("_first").alias("_start"), F.sum("_c").alias("_n"))
+    there = df.where(F.col(value).isNotNull())
+    counts = there.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    placed = scan(counts, keys, [F.col(value)], sums={"_upto": F.col("_c")}).withColumn("_at", F.col("_upto") - F.col("_c"))
+    groups = there.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.count("*").alias("_n"))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    both = placed.join(groups, on).withColumn("_at", F.col("_first") - F.col("_start"))
+    both = placed.join(groups, on)
     place = {name: (F.col("_n") - 1) * share for name, share in shares.items()}
     holds = lambda i: (F.col("_at") <= i) & (i < F.col("_at") + F.col("_c"))
     ends = [F.max(F.when(holds(f(p)), F.col(value))).alias(f"_{name}_{side}") for name, p in place.items() for side, f in (("low", F.floor), ("high", F.ceil))]

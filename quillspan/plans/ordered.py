@@ -9,7 +9,7 @@ from quillspan.operators import boundaries as B
 from quillspan.operators import metrics as M
 from quillspan.operators import sequential
 from quillspan.operators import signal as G
-from quillspan.operators.rank import ranked
+from quillspan.operators.scan import scan
 from quillspan.plans.registry import query, table
 from quillspan.plans.relational import SCORED_SQL, scored
 from quillspan.streaming import ingest
@@ -18,8 +18,8 @@ _POS = "(select user_id, event_id, event_type, value, ts, row_number() over (par
 
 
 def _pos(spark: SparkSession, d: str) -> DataFrame:
-    rows = ranked(table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")], "rn")
-    return rows.select("user_id", "event_id", "event_type", "value", "ts", (F.col("rn") - 1).cast("long").alias("pos"))
+    rows = scan(table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")], sums={"n": F.lit(1)})
+    return rows.select("user_id", "event_id", "event_type", "value", "ts", (F.col("n") - 1).alias("pos"))
 
 
 @query("boundary_events_islands", f"""

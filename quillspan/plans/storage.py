@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import intake as I
 from quillspan.operators import labels as L
+from quillspan.operators import rank as R
 from quillspan.operators.rank import positions
 from quillspan.plans.registry import query, table
 from quillspan.scratch import fresh
-from quillspan.sources import directory, readers, schemas, sinks, versions
+from quillspan.sources import cards, directory, readers, schemas, sinks, versions
 from quillspan.streaming import ingest
 
 
@@ -21,7 +22,7 @@ def catalog_scan(spark: SparkSession, d: str) -> DataFrame:
     path = fresh(spark, "catalog")
     rows = table(spark, d, "pages").select(F.concat(F.lit("s"), k).alias("id"), F.when(k % 3 == 0, "ok").otherwise("refused").alias("rights_status"), F.struct(F.when(k % 2 == 0, 44100).alias("sample_rate_hz")).alias("probe"), (k % 4).alias("file"))
     rows.groupBy("file").agg(F.to_json(F.collect_list(F.struct("id", "rights_status", "probe"))).alias("value")).repartition("file").write.partitionBy("file").text(path)
-    ids = [r["id"] for r in rows.where("cast(substr(id, 2) as int) % 2 = 0").select("id").collect()]  # the wanted ids are a parameter
+    ids = rows.where("cast(substr(id, 2) as int) % 2 = 0")
     return readers.choose_sources(readers.catalog(spark, path), ids, ["ok"]).select("id", "rights_status", F.col("probe.sample_rate_hz").alias("rate"))
 
 
@@ -248,3 +249,50 @@ def upload_retries(spark: SparkSession, d: str) -> DataFrame:
     ok = F.struct((F.col("event_type") == "purchase").alias("ok"))
     rows = table(spark, d, "events").select("event_id", F.struct(F.col("ts").cast("string").alias("started_at")).alias("capture"), F.struct(F.format_string("%012d", "event_id").alias("metadata_path")).alias("local"), F.struct(ok.alias("audio_upload"), ok.alias("metadata_upload")).alias("gcs"))
     return ingest.retry_selection(rows, 15).select("event_id")
+
+
+@query("latest_annotations", """
+with r as (select 'i' || user_id as iu_id, case event_id % 5 when 0 then 'codex-x' else 'ann' || event_id % 3 end as annotator, event_type as emotion, case when event_id % 11 = 0 then null else ts end as stamp, event_id as seq from events where user_id % 10 <> 0)
+select iu_id, annotator, emotion from r where not starts_with(annotator, 'codex-') qualify row_number() over (partition by iu_id order by stamp desc nulls last, seq desc) = 1""")
+def latest_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """The last annotation of each item by people; stamps that cannot be read come first."""
+    k = F.col("event_id")
+    log = table(spark, d, "events").select(
+        F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("i"), "user_id")).otherwise("").alias("iu_id"), F.when(k % 5 == 0, "codex-x").otherwise(F.concat(F.lit("ann"), k % 3)).alias("annotator"),
+        F.col("event_type").alias("emotion"), F.when(k % 11 == 0, "soon").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("updated_at"), k.alias("seq"),
+    )
+    return L.latest_annotations(log).select("iu_id", "annotator", "emotion")
+
+
+@query("payload_scan", "select doc_id, case doc_id % 3 when 0 then md5(text) when 1 then 'absent' else md5('') end as payload_md5 from documents")
+def payload_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A row's payload: its own bytes, else what the file at its path holds, else none."""
+    docs, k = table(spark, d, "documents"), F.col("doc_id")
+    files = docs.where(k % 3 == 2).select(F.concat(F.lit("f"), k).alias("path"), F.encode(F.lit(""), "UTF-8").alias("content"))
+    audio = F.struct(F.when(k % 3 == 0, F.encode("text", "UTF-8")).alias("bytes"), F.concat(F.lit("f"), k).alias("path"))
+    return readers.with_payload(docs.select("doc_id", audio.alias("audio")), files).select("doc_id", F.coalesce(F.md5("payload"), F.lit("absent")).alias("payload_md5"))
+
+
+_CARD = {"language": ["en", "de"], "license": "other"}
+
+
+@query("sampled_card", r"""
+with r as (select source, doc_id, n_chars, strlen(text) as b, row_number() over (partition by source order by md5('7|' || doc_id), doc_id) as rn from documents),
+p as (select * from r where rn <= 5), g as (select source, count(*) as n, count(*) filter (where rn <= 5) as s from r group by 1)
+select '---' || chr(10) || 'language:' || chr(10) || '  - en' || chr(10) || '  - de' || chr(10) || 'license: other' || chr(10) || '---' || chr(10) || chr(10) || '# Sample' || chr(10) || chr(10) || 'Five documents of each source.' || chr(10) || chr(10) ||
+  '## Contents' || chr(10) || chr(10) || (select '- Rows: ' || count(*) || chr(10) || '- Rows wanted of each group: 5' || chr(10) || printf('- Hours: %.3f', sum(n_chars)::double / 3600) || chr(10) || printf('- Payload: %.1f MB', sum(b)::double / 1000000) || chr(10) || '- Seed: 7' from p) || chr(10) || chr(10) ||
+  '## Groups' || chr(10) || chr(10) || (select string_agg(printf('- `%s`: %d selected / %d available', source, s, n), chr(10) order by source) from g) || chr(10) || chr(10) || '## Columns' || chr(10) || chr(10) ||
+  '- `doc_id`: bigint' || chr(10) || '- `source`: string' || chr(10) || '- `n_chars`: bigint' || chr(10) || '- `text`: string' as card""")
+def sampled_card(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("long").alias("n_chars"), "text")
+    picked = R.sample_per_group(docs, ["source"], "doc_id", 5, 7)
+    return cards.sample_card("Sample", _CARD, "Five documents of each source.", picked, docs, "source", F.col("n_chars"), F.octet_length("text"), 5, 7)
+
+
+@query("unit_card", r"""
+select '---' || chr(10) || 'language:' || chr(10) || '  - en' || chr(10) || '  - de' || chr(10) || 'license: other' || chr(10) || '---' || chr(10) || chr(10) || '# Units' || chr(10) || chr(10) || 'Turns by role.' || chr(10) || chr(10) ||
+  '## Contents' || chr(10) || chr(10) || (select '- Rows: ' || count(*) || chr(10) || '- Labels: ' || count(distinct role) || chr(10) || printf('- Hours: %.3f', sum(length(text)) / 15.0::double / 3600) from conversations) || chr(10) || chr(10) ||
+  '## Labels' || chr(10) || chr(10) || (select string_agg(printf('- `%s`: %d rows, %.3f hours', role, n, s / 15.0::double / 3600), chr(10) order by role) from (select role, count(*) as n, sum(length(text)) as s from conversations group by 1)) || chr(10) || chr(10) ||
+  '## Columns' || chr(10) || chr(10) || '- `role`: string' || chr(10) || '- `text`: string' as card""")
+def unit_card(spark: SparkSession, d: str) -> DataFrame:
+    return cards.unit_card("Units", _CARD, "Turns by role.", table(spark, d, "conversations").select("role", "text"), "role", F.length("text") / 15.0)

@@ -12,7 +12,7 @@ from quillspan.functions import dates
 from quillspan.functions import numbers as N
 from quillspan.functions import text as T
 from quillspan.operators.rank import latest_per_key
-from quillspan.sources import schemas
+from quillspan.sources import schemas, versions
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -20,9 +20,11 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CATALOG).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def choose_sources(sources: DataFrame, ids: Sequence[str] = (), rights: Sequence[str] = ()) -> DataFrame:
-    """Sources by id and by rights; without allowed rights none is chosen."""
+def choose_sources(sources: DataFrame, ids: Sequence[str] | DataFrame = (), rights: Sequence[str] = ()) -> DataFrame:
+    """Sources by id, a few named or a table of them, and by rights; without allowed rights none is chosen."""
     chosen = sources.where(F.col("rights_status").isin(*rights)) if rights else sources.limit(0)
+    if isinstance(ids, DataFrame):
+        return chosen.join(ids.select("id"), "id", "left_semi")
     return chosen.where(F.col("id").isin(*ids)) if ids else chosen
 
 
@@ -114,9 +116,9 @@ def jsonl_log(spark: SparkSession, path: str, schema: str, key: str, seq: str =
 
 
 def checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """The completed recordings of a checkpoint file, with their key."""
+    """The completed recordings of a checkpoint document, with their key: the newest version at ``path``, or the file that it is."""
     schema = f"completed map<string, struct<{schemas.RECORDING.replace(' struct', ':struct').replace(' string', ':string').replace(' double', ':double').replace(' bigint', ':bigint').replace(' boolean', ':boolean')}>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", True).json(versions.folders(spark, path) or path)
     return raw.select(F.explode("completed").alias("uuid", "r")).select("uuid", "r.*")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators.rank import shard_numbers
 from quillspan.operators.rules import Rules, first_reason
+from quillspan.sources import versions
 
 
 def sharded_parquet(df: DataFrame, path: str, rows: int, order: str | None = None) -> None:
@@ -58,16 +59,31 @@ def write_json_document(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"could not move {path}.tmp to its place")
 
 
+def checkpoint_lines(state: DataFrame, results: DataFrame, started_at: str, config: dict | None = None) -> DataFrame:
+    """A checkpoint document in lines (section, uuid, value), one for each key: results (uuid, ...) of the completed, failures, and keys in progress."""
+    failed = state.where("state in ('failed', 'retry') and attempts > 0").select("uuid", F.to_json(F.struct("attempts")).alias("value"))
+    done = results.select("uuid", F.to_json(F.struct(*[c for c in results.columns if c != "uuid"])).alias("value"))
+    started = state.where("state = 'in_progress'").select("uuid", F.lit(None).cast("string").alias("value"))
+    end = json.dumps({"started_at": started_at, "config": config or {}}, sort_keys=True)[1:]
+    marks = [(0, '{"completed": {'), (2, '}, "failed": {'), (4, '}, "in_progress": ['), (6, "], " + end)]
+    out = state.sparkSession.createDataFrame([(n, "", text) for n, text in marks], "section int, uuid string, value string")
+    for n, rows in ((1, done), (3, failed), (5, started)):
+        first = F.coalesce(rows.agg(F.min("uuid")).scalar(), F.lit(""))
+        name = F.expr("substr(to_json(array(uuid)), 2, length(to_json(array(uuid))) - 2)")
+        entry = F.concat(F.when(F.col("uuid") == first, "").otherwise(","), name, F.coalesce(F.concat(F.lit(": "), "value"), F.lit("")))
+        out = out.unionByName(rows.select(F.lit(n).alias("section"), "uuid", entry.alias("value")))
+    return out
+
+
 def write_checkpoint(state: DataFrame, results: DataFrame, path: str, started_at: str, config: dict | None = None) -> None:
-    """The state of keys (uuid, state, attempts) and results (uuid, ...) as one JSON document with sorted keys, replaced at once.
+    """The state of keys (uuid, state, attempts) and their results as one JSON document with sorted keys, a new version at ``path``.
 
-    It is the driver's own small file of a capture run, as ``readers.checkpoint`` reads it; larger states stay tables.
+    Tasks make the document's lines and one writes them in order, so it does not pass through the driver; until it is whole, the version before is what
+    ``readers.checkpoint`` reads.
     """
-    done = {r["uuid"]: json.loads(r["r"]) for r in results.select("uuid", F.to_json(F.struct(*[c for c in results.columns if c != "uuid"])).alias("r")).toLocalIterator()}
-    rows = [r.asDict() for r in state.toLocalIterator()]
-    failed = {r["uuid"]: {"attempts": r["attempts"]} for r in rows if r["state"] in ("failed", "retry") and r["attempts"]}
-    document = {"completed": done, "failed": failed, "in_progress": sorted(r["uuid"] for r in rows if r["state"] == "in_progress"), "started_at": started_at, "config": config or {}}
-    write_json_document(state.sparkSession, path, json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False))
+    lines = checkpoint_lines(state, results, started_at, config)
+    ordered = lines.repartitionByRange(1, "section", "uuid").sortWithinPartitions("section", "uuid").select("value")
+    versions.swap(state.sparkSession, path, lambda folder: ordered.write.text(folder))
 
 
 def write_package(df: DataFrame, path: str, rows: int, order: str, summary: DataFrame) -> None:

@@ -113,3 +113,25 @@ def test_stop_signal_between_batches(spark, tmp_path):
     assert ingest.run_until(start, stop=lambda: len(told) >= 1) == 10 and told == [0]
     assert ingest.run_until(start, stop=lambda: len(told) >= 3) == 20
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(30))
+
+
+def test_checkpoint_document_is_json_in_versions(spark, tmp_path):
+    import json
+
+    from quillspan.operators import labels as L
+    from quillspan.sources import readers
+
+    path = f"file://{tmp_path}/checkpoint"
+    events = [('a"b\\', "completed", 1), ("ü", "completed", 2), ("c", "failed", 1), ("d", "failed", 1), ("d", "failed", 2), ("e", "started", 1), ("f", "started", 2)]
+    state = L.checkpoint_state(spark.createDataFrame(events, "uuid string, kind string, seq long"), 2)
+    results = spark.createDataFrame([('a"b\\', "x/1", 2.5), ("ü", "line\nbreak", None)], "uuid string, filepath string, duration_actual double")
+    none = state.limit(0), results.limit(0)
+    sinks.write_checkpoint(*none, path, "then")
+    assert readers.checkpoint(spark, path).isEmpty()
+    sinks.write_checkpoint(state, results, path, "now", {"max_retries": 2})
+    text = "".join(r.value + "\n" for r in spark.read.text(versions.folders(spark, path)).collect())
+    assert json.loads(text) == {
+        "completed": {'a"b\\': {"filepath": "x/1", "duration_actual": 2.5}, "ü": {"filepath": "line\nbreak"}}, "failed": {"c": {"attempts": 1}, "d": {"attempts": 2}},
+        "in_progress": ["e", "f"], "started_at": "now", "config": {"max_retries": 2},
+    }
+    assert {r.uuid: (r.filepath, r.duration_actual) for r in readers.checkpoint(spark, path).collect()} == {'a"b\\': ("x/1", 2.5), "ü": ("line\nbreak", None)}
