@@ -13,11 +13,6 @@ def iso_date(c: Column) -> Column:
     return F.when(parsed.isNotNull() & text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(text, 1, 10)).when(F.length(text) >= 10, F.substring(text, 1, 10)).otherwise("unknown-date")
 
 
-def first_date(*stamps: Column) -> Column:
-    """The date of the first stamp that can be read, or null."""
-    return F.coalesce(*[F.when(F.try_to_timestamp(s).isNotNull(), F.substring(s, 1, 10)) for s in stamps])
-
-
 def iso_timestamp(c: Column) -> Column:
     """The instant; without an offset it is UTC; what cannot be read comes before all else."""
     return F.coalesce(F.try_to_timestamp(c), F.lit("0001-01-01 00:00:00").cast("timestamp"))

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions import dates
+from quillspan.operators import metrics as M
 from quillspan.operators import rank as R
 from quillspan.operators import reports as P
 from quillspan.operators import signal as G
 from quillspan.operators.intake import migrated_annotations
+from quillspan.plans.ordered import _PRED, prf_summary
 from quillspan.plans.registry import query, table
 from quillspan.plans.relational import token_rows, token_set_rules
 from quillspan.plans.scalars import turn_pairs
 from quillspan.plans.streams import in_files
 from quillspan.scratch import fresh
-from quillspan.sources import sinks
+from quillspan.sources import readers, sinks
 from quillspan.sources.store import Store, Table
 from quillspan.streaming import ingest
 
@@ -141,3 +144,39 @@ def budgeted_stream(spark: SparkSession, d: str) -> DataFrame:
     ingest.run_until(start(1), rows=budget)
     ingest.run_until(start(2))
     return spark.read.parquet(f"{path}/out").select("event_id", "run")
+
+
+@query("first_examples", "select conv_id, turn, length(text) as chars from conversations order by conv_id, turn limit 50")
+def first_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty examples of a report, by their key."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("chars"), F.struct("conv_id", "turn").alias("key"))
+    return P.first_examples(turns, "key").drop("key")
+
+
+@query("gated_metrics", f"""
+with p as (select label, {_PRED} as p from embeddings) select round(avg((label = p)::int), 6) as accuracy, true as passed, true as stopped from p""")
+def gated_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A run's metrics against what is required of them: the gate lets them pass, and stops them where more is asked than they reach."""
+    metrics = prf_summary(spark, d).first().asDict()
+    M.require(metrics, {"accuracy": 0.05, "macro_f1": 0.01})
+    try:
+        M.require(metrics, {"accuracy": 1.01})
+        stopped = False
+    except ValueError:
+        stopped = True
+    return prf_summary(spark, d).select("accuracy", F.lit(True).alias("passed"), F.lit(stopped).alias("stopped"))
+
+
+@query("path_stamps", "select event_id, strftime(ts, '%Y%m%dT%H%M%SZ') as stamp from events")
+def path_stamps(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", dates.path_stamp(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
+@query("first_audio_stream", "select page_id, case when page_id % 3 < 2 then cast(8000 * (1 + page_id % 3) as int) end as rate from pages")
+def first_audio_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The first audio stream of a probe that also lists a picture; null where there is no audio."""
+    k = F.col("page_id")
+    stream = lambda kind, rate: F.struct(kind.alias("codec_type"), rate.cast("int").alias("rate"))
+    audio = F.when(k % 3 < 2, "audio").otherwise("data")
+    probe = F.struct(F.array(stream(F.lit("video"), F.lit(1)), stream(audio, 8000 * (1 + k % 3)), stream(audio, F.lit(5))).alias("streams"))
+    return table(spark, d, "pages").select("page_id", probe.alias("probe")).select("page_id", readers.first_audio(F.col("probe"))["rate"].alias("rate"))

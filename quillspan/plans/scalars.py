@@ -21,7 +21,7 @@ def text_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(clean).alias("clean_md5"), F.length(clean).cast("long").alias("chars"))
 
 
-@query("deep_clean")
+@query("deep_clean", r"select doc_id, md5(trim(regexp_replace(nfc_normalize(text), '[ \t\n\r\f\v]+', ' ', 'g'))) as clean_md5 from documents")
 def deep_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.deep_clean(F.col("text"))).alias("clean_md5"))
 
@@ -206,7 +206,7 @@ def span_alignment(spark: SparkSession, d: str) -> DataFrame:
 select doc_id, md5(trim(regexp_replace(translate(lower(trim(regexp_replace(regexp_replace(text, '<\|(?:neutral|low_quality|joy|surprise|sadness|anger|disgust|fear)\|>', ' ', 'g'), '\s+', ' ', 'g'))),
   '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g'))) as norm_md5 from documents""")
 def asr_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(T.asr_normal(F.col("text"), compatible=False)).alias("norm_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.asr_normal(F.col("text"))).alias("norm_md5"))
 
 
 @query("unit_split", r"""

@@ -9,7 +9,7 @@ from quillspan.operators.rank import positions
 from quillspan.plans.registry import query, table
 from quillspan.plans.relational import _KIND_SQL, _STATE_SQL, checkpoint_events
 from quillspan.scratch import fresh
-from quillspan.sources import delivery, directory, versions
+from quillspan.sources import delivery, directory, sinks, versions
 from quillspan.streaming import ingest, state
 
 
@@ -127,12 +127,17 @@ def delivery_retries(spark: SparkSession, d: str) -> DataFrame:
     return delivery.retries(docs, "doc_id", delivery.statuses(spark, path)).select("doc_id")
 
 
-@query("swapped_package", "select source, count(*) as n, sum(n_chars) as chars from documents group by 1")
+@query("swapped_package", "select source, count(*) as n, sum(n_chars) as chars, (select count(*) from documents) as told from documents group by 1")
 def swapped_package(spark: SparkSession, d: str) -> DataFrame:
-    """A package put in place of an older one in one step, after a write that broke off."""
+    """A package put in place of an older one in one step, beside what a write that broke off has left."""
     path = fresh(spark, "swapped")
-    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    versions.swap(spark, path, lambda folder: docs.where("doc_id % 2 = 0").write.parquet(folder))
-    versions.swap(spark, path, lambda folder: docs.write.parquet(folder))
-    docs.limit(3).write.parquet(f"{path}/snapshot-broken")
-    return versions.read(spark, path).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    summary = lambda df: sinks.package_summary(df, "source", "lang", F.col("n_chars"), F.encode("source", "UTF-8"))
+    some = docs.where("doc_id % 2 = 0")
+    sinks.swap_package(some, path, 300, "doc_id", summary(some))
+    folder = sinks.swap_package(docs, path, 300, "doc_id", summary(docs))
+    docs.limit(3).write.parquet(f"{path}/snapshot-broken/data")  # a stand-in for a broken write, of any size
+    if versions.folders(spark, path) != [folder]:
+        raise ValueError("a broken write took the place of a package")
+    told = spark.read.schema("rows bigint").json(f"{folder}/summary.json").agg(F.max("rows")).scalar()
+    return spark.read.parquet(f"{folder}/data").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).withColumn("told", told)

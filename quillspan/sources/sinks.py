@@ -92,6 +92,12 @@ def write_package(df: DataFrame, path: str, rows: int, order: str, summary: Data
     write_json_document(df.sparkSession, f"{path}/summary.json", summary.toJSON().first() or "{}")
 
 
+def swap_package(df: DataFrame, path: str, rows: int, order: str, summary: DataFrame) -> str:
+    """A package as ``write_package`` makes it, in place of the one at ``path`` once it is whole; its folder. The one before stays until it is cleared away."""
+    versions.swap(df.sparkSession, path, lambda folder: write_package(df, folder, rows, order, summary))
+    return versions.folders(df.sparkSession, path)[0]
+
+
 def dataset_info(rows: DataFrame, language: str = "language", country: str = "country", seconds: str = "duration_seconds") -> DataFrame:
     """One row on a metadata table: rows, hours, and its languages and countries in order; both are small vocabularies."""
     names = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))

@@ -70,3 +70,19 @@ def test_distances_with_many_distinct_words(spark):
     assert df.where("size(a) > 100").select(common_length(F.col("a"), F.col("b"))).first()[0] == len(b)
     few = spark.createDataFrame([([f"w{i}" for i in range(3000)], [f"w{i}" for i in range(3000) if i % 100])], "a array<string>, b array<string>")
     assert few.select(edit_distance(F.col("a"), F.col("b"))).first()[0] == 30
+
+
+def test_span_alignment_equals_every_start_tried(spark, sf_dir):
+
+    from test_functions import plain_span
+
+    words = lambda s: [w.lower() for w in re.findall(r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?", s)]
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        cursor, said = 0, words(r.text)
+        for i, unit in enumerate(u for u in re.split(r"[.\n]+", r.text) if u.strip(" ")):
+            start, end, score, method = plain_span(words(unit), said, cursor)
+            cursor = max(cursor, end)
+            want[f"{r.conv_id}/{r.turn}", i] = (start, end, score, method)
+    got = registry.QUERIES["span_alignment"](spark, sf_dir).collect()
+    assert {(r.key, r.unit_no): (r.start_word, r.end_word, r.score, r.method) for r in got} == want and len(got) == len(want)
