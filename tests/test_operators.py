@@ -202,7 +202,7 @@ def pack_one_by_one(rows, least, most, target, longest, gap):
 
 
 @pytest.mark.parametrize(("n", "block", "fan"), [(0, 8, 2), (1, 8, 2), (2, 8, 2), (300, 7, 3), (300, 1000, 4), (301, 1, 5)])
-def test_one_ordered_packing(spark, n, block, fan):
+def test_one_ordered_packing(spark, many_parts, n, block, fan):
     import hashlib
     import random
 
@@ -218,7 +218,16 @@ def test_one_ordered_packing(spark, n, block, fan):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
-def test_running_values_of_a_hot_key(spark):
+@pytest.fixture
+def many_parts(spark):
+    """Small tables are dealt out to as many parts as large ones."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_running_values_of_a_hot_key(spark, many_parts):
     """One key has all rows but a few; parts stay small, and the values are those of one pass."""
     from pyspark.sql import Window
 
@@ -362,7 +371,7 @@ def test_near_join_equals_the_comparison_of_all(spark):
     assert got == {(i, j) for k, i, x in left for m, j, y in right if k == m and x <= y <= x + i / 20 - 0.2}
 
 
-def test_matches_in_stretches_equal_one_pass(spark):
+def test_matches_in_stretches_equal_one_pass(spark, many_parts):
     import random
 
     from quillspan.operators import sequential
