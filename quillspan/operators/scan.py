@@ -1,6 +1,7 @@
 """Running values along each key's order, for keys that may be too large for one task.
 
 Rows are dealt out by range of (key, order) and written with the number of their part, so a key's rows lie in as many parts as they need.
+Where no key has more rows than a task may hold, which is counted first, plain windows give the same without writing anything.
 Each part is scanned by itself; what it hands on (its sums, its first and last row) is a row for each key and part, and these are
 scanned in turn. Putting both together gives every row what one pass over its key would.
 """
@@ -17,20 +18,36 @@ from quillspan.scratch import save
 
 Named = Mapping[str, Column]
 
+#: Rows of a key, at most, that are scanned by one task.
+TASK_ROWS = 1_000_000
+
 
 def parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """``df`` dealt out by range and written, with the number of each row's part in ``_part``."""
     return save(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "scan")
 
 
-def scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Named | None = None, before: Named | None = None, after: Named | None = None) -> DataFrame:
+def fits(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether each key's rows are few enough for one task; counts them."""
+    return (df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= TASK_ROWS
+
+
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Named | None = None, before: Named | None = None, after: Named | None = None, small: bool | None = None) -> DataFrame:
     """``df`` with more columns: ``sums`` up to and with the row, and values of the row ``before`` and the row ``after`` it, null where there is none.
 
-    ``order`` is ascending and ends with a unique key. A null to be summed counts as nothing; rows of a null key are a group.
+    ``order`` is ascending and ends with a unique key. A null to be summed counts as nothing; rows of a null key are a group. ``small`` is what ``fits`` says, for
+    callers that have asked already.
     """
     sums, before, after = sums or {}, before or {}, after or {}
     asked = [(f"_{kind}_{name}", c) for kind, named in (("sum", sums), ("before", before), ("after", after)) for name, c in named.items()]
     placed = df.select("*", *[c.alias(n) for n, c in asked], F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_order"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+
+    if fits(df, keys) if small is None else small:
+        line = Window.partitionBy(*keys).orderBy("_order")
+        whole = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return placed.select(*df.columns, *[zero(F.sum(f"_sum_{n}").over(whole)).alias(n) for n in sums], *[F.lag(f"_before_{n}").over(line).alias(n) for n in before], *[F.lead(f"_after_{n}").over(line).alias(n) for n in after])
+
     dealt = parts(placed, keys, [F.col(f"_order.o{i}") for i in range(len(order))])
 
     within = Window.partitionBy("_part", *keys).orderBy("_order")
@@ -47,7 +64,6 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Name
     )
     on = reduce(lambda a, b: a & b, [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]])
     both = local.join(carried, on)
-    zero = lambda c: F.coalesce(c, F.lit(0))
     return both.select(
         *df.columns, *[(zero(F.col(f"_carry_{n}")) + zero(F.col(f"_local_{n}"))).alias(n) for n in sums],
         *[F.when(F.col("_rn") == 1, F.col(f"_carry_{n}")).otherwise(F.col(f"_local_{n}")).alias(n) for n in before],

@@ -13,7 +13,7 @@ from pyspark.sql.functions import udtf
 
 from quillspan.functions import vocab
 from quillspan.functions.sequences import word_span
-from quillspan.operators.scan import scan
+from quillspan.operators.scan import fits, scan
 
 
 def align_units(df: DataFrame, key: str) -> DataFrame:
@@ -103,8 +103,9 @@ def match_events(df: DataFrame, keys: Sequence[str], tolerance: int) -> DataFram
     """
     events = df.select(*keys, "pos", "is_ref", F.monotonically_increasing_id().alias("_id"))
     line = [F.col("pos"), F.col("is_ref"), F.col("_id")]
-    gaps = scan(events, keys, line, before={"_prev": F.col("pos")}).withColumn("_gap", F.coalesce(F.col("pos") - F.col("_prev") > tolerance, F.lit(False)).cast("long"))
-    stretches = scan(gaps.drop("_prev"), keys, line, sums={"_stretch": F.col("_gap")}).select(*keys, "_stretch", "pos", "is_ref")
+    small = fits(df, keys)
+    gaps = scan(events, keys, line, before={"_prev": F.col("pos")}, small=small).withColumn("_gap", F.coalesce(F.col("pos") - F.col("_prev") > tolerance, F.lit(False)).cast("long"))
+    stretches = scan(gaps.drop("_prev"), keys, line, sums={"_stretch": F.col("_gap")}, small=small).select(*keys, "_stretch", "pos", "is_ref")
     ordered = stretches.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "pos", "is_ref")
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     return ordered.mapInPandas(_matched(keys, tolerance), f"{kinds}, ref long, pred long")

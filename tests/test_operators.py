@@ -219,15 +219,18 @@ def test_one_ordered_packing(spark, many_parts, n, block, fan):
 
 
 @pytest.fixture
-def many_parts(spark):
-    """Small tables are dealt out to as many parts as large ones."""
+def many_parts(spark, monkeypatch):
+    """Small tables are scanned in parts, and dealt out to as many as large ones."""
+    from quillspan.operators import scan
+
+    monkeypatch.setattr(scan, "TASK_ROWS", 0)
     name = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(name, "false")
     yield
     spark.conf.unset(name)
 
 
-def test_running_values_of_a_hot_key(spark, many_parts):
+def test_running_values_of_a_hot_key(spark, many_parts, monkeypatch):
     """One key has all rows but a few; parts stay small, and the values are those of one pass."""
     from pyspark.sql import Window
 
@@ -238,8 +241,10 @@ def test_running_values_of_a_hot_key(spark, many_parts):
     assert len(sizes) == 8 and max(sizes) < 1000
     line = Window.partitionBy("k").orderBy("t", "id")
     want = df.select("id", F.coalesce(F.sum("x").over(line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("s"), F.lag("x").over(line).alias("b"), F.lead("x").over(line).alias("a"))
-    got = scan(df, ["k"], [F.col("t"), F.col("id")], sums={"s": F.col("x")}, before={"b": F.col("x")}, after={"a": F.col("x")})
-    assert rows(got.select("id", "s", "b", "a")) == rows(want)
+    for most in (0, 10**6):
+        monkeypatch.setattr("quillspan.operators.scan.TASK_ROWS", most)
+        got = scan(df, ["k"], [F.col("t"), F.col("id")], sums={"s": F.col("x")}, before={"b": F.col("x")}, after={"a": F.col("x")})
+        assert rows(got.select("id", "s", "b", "a")) == rows(want)
     assert scan(df.limit(0), ["k"], [F.col("id")], sums={"s": F.col("x")}).isEmpty()
 
 
