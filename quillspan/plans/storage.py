@@ -35,8 +35,8 @@ def _manifests(spark: SparkSession, d: str) -> str:
         F.struct((k % 5 != 0).alias("valid"), F.struct(F.struct(F.when(k % 7 != 0, (k % 90 + 0.5).cast("string")).alias("duration")).alias("format")).alias("output_probe")).alias("quality"),
     )
     path = fresh(spark, "manifests")
-    rows = table(spark, d, "pages").select(F.concat(F.lit("src"), k % 6).alias("s"), F.lit("2024-05-01").alias("t"), F.concat(F.lit("st"), k).alias("stem"), body.alias("b")).select("s", "t", "stem", F.to_json("b").alias("value"))
-    rows.repartition("stem").write.partitionBy("s", "t", "stem").text(path)
+    rows = table(spark, d, "pages").select(F.format_string("s=src%d/t=2024-05-01/stem=st%d/manifest.txt", k % 6, k).alias("path"), F.to_json(body).alias("content"))
+    sinks.named_files(rows, path)
     return path
 
 
@@ -179,12 +179,12 @@ def chained_splits(spark: SparkSession, d: str) -> DataFrame:
 
 @query("media_walk", "select count(*) as files, true as all_flac from pages where page_id % 2 = 0")
 def media_walk(spark: SparkSession, d: str) -> DataFrame:
-    """Files found by extension among others; one folder for each page."""
+    """A file for each page, a thousand to a folder; those of one kind are found by extension among the others."""
     path = fresh(spark, "media")
-    kind = F.when(F.col("page_id") % 2 == 0, "a.flac").otherwise("b.mp3")
-    table(spark, d, "pages").select(F.concat("page_id", F.lit("-"), kind).alias("name"), F.lit("x").alias("value")).repartition("name").write.partitionBy("name").text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", "name=([^/]*)/", 1).alias("path"))
-    chosen = readers.with_extension(files, ["flac"])
+    k = F.col("page_id")
+    name = F.format_string("shelf%d/%d-%s", F.floor(k / 1000), k, F.when(k % 2 == 0, "a.flac").otherwise("b.mp3"))
+    sinks.named_files(table(spark, d, "pages").select(name.alias("path"), F.lit("x").alias("content")), path)
+    chosen = readers.media_files(spark, path, ["flac"])
     return chosen.agg(F.count("*").alias("files"), F.min(F.col("path").endswith(".flac")).alias("all_flac"))
 
 

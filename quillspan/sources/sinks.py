@@ -1,10 +1,12 @@
-"""Sinks: sharded Parquet, CSV, JSON by key, append logs, per-label splits, and the aggregates of dataset cards."""
+"""Sinks: sharded Parquet, CSV, JSON by key, named files, append logs, per-label splits, and the aggregates of dataset cards."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +136,30 @@ def json_by_key(df: DataFrame, path: str, *keys: str) -> None:
     df.write.mode("append").partitionBy(*keys).json(path)
 
 
+def named_files(files: DataFrame, root: str) -> int:
+    """A small file for each row (path string, content string or binary) below the folder ``root``, in any store that pyarrow writes; how many.
+
+    Spark's writers choose names themselves, and each file of theirs costs a folder, a checksum and a commit of its own; here tasks write under the names given. A task that
+    is run again puts the same files in place of those before.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        last = None
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                folder, _, name = f"{base}/{path}".rpartition("/")
+                if folder != last:
+                    store.create_dir(folder, recursive=True)
+                    last = folder
+                with store.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content)
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = files.select("path", F.col("content").cast("binary").alias("content")).repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
