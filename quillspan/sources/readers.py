@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,27 @@ from quillspan.operators.rank import latest_per_key
 from quillspan.sources import schemas, versions
 
 
+#: The number of tasks that list folders; Spark's own is 10,000 for each folder that has many, which is more than the listing itself takes.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def few_listers(spark: SparkSession) -> Iterator[None]:
+    """Reads that start within list their folders in a few tasks for each core; a read lists when it is made."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
+
+
+def small_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of all files below a folder; contents are not read."""
+    with few_listers(spark):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
+
+
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of sources; a malformed file fails the read."""
     return spark.read.schema(schemas.CATALOG).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -37,7 +59,8 @@ def manifests(spark: SparkSession, root: str, source_ids: Sequence[str] = (), pa
 
     What a manifest leaves out comes from its path ``.../source/date/stem/manifest.json``; the duration is the probe's, else the one asked for.
     """
-    raw = spark.read.schema(schemas.MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("columnNameOfCorruptRecord", "_corrupt_record").json(root)
+    with few_listers(spark):
+        raw = spark.read.schema(schemas.MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("columnNameOfCorruptRecord", "_corrupt_record").json(root)
     parts = F.split(F.col("_metadata.file_path"), "/")
     from_path = lambda i: F.element_at(parts, i)
     probed = F.nullif(N.lenient(F.col("quality.output_probe.format.duration"), "double", 0.0), F.lit(0.0))
@@ -124,18 +147,17 @@ def checkpoint(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest_paths(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """(path, length) of the manifests below a folder, in order; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length").orderBy("path")
+    return small_files(spark, root, pattern).orderBy("path")
 
 
 def folder_bytes(spark: SparkSession, root: str) -> DataFrame:
     """(files, bytes) below a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("length")
-    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    return small_files(spark, root).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def media_files(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:
     """(path, length) of files by extension; contents are not read."""
-    return with_extension(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length"), extensions)
+    return with_extension(small_files(spark, root), extensions)
 
 
 def with_extension(files: DataFrame, extensions: Sequence[str]) -> DataFrame:

@@ -30,3 +30,25 @@ def test_media_walk_writes_no_folder_for_each_file(spark, sf_dir, tmp_path):
         readers.media_files = walked
     folders = {r.path.rpartition("/")[0] for r in walked(spark, seen[0], ["flac", "mp3"]).collect()}
     assert len(folders) == 1  # of fewer than a thousand pages
+
+
+def tasks_of(spark, group, action):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    return out, sum(tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds)
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    root, before = f"file://{tmp_path}/files", spark.conf.get(readers.LISTING)
+    sinks.named_files(rows(spark, 200), root)
+    most = 4 * spark.sparkContext.defaultParallelism
+    files, tasks = tasks_of(spark, "walk", lambda: readers.media_files(spark, root, ["flac"]))
+    assert 0 < tasks <= most < 200
+    assert files.count() == 100
+    _, tasks = tasks_of(spark, "manifests", lambda: readers.manifests(spark, root, pattern="*.mp3"))
+    assert 0 < tasks <= most
+    assert spark.conf.get(readers.LISTING) == before
