@@ -19,6 +19,27 @@ def decibel(c: Column) -> Column:
     return 20 * F.log10(F.greatest(c, F.lit(1e-8)))
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """Veltkamp's split: two numbers of half the digits whose sum is ``x``."""
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    return high, x - high
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, the product not rounded: its rounding error and the sum's (Dekker's, Knuth's) are added last. Plain where the split overflows."""
+    product, (ah, al), (bh, bl) = a * b, _halves(a), _halves(b)
+    low = al * bl - (((product - ah * bh) - al * bh) - ah * bl)
+    total = product + c
+    part = total - product
+    error = low + ((product - (total - part)) + (c - part))
+    return F.when(F.isnan(error), total).otherwise(total + error)
+
+
+def between(low: Column, high: Column, share: Column) -> Column:
+    """Linear interpolation as DuckDB's quantiles have it, to the last digit: low * (1 - share) fused with high * share."""
+    return F.when(low == high, low).otherwise(fused(low.cast("double"), 1 - share, high.cast("double") * share))
+
+
 def linear(db: Column) -> Column:
     """10^(dB/20); 0 for -100 dB or less, and for what is not finite."""
     bad = db.isNull() | F.isnan(db) | (db <= -100) | (db == float("inf"))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions import numbers as N
 from quillspan.operators.scan import scan
 from quillspan.scratch import save
 
@@ -187,8 +188,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict
     holds = lambda i: (F.col("_at") <= i) & (i < F.col("_at") + F.col("_c"))
     ends = [F.max(F.when(holds(f(p)), F.col(value))).alias(f"_{name}_{side}") for name, p in place.items() for side, f in (("low", F.floor), ("high", F.ceil))]
     got = both.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
-    between = [(F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * (p - F.floor(p))).alias(name) for name, p in place.items()]
-    return got.select(*keys, *between)
+    return got.select(*keys, *[N.between(F.col(f"_{name}_low"), F.col(f"_{name}_high"), p - F.floor(p)).alias(name) for name, p in place.items()])
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int, replace: bool = False) -> DataFrame:
