@@ -3,7 +3,8 @@
 The service is a function ``fetch(page, options) -> list of rows or None``, named ``module:function``; pages are read in
 parallel by executors. Options such as ``tag`` are the service's own; ``limit`` rows at most are taken, ``page_rows`` to a page, which
 also gives the number of pages. As a stream the offset is a page number: ``count``, a function of the options, says how many pages there are
-by now, and each batch reads those that are new, at most ``pages_per_batch``. Nothing here opens a connection; ``stored_page`` and ``stored_pages`` are a service over
+by now, and each batch reads those that are new. A batch has no bound of its own: a run over what there is asks for the newest page once, and one that is told less
+would end before the rest. Nothing here opens a connection; ``stored_page`` and ``stored_pages`` are a service over
 pages that lie in a folder.
 """
 
@@ -49,22 +50,18 @@ class PagedStreamReader(DataSourceStreamReader):
     def __init__(self, schema: StructType, options: dict[str, str]) -> None:
         self.pages = PagedReader(schema, options)
         self.options = self.pages.options
-        self.most = int(self.options.get("pages_per_batch", "1000"))
-        self.told: int | None = None
+        self.told = 0
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"page": int(self.options.get("from_page", "0"))}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        """The pages there are, but no more beyond the last batch than a batch takes."""
+        """All pages there are, and never fewer than were told before."""
         module, _, name = self.options["count"].partition(":")
-        there = int(getattr(import_module(module), name)(self.options))
-        if self.told is not None:
-            there = min(there, self.told + self.most)
-        return {"page": max(there, self.told or 0)}
+        return {"page": max(int(getattr(import_module(module), name)(self.options)), self.told)}
 
     def partitions(self, start: dict, end: dict) -> list[Page]:
-        self.told = max(self.told or 0, end["page"])
+        self.told = max(self.told, end["page"])
         return [Page(i) for i in range(start["page"], end["page"])]
 
     def read(self, partition: Page) -> Iterator[tuple]:

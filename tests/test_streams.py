@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.sources import delivery, versions
+from quillspan.sources import delivery, directory, sinks, versions
 from quillspan.streaming import ingest, state
 
 T0 = dt.datetime(2024, 1, 1)
@@ -101,3 +101,14 @@ def test_writer_tries_again_with_longer_waits(monkeypatch, tmp_path):
 
     assert writer._deliver(third_time, Row(id=1)) == {"file_id": "1", "status": "uploaded", "attempts": 3, "error": None}
     assert tries == [1, 2, 3] and waits == [0.5, 1.0]
+
+
+def test_paged_stream_reads_all_pages_after_a_restart(spark, tmp_path):
+    """More pages come before the restart's only batch than the source once let a batch have."""
+    directory.register(spark)
+    root = f"file://{tmp_path}"
+    for first, end in ((0, 2), (2, 1102)):
+        sinks.named_files(spark.range(first, end).select(F.format_string("page=%d/part-0.json", "id").alias("path"), F.format_string('{"id": %d}', "id").alias("content")), f"{root}/in")
+        read = spark.readStream.format("paged").schema("id long").option("fetch", "quillspan.sources.directory:stored_page").option("count", "quillspan.sources.directory:stored_pages")
+        ingest.run_to_end(state.append_batches(read.option("root", f"{root}/in").load(), f"{root}/out", f"{root}/checkpoint", "append"))
+    assert sorted(r.id for r in spark.read.parquet(f"{root}/out").collect()) == list(range(1102))
