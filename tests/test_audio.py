@@ -113,3 +113,18 @@ def test_concat_with_silence(spark):
     assert A.mono(bytes(got[1].audio.bytes)).tolist() == [0.5] * 10 + [0.0] * 5 + [-0.5] * 20
     assert (got[1].duration_seconds, got[1].iu_count, got[1].audio.path) == (0.035, 2, "concat_iu/0000001.wav") and got[2].duration_seconds == 0.01
     assert got[3].audio is None and got[3].duration_seconds is None and got[4].audio is None
+
+
+def test_decoded_batch_holds_its_samples_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    one = A.wave(np.zeros(20_000), 16000)
+    batch = pa.array([one, None, b"no audio", *[one] * 500], pa.binary())
+    tracemalloc.start()
+    got = A.mono_array(batch, 16000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [got[i].as_py() is None for i in range(4)] == [False, True, True, False] and len(got[502]) == 20_000
+    assert peak < 1.2 * 501 * 20_000 * 4
