@@ -52,8 +52,9 @@ def manifest_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("manifest_paths", "select count(*) as files, count(distinct page_id % 6) as sources, true as has_bytes from pages")
 def manifest_paths(spark: SparkSession, d: str) -> DataFrame:
     root = _manifests(spark, d)
-    paths = readers.manifest_paths(spark, root, "*.txt")
-    both = readers.folder_bytes(spark, root)
+    files = readers.small_files(spark, root)
+    paths = readers.manifest_paths(spark, root, "*.txt", files)
+    both = readers.folder_bytes(spark, root, files)
     return paths.agg(F.count("*").alias("files"), F.count_distinct(F.regexp_extract("path", "/s=([^/]*)/", 1)).alias("sources")).withColumn("has_bytes", both.agg(F.max(F.col("bytes") > 0)).scalar())
 
 

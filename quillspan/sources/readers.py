@@ -13,7 +13,7 @@ from quillspan.functions import dates
 from quillspan.functions import numbers as N
 from quillspan.functions import text as T
 from quillspan.operators.rank import latest_per_key
-from quillspan.sources import schemas, versions
+from quillspan.sources import folders, schemas, versions
 
 
 #: The number of tasks that list folders; Spark's own is 10,000 for each folder that has many, which is more than the listing itself takes.
@@ -32,9 +32,20 @@ def few_listers(spark: SparkSession) -> Iterator[None]:
 
 
 def small_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, length) of all files below a folder; contents are not read."""
-    with few_listers(spark):
-        return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
+    """(path, length) of all files below a folder; contents are not read.
+
+    Tasks list the folders. Spark's own listing, which holds every file on the driver and reads each as a part of a task, is for stores that only Hadoop knows.
+    """
+    files = folders.walk(spark, root)
+    if files is None:
+        with few_listers(spark):
+            return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
+    return with_name(files, pattern)
+
+
+def with_name(files: DataFrame, pattern: str) -> DataFrame:
+    """Files whose name fits a pattern."""
+    return files.where(folders.matching(files.sparkSession, F.element_at(F.split("path", "/"), -1), pattern))
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -145,14 +156,14 @@ def checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("completed").alias("uuid", "r")).select("uuid", "r.*")
 
 
-def manifest_paths(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
-    """(path, length) of the manifests below a folder, in order; contents are not read."""
-    return small_files(spark, root, pattern).orderBy("path")
+def manifest_paths(spark: SparkSession, root: str, pattern: str = "*.json", files: DataFrame | None = None) -> DataFrame:
+    """(path, length) of the manifests below a folder, in order; contents are not read. ``files`` is what ``small_files`` gave for the folder, for callers that have it."""
+    return (small_files(spark, root, pattern) if files is None else with_name(files, pattern)).orderBy("path")
 
 
-def folder_bytes(spark: SparkSession, root: str) -> DataFrame:
-    """(files, bytes) below a folder; contents are not read."""
-    return small_files(spark, root).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+def folder_bytes(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """(files, bytes) below a folder; contents are not read. ``files`` as above."""
+    return (small_files(spark, root) if files is None else files).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def media_files(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:

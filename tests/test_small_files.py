@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.plans import registry
@@ -52,3 +53,25 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     _, tasks = tasks_of(spark, "manifests", lambda: readers.manifests(spark, root, pattern="*.mp3"))
     assert 0 < tasks <= most
     assert spark.conf.get(readers.LISTING) == before
+
+
+def test_a_listing_is_not_held_by_the_driver(spark, tmp_path):
+    root = f"file://{tmp_path}/files"
+    sinks.named_files(rows(spark, 400), root)
+    files = readers.small_files(spark, root)
+    assert len(files.inputFiles()) < 100  # not a file or a scan's part for each file that was found
+    assert files.count() == 400 and readers.manifest_paths(spark, root, "*.mp3", files).count() == 200
+    assert readers.folder_bytes(spark, root, files).first() == (400, 400)
+
+
+def test_files_are_those_of_sparks_own_listing(spark, tmp_path):
+    for name in ("a.txt", "p/b.txt", "p/q=1/r s/c%20.txt", "p/_x=1/d.json", "p/_y/e.txt", ".z/f.txt", "p/_g.txt", "p/_metadata", "h._COPYING_", "p/é[1].json"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(name)
+    (tmp_path / "in" / "none").mkdir()
+    for root in (f"file://{tmp_path}/in", f"{tmp_path}/in", f"{tmp_path}/in/*", f"{tmp_path}/in/p/q=1", f"{tmp_path}/in/a.txt"):
+        for pattern in ("*", "*.txt", "[a-c]*", "*.{json,txt}", "?.txt"):
+            own = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
+            assert sorted(readers.small_files(spark, root, pattern).collect()) == sorted(own.collect()), (root, pattern)
+    with pytest.raises(FileNotFoundError):
+        readers.small_files(spark, f"{tmp_path}/nothing")
