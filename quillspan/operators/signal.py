@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import numbers as N
-from quillspan.operators.rank import group_quantiles, ranked
-from quillspan.operators.scan import scan, with_halo
+from quillspan.operators.rank import group_quantiles
+from quillspan.operators.scan import fits, scan, with_halo
 
 #: Positions that one task holds of a key, at least.
 BLOCK = 65_536
@@ -138,16 +138,32 @@ def pool_embeddings(df: DataFrame, keys: Sequence[str], vector: str, mask: Colum
     return df.select(*keys, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double")).groupBy(*keys, "dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("x").alias("max"))
 
 
+def _fragments(token: Column) -> Column:
+    """The runs of a token's characters between blanks: their text, first and last place, in order."""
+    marks = F.split(F.regexp_replace(token, r"(?U)\s", " "), "")
+    edge = F.array(F.lit(" "))
+    places = lambda beside: F.filter(F.transform(F.zip_with(marks, beside, lambda c, b: (c != " ") & (b == " ")), lambda yes, i: F.when(yes, i)), lambda i: i.isNotNull())
+    firsts, lasts = places(F.concat(edge, marks)), places(F.concat(F.slice(marks, 2, F.greatest(F.size(marks), F.lit(1))), edge))
+    return F.arrays_zip(F.regexp_extract_all(token, F.lit(r"((?U)\S+)"), 0).alias("text"), firsts.alias("first"), lasts.alias("last"))
+
+
 def chars_to_words(df: DataFrame, keys: Sequence[str], pos: str, token: str, start: str, end: str) -> DataFrame:
-    """Token times to word times: characters take even shares of their token, and runs between blanks make words."""
-    chars = df.where(F.length(token) > 0).select(*keys, pos, start, end, F.length(token).alias("_n"), F.posexplode(F.split(token, "")).alias("_i", "_c"))
+    """Token times to word times: characters take even shares of their token, and runs between blanks make words.
+
+    A token's characters stay together: what is shuffled is a row for each token, and a word is put together from the runs that its tokens have of it.
+    """
+    tokens = df.where(F.length(token) > 0).select(*keys, pos, token, start, end, F.length(token).alias("_n"), F.col(token).rlike(r"(?U)\S\z").alias("_open"), F.col(token).rlike(r"(?U)\A\S").alias("_joins"), F.size(F.regexp_extract_all(F.col(token), F.lit(r"((?U)\S+)"), 0)).alias("_runs"))
+    small = fits(tokens, keys)
+    tokens = scan(tokens, keys, [F.col(pos)], before={"_was": F.col("_open")}, small=small)
+    tokens = tokens.withColumn("_on", F.col("_joins") & F.coalesce("_was", F.lit(False)))  # its first run goes on with the word before
+    tokens = scan(tokens, keys, [F.col(pos)], sums={"_words": F.col("_runs") - F.col("_on").cast("int")}, small=small)
     span = F.greatest(F.col(end) - F.col(start), F.lit(0.0))
-    timed = chars.withColumn("_a", F.col(start) + span * F.col("_i") / F.col("_n")).withColumn("_b", F.col(start) + span * (F.col("_i") + 1) / F.col("_n"))
-    blank = F.col("_c").rlike(r"(?U)^\s$")
-    named = scan(timed, keys, [F.col(pos), F.col("_i")], sums={"_w": blank.cast("int")}).where(~blank)
-    letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "_i", "_c"))), lambda s: s["_c"]), "")
-    words = named.groupBy(*keys, "_w").agg(letters.alias("word"), F.bround(F.min("_a"), 3).alias("start_seconds"), F.bround(F.max("_b"), 3).alias("end_seconds"))
-    return ranked(words, keys, [F.col("_w")], "_rn").withColumn("word_index", F.col("_rn").cast("int") - 1).drop("_w", "_rn")
+    at = lambda i: F.col(start) + span * i / F.col("_n")
+    runs = tokens.select(*keys, pos, start, end, "_n", (F.col("_words") - F.col("_runs")).alias("_before"), F.posexplode(_fragments(F.col(token))).alias("_i", "_r"))
+    runs = runs.select(*keys, pos, (F.col("_before") + F.col("_i")).cast("int").alias("word_index"), F.col("_r.text").alias("_text"), at(F.col("_r.first")).alias("_a"), at(F.col("_r.last") + 1).alias("_b"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "_text"))), lambda s: s["_text"]), "")
+    words = runs.groupBy(*keys, "word_index").agg(text.alias("word"), F.bround(F.min("_a"), 3).alias("start_seconds"), F.bround(F.max("_b"), 3).alias("end_seconds"))
+    return words.select(*keys, "word", "start_seconds", "end_seconds", "word_index")
 
 
 def even_words(df: DataFrame, keys: Sequence[str], text: str, seconds: str) -> DataFrame:

@@ -120,8 +120,7 @@ x as (select conv_id, turn, word, string_agg(c, '' order by i) as text, min(a) a
 select conv_id, turn, text as word, cast(row_number() over (partition by conv_id, turn order by word) - 1 as int) as word_index, round_even(a, 3) as start_seconds, round_even(b, 3) as end_seconds from x""")
 def token_times_to_words(spark: SparkSession, d: str) -> DataFrame:
     """Six-character tokens of half a second each, joined back to words."""
-    text = F.col("text")
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 6).cast("int")), lambda i: F.substring(text, i * 6 + 1, F.lit(6)))
+    parts = F.regexp_extract_all("text", F.lit("((?s).{1,6})"), 0)
     rows = table(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", F.posexplode(parts).alias("pos", "token"))
     timed = rows.withColumn("start", F.col("pos") * 0.5).withColumn("end", F.col("pos") * 0.5 + 0.5)
     return G.chars_to_words(timed, ["conv_id", "turn"], "pos", "token", "start", "end")

@@ -11,7 +11,7 @@ from quillspan.functions import vocab
 from quillspan.operators import labels as L
 from quillspan.operators import metrics as M
 from quillspan.operators import rank as R
-from quillspan.operators import rules, sequential
+from quillspan.operators import rules, scan, sequential
 from quillspan.operators import signal as G
 from quillspan.sources import readers, schemas, sinks, versions
 from quillspan.streaming import ingest
@@ -169,6 +169,36 @@ def test_words_from_token_times(spark):
     assert rows(G.chars_to_words(df, ["k"], "pos", "token", "a", "b").select("word", "start_seconds", "end_seconds", "word_index")) == [("hey", 0.1, 0.4, 0), ("you", 0.6, 0.9, 1)]
 
 
+def words_char_by_char(tokens):
+    """One pass over (token, start, end) in order."""
+    out, letters = [], []
+    for token, start, end in [*tokens, (" ", 0.0, 0.0)]:
+        for i, c in enumerate(token or ""):
+            if not c.isspace():
+                letters.append((c, start + max(end - start, 0.0) * i / len(token), start + max(end - start, 0.0) * (i + 1) / len(token)))
+            elif letters:
+                out.append(("".join(x[0] for x in letters), letters[0][1], letters[-1][2], len(out)))
+                letters = []
+    return out
+
+
+def test_words_of_whole_tokens_are_those_of_single_characters(spark, monkeypatch):
+    tokens = {"a": [" \t", "be", "", "e\u00a0\n", "\U0001f600x y", None, "z", "  v w", "ab"], "b": ["one"], "c": ["\n", "  "], "d": ["p q r s", " ", "t", "\u2003u"]}
+    data = [(k, i, t, i * 0.5, i * 0.5 + (0.5 if i % 3 else -0.1)) for k, ts in tokens.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(data, "k string, pos int, token string, a double, b double").repartition(4)
+    want = [(k, w, pytest.approx(s, abs=6e-4), pytest.approx(e, abs=6e-4), n) for k in tokens for w, s, e, n in words_char_by_char([(t, s, e) for x, _, t, s, e in data if x == k])]
+    for most in (1_000_000, 1):  # plain windows, and range parts
+        monkeypatch.setattr(scan, "TASK_ROWS", most)
+        got = G.chars_to_words(df, ["k"], "pos", "token", "a", "b")
+        assert [tuple(r) for r in got.orderBy("k", "word_index").collect()] == want
+
+
+def test_characters_of_tokens_are_not_rows(spark):
+    df = spark.range(200).select(F.lit("k").alias("k"), F.col("id").alias("pos"), F.lit("abc def").alias("token"), F.col("id").cast("double").alias("a"), (F.col("id") + 1.0).alias("b"))
+    plan = G.chars_to_words(df, ["k"], "pos", "token", "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "spark_partition_id" not in plan.lower() and "FileScan" not in plan  # nothing but a row for each token is shuffled
+
+
 def test_prf_counts_labels_without_support(spark):
     df = spark.createDataFrame([("joy", "joy"), ("joy", "fear"), ("fear", "fear")], "t string, p string")
     got = {r.label: r for r in M.prf(df, "t", "p", list(vocab.TOKEN_LABELS)).collect()}
