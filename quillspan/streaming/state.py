@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -32,7 +32,8 @@ class Attempts(StatefulProcessor):
     """The state of each key from its events (uuid, kind, seq, ts), whatever order they come in.
 
     Completed wins; failures count; a start that is later than any end is in progress, or stalled once ``stall_ms`` of event time have passed since.
-    The sequence numbers of the failures are kept as a list until the key completes.
+    The sequence numbers of the failures are kept until the key completes. All of a key's state is one value, as each call to the store is a message to the JVM:
+    a key of a batch costs two, whatever its rows, and timers are asked for only where stalls are.
     """
 
     def __init__(self, most_attempts: int, stall_ms: int) -> None:
@@ -40,8 +41,7 @@ class Attempts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "done boolean, attempts long, last_start long, started_ms long, last_end long, seen long")
-        self.failures = handle.getListState("failures", "seq long")
+        self.now = handle.getValueState("now", "done boolean, attempts long, last_start long, started_ms long, last_end long, seen long, failures array<long>")
 
     def _state(self, done: bool, attempts: int, last_start: int, last_end: int) -> str:
         if done:
@@ -50,37 +50,36 @@ class Attempts(StatefulProcessor):
             return "failed"
         return "in_progress" if last_start > last_end else "retry"
 
-    def _row(self, key: tuple, state: str, done: bool, attempts: int, seen: int) -> pd.DataFrame:
-        failures = sorted(int(x[0]) for x in self.failures.get())
-        return pd.DataFrame({"uuid": [key[0]], "state": [state], "attempts": [0 if done else attempts], "seen": [seen], "failures": [failures]})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        done, attempts, last_start, started, last_end, seen = self.now.get() if self.now.exists() else (False, 0, -1, -1, -1, 0)
-        for pdf in rows:
-            failed = pdf[pdf["kind"] == "failed"]
-            if len(failed):
-                self.failures.appendList([(int(x),) for x in failed["seq"]])
-            starts, ends = pdf[pdf["kind"] == "started"], pdf[pdf["kind"].isin(["completed", "failed"])]
-            done = bool(done or (pdf["kind"] == "completed").any())
-            attempts += len(failed)
-            if len(starts) and int(starts["seq"].max()) > last_start:
-                last = starts.loc[starts["seq"].idxmax()]
-                last_start, started = int(last["seq"]), int(last["ts"].timestamp() * 1000)
-            last_end = max(last_end, int(ends["seq"].max())) if len(ends) else last_end
-            seen += len(pdf)
-        if done and self.failures.exists():
-            self.failures.clear()
-        self.now.update((done, attempts, last_start, started, last_end, seen))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _row(self, key: tuple, state: str, done: bool, attempts: int, seen: int, failures: list[int]) -> Row:
+        return Row(uuid=key[0], state=state, attempts=0 if done else attempts, seen=seen, failures=sorted(failures))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        done, attempts, last_start, started, last_end, seen, before = self.now.get() or (False, 0, -1, -1, -1, 0, ())
+        failed = []
+        for _, kind, seq, _, ms in rows:
+            seen += 1
+            if kind == "started":
+                if seq > last_start:
+                    last_start, started = seq, ms
+            elif kind in ("completed", "failed"):
+                last_end = max(last_end, seq)
+                done = done or kind == "completed"
+                if kind == "failed":
+                    failed.append(seq)
+        attempts += len(failed)
+        failures = [] if done else [*before, *failed]
+        self.now.update((done, attempts, last_start, started, last_end, seen, failures))
         state = self._state(done, attempts, last_start, last_end)
-        if state == "in_progress" and self.stall_ms:
-            self.handle.registerTimer(max(started + self.stall_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._row(key, state, done, attempts, seen)
+        if self.stall_ms:  # else there are no timers
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if state == "in_progress":
+                self.handle.registerTimer(max(started + self.stall_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._row(key, state, done, attempts, seen, failures)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        done, attempts, _, _, _, seen = self.now.get()
-        yield self._row(key, "stalled", done, attempts, seen)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        done, attempts, _, _, _, seen, failures = self.now.get()
+        yield self._row(key, "stalled", done, attempts, seen, list(failures))
 
     def close(self) -> None:
         pass
@@ -94,7 +93,8 @@ def attempt_states(events: DataFrame, most_attempts: int, stall: str | None = No
     """
     stall_ms = int(pd.Timedelta(stall).total_seconds() * 1000) if stall else 0
     rows = events.select(F.col("uuid").cast("string").alias("uuid"), "kind", F.col("seq").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    return rows.groupBy("uuid").transformWithStateInPandas(statefulProcessor=Attempts(most_attempts, stall_ms), outputStructType=_ATTEMPT, outputMode="Update", timeMode="EventTime")
+    rows = rows.select("uuid", "kind", "seq", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("uuid").transformWithState(statefulProcessor=Attempts(most_attempts, stall_ms), outputStructType=_ATTEMPT, outputMode="Update", timeMode="EventTime")
 
 
 def latest_states(log: DataFrame) -> DataFrame:

@@ -36,6 +36,32 @@ def test_attempts_stall_by_event_time_and_go_on_after_a_restart(spark, tmp_path)
     assert run(spark, tmp, "1 hour")["a"] == ("completed", 0, [])
 
 
+class Calls:
+    """A state handle that counts what it is asked."""
+
+    def __init__(self):
+        self.made, self.value = [], None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.made.append(name)
+            if name == "update":
+                self.value = args[0]
+            return self if name.endswith("State") else self.value if name == "get" else []
+
+        return call
+
+
+def test_a_key_of_a_batch_costs_two_calls_to_the_store():
+    handle, machine = Calls(), state.Attempts(9, 0)
+    machine.init(handle)
+    for batch in ([("started", 1), ("failed", 2), ("failed", 5)], [("failed", 3), ("other", 4), ("started", 6)]):
+        handle.made.clear()
+        (got,) = machine.handleInputRows(("k",), iter([("k", kind, seq, None, seq * 1000) for kind, seq in batch]), None)
+        assert handle.made == ["get", "update"]
+    assert tuple(got) == ("k", "in_progress", 3, 6, [2, 3, 5])
+
+
 def test_broken_write_leaves_the_version_before(spark, tmp_path):
     path = f"file://{tmp_path}/table"
     assert versions.current(spark, path) is None and versions.folders(spark, path) == []
